@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crestline.llm import exact_dedup, simhash
+from crestline.llm import exact_dedup, mixing, simhash
 from crestline.llm.common import table
 
 
@@ -14,9 +14,13 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op4_simhash_near_dedup, op9_exact_dedup)}
+    return {f.__name__: f for f in (op4_simhash_near_dedup, op9_exact_dedup, op10_mixing)}
 
 
 def oracle_sql():
-    return {"op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op9_exact_dedup": exact_dedup.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
