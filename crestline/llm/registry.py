@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from crestline.llm import exact_dedup, mixing, simhash
+from crestline.llm import exact_dedup, media, mixing, simhash
 from crestline.llm.common import table
 
 
+def op1_media_columns(spark, sf_dir):
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_near_dedup(table(spark, sf_dir, "documents"))
 
@@ -19,7 +23,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op4_simhash_near_dedup, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_media_columns, op4_simhash_near_dedup, op9_exact_dedup, op10_mixing)}
 
 
 def oracle_sql():
