@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crestline.llm import exact_dedup, media, mixing, simhash
+from crestline.llm import exact_dedup, html_text, media, mixing, simhash, warc
 from crestline.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_warc(spark, sf_dir):
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -23,8 +31,8 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_media_columns, op4_simhash_near_dedup, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_media_columns, op4_simhash_near_dedup, op5_html_extraction, op8_warc, op9_exact_dedup, op10_mixing)}
 
 
 def oracle_sql():
-    return {"op9_exact_dedup": exact_dedup.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op8_warc": warc.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
