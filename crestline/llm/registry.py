@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crestline.llm import exact_dedup, html_text, media, mixing, simhash, warc
+from crestline.llm import exact_dedup, html_text, media, mixing, simhash, url_filters, warc
 from crestline.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op5_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    found = url_filters.filter_urls(url_filters.dated(pages), url_filters.example_lists(pages))
+    return found.withColumns({c: found[c].cast("string") for c in ("fetched", "valid_from", "valid_to")})
+
+
 def op8_warc(spark, sf_dir):
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -31,8 +37,8 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_media_columns, op4_simhash_near_dedup, op5_html_extraction, op8_warc, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_media_columns, op4_simhash_near_dedup, op5_html_extraction, op7_url_filters, op8_warc, op9_exact_dedup, op10_mixing)}
 
 
 def oracle_sql():
-    return {"op8_warc": warc.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op7_url_filters": url_filters.OP7_SQL, "op8_warc": warc.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
