@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crestline.llm import exact_dedup, html_text, media, mixing, simhash, url_filters, warc
+from crestline.llm import exact_dedup, html_text, media, mixing, simhash, substring_dedup, url_filters, warc
 from crestline.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_media_columns(spark, sf_dir):
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_units(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_near_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,8 +41,8 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_media_columns, op4_simhash_near_dedup, op5_html_extraction, op7_url_filters, op8_warc, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op4_simhash_near_dedup, op5_html_extraction, op7_url_filters, op8_warc, op9_exact_dedup, op10_mixing)}
 
 
 def oracle_sql():
-    return {"op7_url_filters": url_filters.OP7_SQL, "op8_warc": warc.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op2_substring_dedup": substring_dedup.OP2_SQL, "op7_url_filters": url_filters.OP7_SQL, "op8_warc": warc.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
