@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crestline.llm import exact_dedup, html_text, media, mixing, simhash, substring_dedup, url_filters, warc
+from crestline.llm import exact_dedup, html_text, media, mixing, sentencepiece_codec, simhash, substring_dedup, url_filters, warc
 from crestline.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup.repeated_units(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_near_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op4_simhash_near_dedup, op5_html_extraction, op7_url_filters, op8_warc, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op3_sentencepiece, op4_simhash_near_dedup, op5_html_extraction, op7_url_filters, op8_warc, op9_exact_dedup, op10_mixing)}
 
 
 def oracle_sql():
