@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crestline.llm import exact_dedup, html_text, media, mixing, sentencepiece_codec, simhash, substring_dedup, url_filters, warc
+from crestline.llm import exact_dedup, html_text, media, mixing, sentencepiece_codec, simhash, substring_dedup, toxicity, url_filters, warc
 from crestline.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_url_filters(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     found = url_filters.filter_urls(url_filters.dated(pages), url_filters.example_lists(pages))
@@ -45,7 +49,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op3_sentencepiece, op4_simhash_near_dedup, op5_html_extraction, op7_url_filters, op8_warc, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op3_sentencepiece, op4_simhash_near_dedup, op5_html_extraction, op6_toxicity, op7_url_filters, op8_warc, op9_exact_dedup, op10_mixing)}
 
 
 def oracle_sql():
