@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.llm.common import text_or_empty
+from crestline.llm.common import fresh, text_or_empty
 
 _SENTENCES = re.compile(r".+?(?:[.!?][\x20\x09-\x0D]|\n|\Z)", re.S)
 _LINES = re.compile(r"[^\n]*\n|[^\n]+")
@@ -76,8 +76,8 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sente
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = 20, sentences: bool = True) -> DataFrame:
     """The units that go: doc_id, unit, start, stop, words, owner_id (the document whose occurrence stays), run_words."""
     found = units(docs, id_col, text_col, sentences)
-    groups = found.groupBy("digest").agg(F.min("doc_id").alias("owner_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = found.join(groups, "digest").where(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("owner_id")))
+    groups = found.groupBy("digest").agg(F.min("doc_id").alias("owner_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select(fresh("digest").alias("key"), "owner_id")
+    later = found.withColumn("key", fresh("digest")).drop("digest").join(groups, "key").where(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("owner_id")))
     single = later.groupBy("doc_id", "unit", "start", "stop", "words").agg(F.min("owner_id").alias("owner_id"))
     runs = single.withColumn("run", F.col("unit") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("unit")))
     runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run")))

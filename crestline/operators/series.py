@@ -51,6 +51,7 @@ def smooth(dense: DataFrame, p: DetectParams = DetectParams(), stretch: int = 10
     neighbours' nearest rows, so that no task has to hold a series as a whole.
     """
     h = p.half_window
+    stretch = max(stretch, h, 1)  # so that a row has neighbours in three stretches at most
     near = F.array_distinct(F.array(*(F.floor((F.col("second") + d) / stretch) for d in (-h, 0, h))))
     cut = dense.withColumn("part", F.explode(near)).where("part >= 0")
     w = Window.partitionBy("series_id", "part").orderBy("second").rowsBetween(-h, h)

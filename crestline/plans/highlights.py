@@ -103,4 +103,5 @@ def write_clip_plan(plan: DataFrame, path: str, mode: str = "errorifexists") ->
 
 def write_reports(reports: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One text per series, in a folder of the series' name."""
-    reports.select("series_id", F.col("text").alias("value")).write.mode(mode).partitionBy("series_id").option("lineSep", "").text(path)
+    value = F.regexp_replace("text", "\n$", "")  # the writer ends a row with a line break
+    reports.select("series_id", value.alias("value")).write.mode(mode).partitionBy("series_id").text(path)
