@@ -61,7 +61,7 @@ def test_features_are_those_of_the_samples():
 def test_small_archives_ranges_and_leftovers(spark):
     folder = scratch(spark, "t")
     rows = spark.createDataFrame([(str(i), bytes([i]) * 500) for i in range(60)], "member string, payload binary").repartition(2)
-    media.write_archives(rows, folder, archive_bytes=2000)
+    media.write_archives(rows, folder, archive_bytes=1000)
     fs, root = filesystem(folder)
     Path(root, "attempt-that-failed.zip").write_bytes(b"half an archive")  # not in the manifest
     got = media.read_archives(spark, folder, range_bytes=300, batch_bytes=1)
