@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,13 +96,18 @@ def vocabulary(examples: DataFrame, params: Params) -> list[str]:
     return sorted(r.term for r in tied.orderBy(z.desc(), "term").limit(params.max_terms).collect())
 
 
+def _counted(text: str, numbers: dict[str, int]) -> list[tuple[int, int]]:
+    """(term number, tf) of a text's vocabulary words, in order."""
+    return sorted(Counter(map(numbers.__getitem__, filter(numbers.__contains__, WORD.findall(text.lower())))).items())
+
+
 def term_vectors(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
     """id, terms (numbers in order) and tfs of every row."""
     numbers = {t: i for i, t in enumerate(terms)}
 
     def run(batches):
         for batch in batches:
-            found = [sorted(Counter(map(numbers.__getitem__, filter(numbers.__contains__, WORD.findall(t.lower())))).items()) for t in batch.column(1).to_pylist()]
+            found = [_counted(t, numbers) for t in batch.column(1).to_pylist()]
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.array([x for row in found for x in row], np.int32).reshape(-1, 2)
             lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[:, c].copy())) for c in (0, 1)]
@@ -204,8 +210,23 @@ class Index:
         return min(1.0, max(0.0, 0.99 * value + 0.01 * vote)), self.id[found[:3]].tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> tuple[Index, DataFrame]:
-    """The index, and the vectors of all rows as a written table."""
+class _Scorer:
+    """An index's scores by vector; those of the vectors seen of late are kept."""
+
+    def __init__(self, index: Index, most: int = 100_000):
+        self.index, self.most, self.known = index, most, {}
+
+    def __call__(self, terms, tfs) -> tuple[float, list[int]]:
+        key = (*terms, -1, *tfs)
+        if key not in self.known:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            self.known[key] = self.index.score(terms, tfs)
+        return self.known[key]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> tuple[Index, list[str], DataFrame]:
+    """The index, its vocabulary, and the vectors of all rows as a written table."""
     examples = labelled(docs, labels, id_col, text_col, params)
     terms = vocabulary(examples, params)
     vectors = written(term_vectors(docs, terms, id_col, text_col), "term-vectors")
@@ -213,36 +234,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     df = {r.term: r["count"] for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
     idf = np.log((1 + rows) / (1 + np.array([df.get(t, 0) for t in range(len(terms))], np.float64))) + 1
     marked = vectors.join(examples.select("id", "toxic").distinct(), "id").collect()  # bounded by max_examples
-    return Index(idf, sorted((r.id, r.terms, r.tfs, r.toxic) for r in marked), params), vectors
+    return Index(idf, sorted((r.id, r.terms, r.tfs, r.toxic) for r in marked), params), terms, vectors
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (identifiers of the nearest examples) of every row."""
-    index, vectors = fit(docs, labels, id_col, text_col, params)
+    index, _, vectors = fit(docs, labels, id_col, text_col, params)
     threshold = params.threshold
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        index, known = shared.value, {}
+        score_of = _Scorer(shared.value)
         for batch in batches:
-            scores, evidence = [], []
-            for terms, tfs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = (*terms, -1, *tfs)
-                if key not in known:
-                    if len(known) >= 100_000:
-                        known.clear()
-                    known[key] = index.score(terms, tfs)
-                score, near = known[key]
-                scores.append(score)
-                evidence.append(near)
+            found = [score_of(*x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            scores = [s for s, _ in found]
             predicted = [int(s >= threshold) for s in scores]
-            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "predicted", "evidence"])
+            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))], ["doc_id", "score", "predicted", "evidence"])
 
     scored = vectors.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
-    """The rows of ``docs``, with all columns, that are not predicted toxic."""
-    bad = toxicity(docs, labels, id_col, text_col, params).where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows of ``docs``, with all columns, that are not predicted toxic.
+
+    Every row is scored by its own text where it lies: a join with the scores
+    would shuffle all texts.
+    """
+    index, terms, _ = fit(docs, labels, id_col, text_col, params)
+    threshold, numbers = params.threshold, {t: i for i, t in enumerate(terms)}
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score_of = _Scorer(shared.value)
+        for texts in batches:
+            found = ([*zip(*_counted(t, numbers), strict=True)] or [(), ()] for t in texts.to_pylist())
+            yield pa.array([score_of(*x)[0] < threshold for x in found], pa.bool_())
+
+    return docs.where(clean(text_or_empty(text_col)))
