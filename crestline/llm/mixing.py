@@ -65,7 +65,7 @@ def water_filled(sources: DataFrame, cap: float, weights: tuple[int, ...]) -> Da
 def pareto_key(u48: Column, p: Column) -> Column:
     """Random odds over inclusion odds, q, as the whole number floor(2^48 q / (1 + q)): the same order."""
     u = (u48 + F.lit(0.5)) / F.lit(float(1 << BITS))
-    q = (u / (1 - u)) / (p / (1 - p))
+    q = F.try_divide(u / (1 - u), p / (1 - p))  # null where p is 0, and evaluated there too
     return F.floor(q / (1 + q) * F.lit(float(1 << BITS))).cast("long")
 
 

@@ -1,0 +1,133 @@
+"""HTML extraction on pages built from known parts, and URL filters against brute force."""
+
+import datetime as dt
+import random
+import re
+
+import numpy as np
+import pytest
+
+from crestline.llm import html_text, url_filters
+
+# ------------------------------------------------------------------ HTML
+
+NAV = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>All about the many other pages of this site</a></li></ul></nav>"
+COOKIES = "<div class='cookie-notice'><p>" + "We use cookies and similar means to improve what you see here. " * 5 + "</p></div>"
+COMMENTS = "<section id='comments'><h3>Comments</h3><div class='comment'><p>" + "I do not agree with this article at all, really. " * 6 + "</p></div></section>"
+FOOTER = "<footer><p>Copyright of somebody</p></footer>"
+SIDE = "<aside><p>Related: ten things about cats that nobody told you so far</p></aside>"
+BODY = ["A title", "First paragraph, with some words in it & a reference.", "Short.", "Third paragraph that goes on for rather a long time, " * 5]
+
+
+def page(inner, around=True):
+    return f"<!DOCTYPE html><html><head><title>T</title><style>p {{ color: red }}</style><script>var a = '<p>no</p>';</script></head><body>{NAV + COOKIES if around else ''}{inner}{SIDE + COMMENTS + FOOTER if around else ''}</body></html>"
+
+
+def blocks():
+    first, *rest = (b.replace("&", "&amp;") for b in BODY)
+    return f"<h1>{first}</h1>" + "".join(f"<p>{x}</p>" for x in rest)
+
+
+WANT = " ".join(" ".join(b.split()) for b in BODY)
+
+
+@pytest.mark.parametrize("inner", [f"<article>{blocks()}</article>", f"<main>{blocks()}</main>", f"<div class='content'>{blocks()}</div>", f"<article>{blocks().replace('</p>', '')}</article>", f"<article><div class='ad-slot'>Buy now</div>{blocks()}<form><input><button>Send</button></form></article>"])
+def test_main_text(inner):
+    assert html_text.main_text(page(inner)) == WANT
+
+
+def test_white_space_references_and_markup():
+    html = page("<article><p>a&nbsp;b\n  <b>c</b>d &lt;e&gt; &#233;&#x41;</p>\n<p>one<br>two</p><!-- no --></article>", around=False)
+    assert html_text.main_text(html) == "a b cd <e> éA one two"
+
+
+@pytest.mark.parametrize(("html", "want"), [(None, ""), ("", ""), ("plain  text\nonly", "plain text only"), ("<nav>x</nav>", ""), ("<p>unclosed <b>bold", "unclosed bold"), ("</div></p>a", "a"), ("<html><body></body></html>", "")])
+def test_odd_pages(html, want):
+    assert html_text.main_text(html) == want
+
+
+def test_extract_keeps_every_row(spark):
+    rows = [(1, "u", page(f"<article>{blocks()}</article>")), (1, "u", None), (None, None, ""), (2, "v", "<article><p>" + "long text " * 50_000 + "</p></article>")]
+    frame = spark.createDataFrame([(*r, "x", 3) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = {(r.page_id, r.url, r.n_chars): r.text for r in html_text.extract(frame).collect()}
+    assert got[1, "u", len(WANT)] == WANT and got[1, "u", 0] == "" and got[None, None, 0] == ""
+    assert got[2, "v", 10 * 50_000 - 1] == ("long text " * 50_000).strip()
+    assert html_text.extract(frame.where("false")).collect() == []
+
+
+def test_smoothing_and_threshold():
+    flat = np.full(9, 4.0)
+    assert np.allclose(html_text.smoothed(flat), flat)
+    assert 1 < html_text.threshold(np.array([0.0, 1.0, 9.0, 10.0])) < 9
+    assert html_text.threshold(np.array([3.0])) == 3.0
+
+
+# ------------------------------------------------------------------ URL filters
+
+
+def slow_host(url):
+    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
+    return re.sub(r"\.$", "", m[1].lower()) if m else ""
+
+
+def slow_verdict(url, day, entries):
+    """Every entry's state on the day is looked up by replaying its list."""
+    host = slow_host(url)
+    if not host or day is None:
+        return "none", None, None
+    path = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", url)[1]
+    segments = [s for s in path.split("/") if s]
+    severities = {"remove": 0, "allow": 1, "block": 2}
+    state = {}
+    for name, kind, key, action, since in entries:
+        if key is not None and since is not None and action in severities and kind in ("domain", "prefix") and since <= day:
+            k = (name, kind, key.lower())
+            state[k] = max(state.get(k, (dt.date.min, 0)), (since, severities[action]))
+    hits = []
+    for (name, kind, key), (_, severity) in state.items():
+        if kind == "domain":
+            match = host == key or host.endswith("." + key)
+            rank = key.count(".") + 1
+        else:
+            parts = key.split("/")
+            match = [host, *(s.lower() for s in segments)][: len(parts)] == parts
+            rank = 1000 + len(parts)
+        if match and severity:
+            hits.append((-rank, -severity, name, key))
+    if not hits:
+        return "none", None, None
+    _, severity, name, key = min(hits)
+    return {2: "block", 1: "allow"}[-severity], name, key
+
+
+def captures(seed):
+    r = random.Random(seed)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(40)]
+    hosts = ["a.example", "b.a.example", "c.example", "x.test", "example"]
+    paths = ["", "/", "/en", "/en/1?q=/de", "/EN/2#x", "/de//3"]
+    urls = [f"{r.choice(['http', 'HTTPS'])}://{r.choice(['', 'u@', ''])}{r.choice(hosts).upper() if r.random() < 0.3 else r.choice(hosts)}{r.choice(['', '.', ':80'])}{r.choice(paths)}" for _ in range(200)]
+    rows = [(i, u, r.choice(days)) for i, u in enumerate(urls)] + [(500, None, days[0]), (501, "no url", days[0]), (502, urls[0], None), (None, urls[1], days[9]), (3, urls[3], days[3]), (3, urls[3], days[3])]
+    keys = [("domain", h) for h in hosts] + [("prefix", f"{h}{p}") for h in hosts for p in ("/en", "/de/3", "")]
+    entries = [(r.choice(["l1", "l2"]), *r.choice(keys), r.choice(["block", "allow", "remove"]), r.choice(days)) for _ in range(60)]
+    return rows, [*entries, ("l1", "domain", None, "block", days[0]), ("l1", "domain", "example", None, days[0]), ("l1", "domain", "example", "block", None), ("l1", "other", "example", "block", days[0])]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_verdicts(spark, seed):
+    rows, entries = captures(seed)
+    seen = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, fetched date, key string, verdict string")
+    lists = spark.createDataFrame([(*e, "z") for e in entries], "list_name string, kind string, key string, action string, effective date, url string")
+    got = sorted(((r.page_id, r.url, r.fetched, r.verdict, r.list_name, r.matched_key) for r in url_filters.filter_urls(seen, lists).collect()), key=str)
+    assert got == sorted(((i, u, d, *slow_verdict(u, d, entries)) for i, u, d in rows), key=str)
+    assert len({g[3] for g in got}) == 3
+    none = url_filters.filter_urls(seen, lists.where("false")).collect()
+    assert len(none) == len(rows) and {r.verdict for r in none} == {"none"}
+    assert url_filters.filter_urls(seen.where("false"), lists).collect() == []
+
+
+def test_url_filters_run_no_python(spark):
+    rows, entries = captures(4)
+    seen = spark.createDataFrame(rows, "page_id long, url string, fetched date")
+    lists = spark.createDataFrame(entries, "list_name string, kind string, key string, action string, effective date")
+    plan = url_filters.filter_urls(seen, lists)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
