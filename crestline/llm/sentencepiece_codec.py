@@ -154,14 +154,15 @@ class Codec:
 
         They don't if some part at the first's end and some part at the second's
         start, both there at the same time, join to a piece of better rank than
-        what either goes into next; of equals the one on the left is first.
+        what either goes into next. Of merges of equal rank the one on the left is
+        first, so parts that were just made at that rank join to the left before the right.
         """
         a, b = key >> 24, key & 0xFFFFFF
         starts = self.left.get(b) or [(self._name(b), np.inf, -np.inf)]
         for x, made, used in self.right.get(a) or [(self._name(a), np.inf, -np.inf)]:
             for y, made_y, used_y in starts:
                 score = self.scores.get(x + y)
-                if score is not None and used < score < made and used_y <= score < made_y:
+                if score is not None and used < score <= made and used_y <= score <= made_y:
                     return False
         return True
 
