@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +21,21 @@ def last_or(parts, default: str):
 def throttled(values: DataFrame, key: str, order: str, value: str, step: float = 10.0, start: float = -10.0) -> DataFrame:
     """(key, order, value) of the rows that are reported: those at least ``step`` above the last one reported.
 
-    What is reported depends on what was before, so a key's values are folded in
-    order; progress lines of one job are few. For endless ones see the streaming form.
+    What is reported depends on what was before, so a key's rows are read in order;
+    they stream by, and of each key only the last value reported is held.
     """
-    fold = f"""aggregate(array_sort(collect_list(struct(`{order}` AS o, CAST(`{value}` AS DOUBLE) AS v))),
-        named_struct('last', CAST({start} AS DOUBLE), 'out', CAST(array() AS array<struct<o:bigint,v:double>>)),
-        (a, c) -> if(c.v - a.last >= {step}, named_struct('last', c.v, 'out', concat(a.out, array(named_struct('o', CAST(c.o AS BIGINT), 'v', c.v)))), a), a -> a.out)"""
-    picked = values.where(F.col(value).isNotNull()).groupBy(key).agg(F.expr(fold).alias("picks"))
-    return picked.select(key, F.explode("picks").alias("p")).select(key, F.col("p.o").alias(order), F.col("p.v").alias(value))
+
+    def run(batches):
+        at, last = None, start
+        for batch in batches:
+            taken = []
+            for i, (k, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if k != at:
+                    at, last = k, start
+                if not v - last < step:  # as in SQL, not a number is more than any
+                    taken.append(i)
+                    last = v
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    rows = values.where(F.col(value).isNotNull()).select(key, F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value))
+    return rows.repartition(key).sortWithinPartitions(key, order, value).mapInArrow(run, rows.schema)
