@@ -15,26 +15,46 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-    is unset, as in local tests, is a local temporary folder made and set.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is
+    unset, a local session gets a temporary folder of its own; on a cluster that
+    would be seen by one machine only, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes see; intermediate tables go there")
         found = "file://" + tempfile.mkdtemp(prefix="crestline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/crestline/{name}-{uuid.uuid4().hex}"
+    """A new folder name under this application's part of the shared folder; nothing is created yet."""
+    return f"{shared_dir(spark)}/crestline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application keeps in the shared folder.
+
+    Results read from there, so this is for when they have been written elsewhere.
+    Where nothing was kept, nothing happens.
+    """
+    delete(spark, f"{shared_dir(spark)}/crestline/{spark.sparkContext.applicationId}")
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder if there is one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no more than the tasks that
-    were running on it, since the table outlives all executors.
+    were running on it, since the table outlives all executors. Nulls and repeated
+    rows stay, an empty table is one, and names must differ by more than case.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
@@ -44,12 +64,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Delete the folders of a table from ``written`` that nothing needs any more."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/crestline/" in folder:
-            path = hadoop.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, folder)
 
 
 def filesystem(uri: str):
@@ -70,7 +87,16 @@ def fresh(key: str):
     return F.substring(key, 1, 1 << 20)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, behind as many underscores as it takes to be no column of the frames."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input folder, with all its rows and columns."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
