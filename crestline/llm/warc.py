@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm.common import drop_written, filesystem, scratch, text_or_empty
+from crestline.llm.common import delete, drop_written, filesystem, fresh, scratch, text_or_empty
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _BLOCK = 1 << 20
@@ -38,12 +38,15 @@ _MANIFEST = "archive string, records long"
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
     """page_id, url, payload, refers_to: the response's identifier for revisits, else null.
 
-    Groups are found by SHA-1 with partial maxima, and only digests with several
-    rows are joined back, so pages without copies need not move if those are few.
+    Groups are found by SHA-256 and length (equal SHA-1 digests can be made of
+    different payloads) with partial maxima, and only keys with several rows are
+    joined back, so pages without copies need not move if those are few. The join
+    deals rows out anew, and Spark can split a payload that many pages have.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).cast("binary").alias("payload"))
-    groups = rows.where(F.length("payload") >= least).groupBy(F.sha1("payload").alias("digest")).agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = rows.join(groups, (F.sha1("payload") == F.col("digest")) & (F.length("payload") >= least), "left")
+    key = F.concat(F.unhex(F.sha2("payload", 256)), F.length("payload").cast("string").cast("binary"))
+    groups = rows.where(F.length("payload") >= least).groupBy(key.alias("key")).agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").select(fresh("key").alias("key"), "response")
+    found = rows.withColumn("of", key).join(groups, F.col("of") == F.col("key"), "left")
     revisits = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     return found.select("page_id", "url", "payload", F.when(revisits, F.col("response")).alias("refers_to"))
 
@@ -241,8 +244,7 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     raw, clean = scratch(spark, "warc-raw"), scratch(spark, "warc")
     monolithic = write_monolithic(with_revisits(pages, id_col, url_col, html_col, least), raw)
     members = normalise(monolithic, clean)
-    fs, root = filesystem(raw)
-    fs.delete_dir(root)  # the normalised archives are complete and listed
+    delete(spark, raw)  # the normalised archives are complete and listed; without rows there is no such folder
     drop_written(monolithic)
     return read_back(members)
 

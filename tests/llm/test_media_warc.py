@@ -165,7 +165,29 @@ def test_damage_is_noticed(spark):
         warc._row(data)
 
 
-def test_hot_payload_uses_a_split_join(spark):
+def test_hot_payload_counts(spark):
     hot = spark.range(1000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("html"))
     got = {r.record_type: r["count"] for r in warc.warc_round_trip(hot).groupBy("record_type").count().collect()}
     assert got == {"response": 667, "revisit": 333}
+
+
+def test_hot_payload_uses_a_split_join(spark):
+    """A third of the pages share a payload; its partition is split over tasks, as the final plan says."""
+    import random
+
+    r = random.Random(1)
+    hot = "".join(r.choices("0123456789abcdef", k=60_000))
+    few = spark.range(900).repartition(12).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, hot).otherwise(F.col("id").cast("string")).alias("html"))
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k", "adaptive.advisoryPartitionSizeInBytes": "100k"}
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        found = warc.with_revisits(few).select("page_id", "refers_to", F.length("payload"))
+        got = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+    assert {r.page_id: r.refers_to for r in got} == {i: 897 if i % 3 == 0 and i != 897 else None for i in range(900)}
+    assert "skew=true" in plan
