@@ -1,14 +1,15 @@
 """Exact deduplication by Patricia tries that own the distinct texts.
 
 Partitions are dealt by length and content hash; in each, whole byte strings go
-into a compressed radix trie whose terminal nodes hold the smallest identifier
-and the number of rows. A task first folds its own rows into such a trie, so a
-group of copies sends one string from each task, however large it is.
+into a compressed radix trie whose terminal nodes hold the smallest identifier,
+the number of rows that have it, and the number of all rows. A task first folds
+its own rows into such a trie, so a group of copies sends one string from each
+task, however large it is.
 
 Cases: a null text counts as empty; empty texts are copies of one another; rows
 with a null identifier belong to their group, but stay (``kept``) only if no row
-of it has one; rows that repeat an identifier with an equal text are one
-document and carry the same decision; an empty table gives an empty result.
+of it has one; of rows that repeat the smallest identifier with an equal text one
+stays; an empty table gives an empty result; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,18 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import SPACE, filesystem, scratch, text_or_empty
+from crestline.llm.common import SPACE, filesystem, scratch, text_or_empty, unused, written
 
-_HEAD = struct.Struct("<?qqI")
+_HEAD = struct.Struct("<?qqqI")
 #: What a node takes besides its label, in bytes, by measurement.
 _NODE = 200
 
 
 class _Node:
-    __slots__ = ("children", "count", "label", "smallest")
+    __slots__ = ("children", "count", "label", "smallest", "ties")
 
     def __init__(self, label: bytes):
-        self.label, self.children, self.count, self.smallest = label, {}, 0, None
+        self.label, self.children, self.count, self.smallest, self.ties = label, {}, 0, None, 0
 
 
 def _shared(label: bytes, key: bytes, at: int) -> int:
@@ -48,8 +49,11 @@ def _shared(label: bytes, key: bytes, at: int) -> int:
     return low
 
 
-def _least(a: int | None, b: int | None) -> int | None:
-    return a if b is None else b if a is None else min(a, b)
+def _least(a: tuple[int | None, int], b: tuple[int | None, int]) -> tuple[int | None, int]:
+    """The smaller identifier and how many rows have it; null is the largest."""
+    if a[0] == b[0]:
+        return a[0], a[1] + b[1]
+    return a if b[0] is None or a[0] is not None and a[0] < b[0] else b
 
 
 class RadixTrie:
@@ -58,7 +62,7 @@ class RadixTrie:
     def __init__(self):
         self.root, self.bytes = _Node(b""), 0
 
-    def add(self, key: bytes, smallest: int | None, count: int = 1) -> None:
+    def add(self, key: bytes, smallest: int | None, ties: int = 1, count: int = 1) -> None:
         node, at = self.root, 0
         while at < len(key):
             child = node.children.get(key[at])
@@ -76,17 +80,17 @@ class RadixTrie:
             child.label = child.label[n:]
             self.bytes += _NODE
             node, at = fork, at + n
-        node.smallest = smallest if not node.count else _least(node.smallest, smallest)
+        node.smallest, node.ties = (smallest, ties) if not node.count else _least((node.smallest, node.ties), (smallest, ties))
         node.count += count
 
-    def items(self, top: int | None = None) -> Iterator[tuple[bytes, int | None, int]]:
+    def items(self, top: int | None = None) -> Iterator[tuple[bytes, int | None, int, int]]:
         """All strings, or those below one branch of the root."""
         stack = [(b"", self.root)] if top is None else [(b"", self.root.children[top])]
         while stack:
             prefix, node = stack.pop()
             key = prefix + node.label
             if node.count:
-                yield key, node.smallest, node.count
+                yield key, node.smallest, node.ties, node.count
             stack.extend((key, x) for x in node.children.values())
 
     def cut(self, top: int) -> None:
@@ -119,22 +123,22 @@ class _Spill:
         self.path = f"{root}/{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.path)
 
-    def put(self, key: bytes, smallest: int | None, count: int) -> None:
-        self.out.write(_HEAD.pack(smallest is None, smallest or 0, count, len(key)) + key)
+    def put(self, key: bytes, smallest: int | None, ties: int, count: int) -> None:
+        self.out.write(_HEAD.pack(smallest is None, smallest or 0, ties, count, len(key)) + key)
 
-    def items(self) -> Iterator[tuple[bytes, int | None, int]]:
+    def items(self) -> Iterator[tuple[bytes, int | None, int, int]]:
         self.out.close()
         with self.fs.open_input_stream(self.path, buffer_size=1 << 20) as got:
             while head := got.read(_HEAD.size):
-                none, smallest, count, n = _HEAD.unpack(head)
-                yield got.read(n), None if none else smallest, count
+                none, smallest, ties, count, n = _HEAD.unpack(head)
+                yield got.read(n), None if none else smallest, ties, count
 
     def drop(self) -> None:
         self.fs.delete_file(self.path)
 
 
-def owners_of(rows: Iterator[tuple[bytes, int | None, int]], most: int, folder: str) -> Iterator[tuple[bytes, int | None, int]]:
-    """Fold ``rows`` into one per distinct string within about ``most`` bytes.
+def owners_of(rows: Iterator[tuple[bytes, int | None, int, int]], most: int, folder: str) -> Iterator[tuple[bytes, int | None, int, int]]:
+    """Fold ``rows`` (string, smallest, ties, count) into one per distinct string within about ``most`` bytes.
 
     When the trie outgrows that, its heaviest branch goes to a spill file, and so
     do later strings of the branch; each file is then folded by itself, branching
@@ -146,12 +150,12 @@ def owners_of(rows: Iterator[tuple[bytes, int | None, int]], most: int, folder:
         source, skip = pending.pop()
         trie, spilled = RadixTrie(), {}
         source_rows = source.items() if isinstance(source, _Spill) else source
-        for key, smallest, count in source_rows:
+        for key, *value in source_rows:
             rest = key[len(skip) :]
             if rest and (file := spilled.get(rest[0])):
-                file.put(key, smallest, count)
+                file.put(key, *value)
                 continue
-            trie.add(rest, smallest, count)
+            trie.add(rest, *value)
             while trie.bytes > most and trie.root.children:
                 weights = trie.weights()
                 top = max(weights, key=weights.get)
@@ -200,16 +204,16 @@ def _rows(items, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(held) -> pa.RecordBatch:
-    keys, smallest, counts = zip(*held, strict=True)
-    return pa.record_batch([pa.array(keys, pa.binary()), pa.array(smallest, pa.int64()), pa.array(counts, pa.int64())], ["key", "smallest", "count"])
+    keys, *numbers = zip(*held, strict=True)
+    return pa.record_batch([pa.array(keys, pa.binary()), *(pa.array(x, pa.int64()) for x in numbers)], ["key", "smallest", "ties", "count"])
 
 
 def _reduce(most: int, folder: str):
     def run(batches):
-        rows = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+        rows = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
         held = []
-        for key, smallest, count in owners_of(rows, most, folder):
-            held.append((hashlib.sha256(key).hexdigest(), len(key), smallest, count))
+        for key, *value in owners_of(rows, most, folder):
+            held.append((hashlib.sha256(key).hexdigest(), len(key), *value))
             if len(held) == 10_000:
                 yield _owners(held)
                 held = []
@@ -219,8 +223,12 @@ def _reduce(most: int, folder: str):
     return run
 
 
+_OWNERS = "text_sha256 string, n_bytes long, keep_id long, ties long, group_size long"
+
+
 def _owners(held) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*held, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["text_sha256", "n_bytes", "keep_id", "group_size"])
+    digests, *numbers = zip(*held, strict=True)
+    return pa.record_batch([pa.array(digests, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)], [x.split()[0] for x in _OWNERS.split(", ")])
 
 
 def normalised(text_col: str) -> Column:
@@ -229,35 +237,52 @@ def normalised(text_col: str) -> Column:
 
 
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", combine_bytes: int = 32 << 20, trie_bytes: int = 96 << 20) -> DataFrame:
-    """One row per distinct text: text_sha256, n_bytes, keep_id, group_size.
+    """One row per distinct text: text_sha256, n_bytes, keep_id, ties (rows with that identifier), group_size.
 
     ``combine_bytes`` and ``trie_bytes`` bound a task's memory before and after
     the shuffle; beyond them rows are passed on early, or branches spilled.
     """
     spark = docs.sparkSession
     texts = docs.select(normalised(text_col).cast("binary").alias("key"), F.col(id_col).cast("long").alias("smallest"))
-    combined = texts.mapInArrow(_combine(combine_bytes), "key binary, smallest long, count long")
+    combined = texts.mapInArrow(_combine(combine_bytes), "key binary, smallest long, ties long, count long")
     dealt = combined.repartition(F.length("key"), F.xxhash64("key"))
-    return dealt.mapInArrow(_reduce(trie_bytes, scratch(spark, "spill")), "text_sha256 string, n_bytes long, keep_id long, group_size long")
+    return dealt.mapInArrow(_reduce(trie_bytes, scratch(spark, "spill")), _OWNERS)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
     """Every row's owner: doc_id, keep_id, group_size, kept, text_sha256.
 
     Rows find their owner by SHA-256 and length of the normalised text; which
-    texts are equal was decided on whole byte strings, in the tries.
+    texts are equal was decided on whole byte strings, in the tries. Rows with the
+    owner's own identifier come from the tries, which counted them: one that is
+    kept, and any others.
     """
     norm = normalised(text_col).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(norm, 256).alias("text_sha256"), F.length(norm).cast("long").alias("n_bytes"))
-    found = owners(docs, id_col, text_col, **bounds)
-    return rows.join(found, ["text_sha256", "n_bytes"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    found = written(owners(docs, id_col, text_col, **bounds), "owners")
+    gone = rows.join(found, ["text_sha256", "n_bytes"]).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False))
+    own = found.select("*", F.col("keep_id").alias("doc_id"), F.explode(F.sequence(F.lit(1).cast("long"), "ties")).alias("tie")).withColumn("kept", F.col("tie") == 1)
+    names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    return own.select(*names).unionByName(gone.select(*names))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, one for each distinct text, with all their columns.
+
+    If rows tie, with the smallest identifier and equal texts, the one whose other
+    columns hash lowest stays.
+    """
+    sha, n, keep = (unused(x, docs) for x in ("text_sha256", "n_bytes", "keep_id"))
+    found = written(owners(docs, id_col, text_col, **bounds).toDF(sha, n, keep, "ties", "group_size"), "owners")
     norm = normalised(text_col).cast("binary")
-    found = owners(docs, id_col, text_col, **bounds).select(F.col("text_sha256").alias("__sha"), F.col("n_bytes").alias("__n"), F.col("keep_id").alias("__keep"))
-    return docs.join(found, (F.sha2(norm, 256) == F.col("__sha")) & (F.length(norm) == F.col("__n")) & F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    same = (F.sha2(norm, 256) == F.col(sha)) & (F.length(norm) == F.col(n)) & F.col(id_col).cast("long").eqNullSafe(F.col(keep))
+    alone = docs.join(found.where("ties = 1").select(sha, n, keep), same, "left_semi")
+    tied = found.where("ties > 1").select(sha, n, keep)
+    if tied.isEmpty():
+        return alone
+    comparable = [x for x, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    one = docs.join(tied, same).groupBy(sha, n).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*comparable)).alias("row"))
+    return alone.unionByName(one.select("row.*"))
 
 
 OP9_SQL = r"""
@@ -266,6 +291,6 @@ WITH t AS (
   FROM documents
 )
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, text_sha256
+       doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AND row_number() OVER (PARTITION BY text_sha256, doc_id) = 1 AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """

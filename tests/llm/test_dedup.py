@@ -44,12 +44,27 @@ def test_exact_dedup(spark, bounds):
     for i, t in rows:
         groups[plain(t)].append(i)
     least = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
-    want = sorted(((i, least[plain(t)], len(groups[plain(t)]), i == least[plain(t)]) for i, t in rows), key=str)
+    first = set()
+    stays = lambda i, t: i == least[plain(t)] and plain(t) not in first and not first.add(plain(t))
+    want = sorted(((i, least[plain(t)], len(groups[plain(t)]), stays(i, t)) for i, t in rows), key=str)
     got = exact_dedup.exact_dedup(docs(spark, rows), **bounds).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str) == want
     kept = exact_dedup.keep_first(docs(spark, rows), **bounds)
     assert kept.columns == ["doc_id", "text", "kept", "digest", "fp"]
-    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((i, t) for i, t in rows if i == least[plain(t)]), key=str)
+    stay = kept.collect()
+    assert sorted(((r.doc_id, plain(r.text)) for r in stay), key=str) == sorted(((i, t) for t, i in least.items()), key=str)
+    assert {(r.doc_id, r.text) for r in stay} <= set(rows)
+
+
+def test_tied_rows_leave_one(spark):
+    """Rows with one identifier and equal texts, of which the other columns differ or don't."""
+    rows = [(1, "t", "b", "x"), (1, "t", "a", "x"), (1, "t", "a", "x"), (2, "t", "c", "x"), (None, "u", "d", "x"), (None, "u", "d", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, text_sha256 string, __keep string")
+    once = exact_dedup.keep_first(frame).collect()
+    assert sorted(((r.doc_id, r.text) for r in once), key=str) == [(1, "t"), (None, "u")]
+    assert sorted(map(str, once)) == sorted(map(str, exact_dedup.keep_first(frame.repartition(3)).collect()))
+    decided = exact_dedup.exact_dedup(frame).collect()
+    assert sorted(((r.doc_id, r.kept, r.group_size) for r in decided), key=str) == [(1, False, 4), (1, False, 4), (1, True, 4), (2, False, 4), (None, False, 2), (None, True, 2)]
 
 
 def test_exact_dedup_of_nothing(spark):
@@ -63,9 +78,10 @@ def test_tries_fold_like_a_dictionary(tmp_path_factory, rows, most):
     want = defaultdict(list)
     for k, i in rows:
         want[k].append(i)
-    got = list(exact_dedup.owners_of(((k, i, 1) for k, i in rows), most, folder))
+    got = list(exact_dedup.owners_of(((k, i, 1, 1) for k, i in rows), most, folder))
     assert len(got) == len(want)
-    assert {k: (i, n) for k, i, n in got} == {k: (min((x for x in v if x is not None), default=None), len(v)) for k, v in want.items()}
+    least = {k: min((x for x in v if x is not None), default=None) for k, v in want.items()}
+    assert {k: value for k, *value in got} == {k: [least[k], v.count(least[k]), len(v)] for k, v in want.items()}
     from pathlib import Path
 
     assert not list(Path(folder[7:]).iterdir())
