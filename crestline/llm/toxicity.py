@@ -1,27 +1,31 @@
 """Toxicity by votes of the nearest labelled examples.
 
-Terms are words in lower case. Those that labelled examples tie to the label
-(``z_min`` standard deviations above chance, more toxic than not) make the
-vocabulary; a text's vector has (1 + ln tf) idf of its vocabulary words, with idf
-over all documents, and one term of weight ``background`` that every text has, so
-that one doubtful word is nearer to none than to three. Cosines are exact.
-
-The examples' distinct vectors, each with how many examples have it and how many
-of them are toxic, are the index: postings by term, in blocks of similar vectors,
-with each term's largest weight in every block. A search visits blocks in the
-order of the bound those weights give and stops where no further block can reach
-the k-th neighbour. Votes are weighted by closeness and calibrated by isotonic
-regression on votes that leave the example itself out.
-
-Examples are a bounded sample of the labelled rows (about ``max_examples`` by a
-hash of the identifier), which is all that reaches the driver besides counts of
-at most ``max_terms`` terms; corpus counts cover every document.
-
-Cases: a null or empty text has the background term only and scores as the
-examples without vocabulary words do; an unlabelled corpus or an empty
-vocabulary gives all texts the examples' rate, 0 if there are none; several
-labels of one identifier count as toxic if one is; rows with a null identifier
-have no label; repeated rows score alike; an empty table gives an empty result.
+Terms are words in lower case; the vector space is that of all words the examples
+have. A text's vector has (1 + ln tf) idf tie for each of them: idf counts every
+document of the corpus, and tie = ``floor`` + max(0, ln(rate of the label among
+the examples with the word / rate among all)), the former shrunk by one example,
+so that words that go with the label weigh more and no word is left out. Cosines
+are exact.
+
+The index has the examples' vectors in blocks of similar ones: postings by block
+and term, and for every term the blocks that have it with its largest weight in
+each. A search bounds all blocks by those weights, visits them from the highest
+bound down, and stops where no further block can reach the k-th neighbour. Votes
+are weighted by closeness, and calibrated by isotonic regression on the votes of
+the examples themselves, each left out of its own.
+
+Examples are at most ``max_examples`` labelled rows, those whose identifiers hash
+lowest. They, the corpus counts of their words and the votes of the calibration
+are all that reaches the driver. Every document is counted and scored where it
+lies, from its whole text.
+
+Cases: a text without a word of the examples, a null or empty one above all,
+scores as the examples' rate; places for which no example shares a word vote that
+rate too; without labels, or with those of one kind only, all score 0 or 1; several
+labels of one identifier count as toxic if one is; of rows that repeat a labelled
+identifier the least text is the example; rows with a null identifier have no
+label; equal texts score alike; an empty table gives an empty result; other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -33,10 +37,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import text_or_empty, written
+from crestline.llm.common import text_or_empty
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -51,207 +56,243 @@ class Params:
     """``k``: examples that vote; ``block``: vectors in a block; the others as in the module's text."""
 
     k: int = 15
-    z_min: float = 6.0
-    min_docs: int = 5
-    max_terms: int = 4096
-    max_examples: int = 20_000
-    background: float = 2.0
-    block: int = 64
+    floor: float = 0.05
+    max_examples: int = 4_000
+    block: int = 32
     threshold: float = 0.7
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, params: Params) -> DataFrame:
-    """id, text and toxic (0 or 1) of the sample of labelled rows that may be learned from."""
+    """id, text and toxic (0 or 1) of the examples: one row of each identifier, ``max_examples`` at most."""
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    marks = marks.where(~held_out("id"))
-    share = min(1.0, params.max_examples / max(1, marks.count()))
-    marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 32)) < int(share * (1 << 32)))
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).join(marks, "id")
+    marks = marks.where(F.col("id").isNotNull() & ~held_out("id")).orderBy(F.xxhash64("id"), "id").limit(params.max_examples)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    return rows.join(F.broadcast(marks), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+
+def word_counts(text: str) -> Counter:
+    return Counter(WORD.findall(text.lower()))
 
 
-def _tallied(rows: DataFrame, tally) -> DataFrame:
-    """term, n, toxic: counts that ``tally(batch)`` makes, added up in a task and over all."""
+def _counted(examples: DataFrame) -> list[tuple[int, int, Counter]]:
+    """(id, toxic, words) of the examples, by identifier; their number is bounded."""
 
     def run(batches):
-        n, toxic = Counter(), Counter()
         for batch in batches:
-            for words, mark in tally(batch):
-                n.update(words)
-                if mark:
-                    toxic.update(words)
-        yield pa.record_batch([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64()), pa.array([toxic[w] for w in n], pa.int64())], ["term", "n", "toxic"])
+            found = [word_counts(t) for t in batch.column(1).to_pylist()]
+            words, counts = pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))
+            yield pa.record_batch([batch.column(0), batch.column(2), words, counts], ["id", "toxic", "words", "counts"])
 
-    return rows.mapInArrow(run, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    rows = examples.select("id", "text", "toxic").mapInArrow(run, "id long, toxic int, words array<string>, counts array<int>").collect()
+    return sorted(((r.id, r.toxic, Counter(dict(zip(r.words, r.counts, strict=True)))) for r in rows), key=lambda x: x[0])
 
 
-def vocabulary(examples: DataFrame, params: Params) -> list[str]:
-    """The terms tied to the label, at most ``max_terms``, the strongest if there are more."""
-    total = examples.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    if not 0 < total.toxic < total.n:
-        return []
-    rate = total.toxic / total.n
-    counts = _tallied(examples.select("text", "toxic"), lambda b: ((set(WORD.findall(t.lower())), y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
-    z = (F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
-    tied = counts.where((F.col("n") >= params.min_docs) & (z >= params.z_min) & (F.col("toxic") * 2 >= F.col("n")))
-    return sorted(r.term for r in tied.orderBy(z.desc(), "term").limit(params.max_terms).collect())
+def document_frequencies(docs: DataFrame, words: list[str], text_col: str) -> tuple[np.ndarray, int]:
+    """In how many documents each word is, and how many documents there are.
 
+    Every task adds up its own counts before they are shuffled, and gives at most
+    one row for each word; as many come to the driver.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
 
-def _counted(text: str, numbers: dict[str, int]) -> list[tuple[int, int]]:
-    """(term number, tf) of a text's vocabulary words, in order."""
-    return sorted(Counter(map(numbers.__getitem__, filter(numbers.__contains__, WORD.findall(text.lower())))).items())
+    def run(batches):
+        number, n, rows = shared.value, np.zeros(len(shared.value), np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for text in batch.column(0).to_pylist():
+                found = [number[w] for w in set(WORD.findall(text.lower())) if w in number]
+                n[found] += 1
+        (some,) = np.nonzero(n)
+        yield pa.record_batch([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(n[some], rows))], ["word", "n"])
 
+    counts = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    of = np.zeros(len(words) + 1, np.int64)
+    for r in counts:
+        of[r.word] = r.n  # -1, the last, has all rows
+    return of[:-1], int(of[-1])
 
-def term_vectors(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """id, terms (numbers in order) and tfs of every row."""
-    numbers = {t: i for i, t in enumerate(terms)}
 
-    def run(batches):
-        for batch in batches:
-            found = [_counted(t, numbers) for t in batch.column(1).to_pylist()]
-            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.array([x for row in found for x in row], np.int32).reshape(-1, 2)
-            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[:, c].copy())) for c in (0, 1)]
-            yield pa.record_batch([batch.column(0), *lists], ["id", "terms", "tfs"])
+def term_weights(df: np.ndarray, rows: int, n: np.ndarray, toxic: np.ndarray, rate: float, floor: float) -> np.ndarray:
+    """idf times tie of each term; ``n`` and ``toxic`` count the examples that have it."""
+    idf = np.log((1 + rows) / (1 + df)) + 1
+    tied = np.log((toxic + rate) / (n + 1) / rate) if 0 < rate < 1 else np.zeros(len(n))
+    return idf * (floor + np.maximum(0, tied))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, terms array<int>, tfs array<int>")
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``sizes`` of each, one after another."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
 class Index:
-    """Block-max inverted index over the examples' distinct vectors."""
-
-    def __init__(self, idf: np.ndarray, examples: list[tuple], params: Params):
-        """``examples``: (id, terms, tfs, toxic). The background term's number is ``len(idf)``."""
-        self.idf, self.k, self.block, self.background = idf, params.k, params.block, params.background
-        groups: dict[tuple, list] = {}
-        for i, terms, tfs, toxic in examples:
-            g = groups.setdefault((tuple(terms), tuple(tfs)), [0, 0, i])
-            g[0], g[1], g[2] = g[0] + 1, g[1] + toxic, min(g[2], i)
-        keys = sorted(groups)  # neighbours in this order share terms, so bounds are tight
-        self.count = np.array([groups[k][0] for k in keys], np.float64)
-        self.toxic = np.array([groups[k][1] for k in keys], np.float64)
-        self.id = np.array([groups[k][2] for k in keys], np.int64)
-        vectors = [self.vector(*k) for k in keys]
-        blocks = -(-len(keys) // self.block)
-        self.largest = np.zeros((len(idf) + 1, blocks))
-        postings: list[list] = [[] for _ in range(len(idf) + 1)]
-        for j, (terms, weights) in enumerate(vectors):
-            np.maximum.at(self.largest, (terms, j // self.block), weights)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                postings[t].append((j, w))
-        self.at = [np.array([j for j, _ in p], np.int64) for p in postings]
-        self.weight = [np.array([w for _, w in p]) for p in postings]
-        self.starts = [np.searchsorted(a, np.arange(blocks + 1) * self.block) for a in self.at]
-        self.rate = self.toxic.sum() / max(1.0, self.count.sum())
-        self.knots = self._calibrated(vectors)
-
-    def vector(self, terms, tfs) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit-length weights."""
-        terms = np.array([*terms, len(self.idf)], np.int64)
-        weights = np.append((1 + np.log(np.array(tfs, np.float64))) * self.idf[terms[:-1]], self.background)
-        return terms, weights / np.sqrt(weights @ weights)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, extra: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(vectors, cosines), the nearest first, until they stand for k + ``extra`` examples; exact."""
-        bounds = weights @ self.largest[terms]
-        need, found, cosines, least = self.k + extra, np.zeros(0, np.int64), np.zeros(0), -1.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] + 1e-12 < least:
+    """Block-max inverted index over the examples' vectors.
+
+    ``words``: the terms in their order; ``examples``: (id, toxic, words with counts).
+    """
+
+    def __init__(self, words: list[str], weight: np.ndarray, df: np.ndarray, examples: list[tuple[int, int, Counter]], params: Params):
+        self.words, self.weight, self.k, self.block = words, weight, params.k, params.block
+        self.number = {w: i for i, w in enumerate(words)}
+        vectors = [self.vector(x) for *_, x in examples]
+        # texts that share their commonest words, of one language above all, are neighbours, so bounds are tight
+        order = sorted(range(len(vectors)), key=lambda j: (tuple(sorted(vectors[j][0].tolist(), key=lambda t: (-df[t], t))[:4]), j))
+        vectors = [vectors[j] for j in order]
+        self.id = np.array([examples[j][0] for j in order], np.int64)
+        self.toxic = np.array([examples[j][1] for j in order], np.float64)
+        self.rate = float(self.toxic.mean()) if len(order) else 0.0
+        self.blocks = -(-len(order) // self.block)
+        row = np.repeat(np.arange(len(order)), [len(t) for t, _ in vectors])
+        term, value = (np.concatenate([v[c] for v in vectors]) if vectors else np.zeros(0) for c in (0, 1))
+        term = term.astype(np.int64)
+        at = np.lexsort((row, term, row // self.block))  # postings by block and term
+        row, term, value = row[at], term[at], value[at]
+        block = row // self.block
+        self.term, self.value, self.place = term.astype(np.int32), value.astype(np.float32), (row - block * self.block).astype(np.int16)
+        self.start = np.searchsorted(block, np.arange(self.blocks + 1))
+        at = np.lexsort((block, term))  # and each term's largest weight in every block that has it
+        key = term[at] * max(1, self.blocks) + block[at]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.largest = np.maximum.reduceat(value[at], first) if len(first) else np.zeros(0)
+        self.largest_in = key[first] % max(1, self.blocks)
+        self.term_start = np.searchsorted(key[first] // max(1, self.blocks), np.arange(len(words) + 1))
+        self.knots: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+        self._query: np.ndarray | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_query": None, "number": None}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self.number = {w: i for i, w in enumerate(self.words)}
+
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers and unit-length weights of a text's words; words that no example has are no terms."""
+        found = {self.number[w]: n for w, n in counts.items() if w in self.number}
+        terms = np.fromiter(found, np.int64, len(found))
+        weights = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))) * self.weight[terms]
+        return terms, weights / np.sqrt(weights @ weights) if len(found) else weights
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest that share a word, the nearest first; exact. ``without`` one example."""
+        if self._query is None:
+            self._query = np.zeros(len(self.words), np.float32)
+        sizes = self.term_start[terms + 1] - self.term_start[terms]
+        at = _ranges(self.term_start[terms], sizes)
+        bounds = np.bincount(self.largest_in[at], weights=self.largest[at] * np.repeat(weights, sizes), minlength=self.blocks)
+        found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        self._query[terms] = weights
+        for b in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[b] <= 0 or bounds[b] + 1e-12 < least:
                 break
-            first = b * self.block
-            scores = np.zeros(min(self.block, len(self.count) - first))
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                s, e = self.starts[t][b], self.starts[t][b + 1]
-                scores[self.at[t][s:e] - first] += w * self.weight[t][s:e]
-            found = np.append(found, np.arange(first, first + len(scores)))
-            cosines = np.append(cosines, scores)
-            order = np.lexsort((found, -cosines.round(12)))
-            enough = np.searchsorted(np.cumsum(self.count[found[order]]), need) + 1
-            found, cosines = found[order[:enough]], cosines[order[:enough]]
-            if self.count[found].sum() >= need:
+            s, e = self.start[b], self.start[b + 1]
+            scores = np.bincount(self.place[s:e], self._query.take(self.term[s:e]) * self.value[s:e])
+            if without // self.block == b:
+                scores[without % self.block :][:1] = 0
+            near = np.flatnonzero(scores > max(0.0, least - 1e-12))
+            if not len(near):
+                continue
+            found, cosines = np.concatenate((found, near + b * self.block)), np.concatenate((cosines, scores[near]))
+            if len(found) > self.k:
+                best = np.lexsort((found, -cosines.round(12)))[: self.k]
+                found, cosines = found[best], cosines[best]
                 least = cosines[-1]
-        return found, cosines
-
-    def vote(self, found: np.ndarray, cosines: np.ndarray, without: tuple[int, float] | None = None) -> float:
-        """The share of toxic votes, weighted by closeness; ``without`` leaves out one example (vector, label)."""
-        count, toxic = self.count[found].copy(), self.toxic[found].copy()
-        if without:
-            own = found == without[0]
-            count[own] -= 1
-            toxic[own] -= without[1]
-        share = np.divide(toxic, count, out=np.zeros_like(toxic), where=count > 0)
-        votes = np.minimum(count, self.k) / (0.02 + np.maximum(0.0, 1 - cosines))
-        return float(votes @ share / votes.sum()) if votes.sum() else self.rate
-
-    def _calibrated(self, vectors) -> tuple[np.ndarray, np.ndarray]:
-        """Knots of the increasing function from votes to the share of toxic examples with such votes."""
-        points = []
-        for j, v in enumerate(vectors):
-            near = self.nearest(*v, extra=1)
-            for label, n in ((1.0, self.toxic[j]), (0.0, self.count[j] - self.toxic[j])):
-                if n:
-                    points.append((self.vote(*near, without=(j, label)), label, n))
+        self._query[terms] = 0
+        best = np.lexsort((found, -cosines.round(12)))
+        return found[best], cosines[best]
+
+    def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
+        """The share of toxic votes, weighted by closeness; places without a neighbour vote the rate at cosine 0."""
+        votes, empty = 1 / (0.02 + np.maximum(0.0, 1 - cosines)), (self.k - len(found)) / 1.02
+        return float((votes @ self.toxic[found] + empty * self.rate) / (votes.sum() + empty))
+
+    def left_out(self, j: int, counts: Counter) -> float:
+        """The vote on example ``j`` by the others."""
+        return self.vote(*self.nearest(*self.vector(counts), without=j))
+
+    def calibrate(self, votes: list[tuple[float, int]]) -> None:
+        """Fit the increasing step function from votes to the share of toxic ones, as knots of means."""
         pools: list[list[float]] = []  # examples, toxic ones, votes
-        for vote, label, n in sorted(points):
-            pools.append([n, n * label, n * vote])
+        for vote, label in sorted(votes):
+            pools.append([1, label, vote])
             while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
                 last = pools.pop()
                 pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-        prior = self.rate
-        return np.array([p[2] / p[0] for p in pools]), np.array([(p[1] + prior) / (p[0] + 1) for p in pools])
-
-    def score(self, terms, tfs) -> tuple[float, list[int]]:
-        """The calibrated score of a vector and its nearest examples' identifiers."""
-        if not len(self.count):
-            return 0.0, []
-        found, cosines = self.nearest(*self.vector(terms, tfs))
+        if pools:
+            self.knots = np.array([v / n for n, _, v in pools]), np.array([(t + self.rate) / (n + 1) for n, t, _ in pools])
+
+    def score(self, counts: Counter) -> tuple[float, list[int]]:
+        """A text's calibrated score, and the identifiers of its three nearest examples."""
+        if not 0 < self.rate < 1:
+            return self.rate, []
+        found, cosines = self.nearest(*self.vector(counts))
+        if not len(found):
+            return self.rate, []
         # a little of the vote itself keeps the order where calibration is level
-        value = float(np.interp(vote := self.vote(found, cosines), *self.knots))
-        return min(1.0, max(0.0, 0.99 * value + 0.01 * vote)), self.id[found[:3]].tolist()
+        vote = self.vote(found, cosines)
+        return min(1.0, max(0.0, 0.99 * float(np.interp(vote, *self.knots)) + 0.01 * vote)), self.id[found[:3]].tolist()
 
 
 class _Scorer:
-    """An index's scores by vector; those of the vectors seen of late are kept."""
+    """An index's scores by text; those of the texts seen of late are kept, ``most`` at once."""
 
-    def __init__(self, index: Index, most: int = 100_000):
+    def __init__(self, index: Index, most: int = 50_000):
         self.index, self.most, self.known = index, most, {}
 
-    def __call__(self, terms, tfs) -> tuple[float, list[int]]:
-        key = (*terms, -1, *tfs)
+    def __call__(self, text: str) -> tuple[float, list[int]]:
+        key = xxhash.xxh3_128_digest(text.encode(errors="surrogatepass"))
         if key not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()
-            self.known[key] = self.index.score(terms, tfs)
+            self.known[key] = self.index.score(word_counts(text))
         return self.known[key]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> tuple[Index, list[str], DataFrame]:
-    """The index, its vocabulary, and the vectors of all rows as a written table."""
-    examples = labelled(docs, labels, id_col, text_col, params)
-    terms = vocabulary(examples, params)
-    vectors = written(term_vectors(docs, terms, id_col, text_col), "term-vectors")
-    rows = vectors.count()
-    df = {r.term: r["count"] for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
-    idf = np.log((1 + rows) / (1 + np.array([df.get(t, 0) for t in range(len(terms))], np.float64))) + 1
-    marked = vectors.join(examples.select("id", "toxic").distinct(), "id").collect()  # bounded by max_examples
-    return Index(idf, sorted((r.id, r.terms, r.tfs, r.toxic) for r in marked), params), terms, vectors
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> Index:
+    """The calibrated index of the examples."""
+    spark = docs.sparkSession
+    examples = _counted(labelled(docs, labels, id_col, text_col, params))
+    n, toxic = Counter(), Counter()
+    for _, mark, counts in examples:
+        n.update(counts.keys())
+        if mark:
+            toxic.update(counts.keys())
+    words = sorted(n)
+    df, rows = document_frequencies(docs, words, text_col)
+    rate = sum(mark for _, mark, _ in examples) / max(1, len(examples))
+    weight = term_weights(df, rows, np.array([n[w] for w in words], np.float64), np.array([toxic[w] for w in words], np.float64), rate, params.floor)
+    index = Index(words, weight, df, examples, params)
+    if 0 < rate < 1:
+        own = {i: counts for i, _, counts in examples}
+        shared = spark.sparkContext.broadcast(index)
+        rows_of = [(j, list(own[i]), list(own[i].values())) for j, i in enumerate(index.id.tolist())]
+
+        def run(batches):
+            for batch in batches:
+                j, names, counts = (c.to_pylist() for c in batch.columns)
+                votes = [shared.value.left_out(x, Counter(dict(zip(w, c, strict=True)))) for x, w, c in zip(j, names, counts, strict=True)]
+                yield pa.record_batch([batch.column(0), pa.array(votes, pa.float64())], ["j", "vote"])
+
+        table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_of, strict=True), (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], ["j", "words", "counts"])
+        votes = spark.createDataFrame(table).repartition(32).mapInArrow(run, "j long, vote double").collect()
+        index.calibrate([(r.vote, int(index.toxic[r.j])) for r in votes])
+    return index
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (identifiers of the nearest examples) of every row."""
-    index, _, vectors = fit(docs, labels, id_col, text_col, params)
     threshold = params.threshold
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, params))
 
     def run(batches):
         score_of = _Scorer(shared.value)
         for batch in batches:
-            found = [score_of(*x) for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [score_of(t) for t in batch.column(1).to_pylist()]
             scores = [s for s, _ in found]
             predicted = [int(s >= threshold) for s in scores]
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))], ["doc_id", "score", "predicted", "evidence"])
 
-    scored = vectors.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    scored = rows.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
 
 
@@ -261,15 +302,13 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     Every row is scored by its own text where it lies: a join with the scores
     would shuffle all texts.
     """
-    index, terms, _ = fit(docs, labels, id_col, text_col, params)
-    threshold, numbers = params.threshold, {t: i for i, t in enumerate(terms)}
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    threshold = params.threshold
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, params))
 
     @F.arrow_udf("boolean")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score_of = _Scorer(shared.value)
         for texts in batches:
-            found = ([*zip(*_counted(t, numbers), strict=True)] or [(), ()] for t in texts.to_pylist())
-            yield pa.array([score_of(*x)[0] < threshold for x in found], pa.bool_())
+            yield pa.array([score_of(t)[0] < threshold for t in texts.to_pylist()], pa.bool_())
 
     return docs.where(clean(text_or_empty(text_col)))
