@@ -1,28 +1,35 @@
 """Main text of web pages by text-to-tag ratios.
 
 A streaming parser turns a page into lines, one for each block of text, with the
-characters and tags of each. The ratios of text to tags are smoothed with a
-Gaussian along the page and split at a threshold by two-means clustering; the
-lines above it vote, with their characters, for the region that holds them: the
-innermost ``article`` or ``main``, or else a ``section``, ``div`` or the
-``body``. All lines of the winning region are the text, short paragraphs
-included, without those within elements that never are content (menus, headers,
-footers, asides, forms, scripts, styles, hidden parts) or whose class, id or role
-names an advert, notice, sidebar, comment section or the like.
-
-The clustering alone drops short paragraphs and keeps long notices, so it picks
-regions here, and the element's kind settles the rest.
+characters and tags of each. Elements that never are content (menus, headers,
+footers, asides, forms, scripts, styles, hidden parts), or whose class, id or role
+names an advert, notice, sidebar, comment section or the like, give no lines. The
+ratios of text to tags are smoothed with a Gaussian along the page and split at a
+threshold by two-means clustering. The lines above it choose the content: it is
+within the innermost region (article, main, section, div, table cell or the page)
+that holds nine tenths of their characters.
+
+Clustering alone drops short paragraphs, so lines below the threshold are content
+too where those above it are: if the region lies in an article or main, or
+consists of articles, all lines of those are the text, as authors mark it so;
+otherwise the lines of every region that directly holds a chosen line, those
+between chosen lines, and the headings right before the first. Menus or notices
+that nothing names lie outside of that and go.
 
 Cases: a null or empty page, or one without text, has empty text; plain text
-without markup is one block; unclosed elements close with their parent; repeated
-rows give repeated results; an empty table gives an empty result.
+without markup is one block; unclosed elements close with their parent, and end
+tags of elements that aren't open count for nothing; white space is what Unicode
+calls so, a no-break space included; repeated rows give repeated results; an empty
+table gives an empty result; other columns may have any names. Time and memory
+grow in proportion to the page, however deep its elements lie in one another.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +51,9 @@ NAMES = frozenset(
     "comment comments commentlist disqus respond replies reply "
     "related recommended recommendations share sharing social".split()
 )
-#: How regions rank when lines within both are content: the more specific first.
-REGIONS = {"article": 3, "main": 2, "section": 1, "div": 1, "body": 0, "html": 0}
+#: Elements that may be the region of the content.
+REGIONS = frozenset("article main section div td body".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end when the key starts within them.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _NO_END = frozenset("p li dt dd tr td th option b i em strong a span font u small big tt s".split())
@@ -73,61 +81,80 @@ def _unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    region: int
+    heading: bool
+
+
 class _Lines(HTMLParser):
-    """Collects lines: text, characters, tags, and the region each lies in."""
+    """Collects lines and the tree of regions: ``kind`` and ``parent`` by number, 0 being the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []  # text, tags, regions around it
-        self.rank: dict[int, int] = {0: -1}
-        self.open: list[tuple[str, bool, int | None]] = []  # tag, unwanted, region
-        self.hidden, self.tags, self.held = 0, 0, []
+        self.lines: list[Line] = []
+        self.kind, self.parent = ["page"], [0]
+        self.open: list[tuple[str, bool, bool]] = []  # tag, unwanted, region
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # where a tag is open, the outermost first
+        self.walls: list[int] = []  # where elements are open that end tags of others don't pass
+        self.inside = [0]  # regions around, the innermost last
+        self.hidden = self.tags = self.headings = 0
+        self.held: list[str] = []
 
     def flush(self) -> None:
-        if text := " ".join("".join(self.held).split()):
-            self.lines.append((text, self.tags, (0, *(r for *_, r in self.open if r is not None))))
+        if self.held and (text := " ".join("".join(self.held).split())):
+            self.lines.append(Line(text, self.tags, self.inside[-1], self.headings > 0))
             self.tags = 0
         self.held = []
 
     def handle_starttag(self, tag, attrs):
-        self.tags += 1
+        self.tags += not self.hidden
         if tag == "br":
             self.held.append(" ")
             return
         if tag in BLOCKS:
             self.flush()
-        for k in range(len(self.open) - 1, -1, -1):  # an open p ends where a block starts, an open li at the next
-            if self.open[k][0] in _ENDS.get(tag, ()) or self.open[k][0] == "p" and tag in BLOCKS:
-                self._close(k)
-                break
-            if self.open[k][0] not in _NO_END:
-                break
+        # an open p ends where a block starts, an open li at the next
+        ends = max((self.at[t][-1] for t in (*_ENDS.get(tag, ()), *(("p",) if tag in BLOCKS else ())) if self.at[t]), default=-1)
+        if ends > (self.walls[-1] if self.walls else -1):
+            self._close(ends)
         if tag in VOID:
             return
-        unwanted, region = _unwanted(tag, attrs), None
-        if not unwanted and tag in REGIONS:
-            region = len(self.rank)
-            self.rank[region] = REGIONS[tag]
+        unwanted = _unwanted(tag, attrs)
+        region = not unwanted and not self.hidden and tag in REGIONS
+        if region:
+            self.kind.append(tag)
+            self.parent.append(self.inside[-1])
+            self.inside.append(len(self.kind) - 1)
+        self.at[tag].append(len(self.open))
+        if tag not in _NO_END:
+            self.walls.append(len(self.open))
         self.open.append((tag, unwanted, region))
         self.hidden += unwanted
+        self.headings += tag in HEADINGS
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # HTML ignores the slash
 
     def handle_endtag(self, tag):
-        self.tags += 1
+        self.tags += not self.hidden
         if tag in BLOCKS:
             self.flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self._close(k)
-                return
-            if self.open[k][0] not in _NO_END and tag not in BLOCKS:
-                return  # a stray end tag of an inline element doesn't end blocks
+        # a stray end tag of an inline element doesn't end blocks
+        if self.at[tag] and (tag in BLOCKS or tag not in _NO_END or not self.walls or self.at[tag][-1] > self.walls[-1]):
+            self._close(self.at[tag][-1])
 
     def _close(self, k: int) -> None:
-        self.hidden -= sum(x[1] for x in self.open[k:])
-        del self.open[k:]
+        while len(self.open) > k:
+            tag, unwanted, region = self.open.pop()
+            self.at[tag].pop()
+            if self.walls and self.walls[-1] == len(self.open):
+                self.walls.pop()
+            if region:
+                self.inside.pop()
+            self.hidden -= unwanted
+            self.headings -= tag in HEADINGS
 
     def handle_data(self, data):
         if not self.hidden:
@@ -154,36 +181,88 @@ def threshold(values: np.ndarray) -> float:
         low, high = new
 
 
+def chosen_lines(lines: list[Line]) -> np.ndarray:
+    """Which lines' smoothed ratios lie in the upper of two clusters."""
+    ratio = smoothed(np.array([len(x.text) / max(1, x.tags) for x in lines]))
+    return ratio >= threshold(ratio)
+
+
 def main_text(html: str | None) -> str:
     """The page's main text: its blocks joined by one space."""
     if not html:
         return ""
     parser = _Lines()
-    parser.feed(html)
+    end = html.rfind(">") + 1  # what begins after the last ">" is no tag, and the parser needn't look for its end
+    parser.feed(html[:end])
+    parser.feed(html[end:].partition("<")[0])
     parser.close()
     parser.flush()
-    if not parser.lines:
+    lines = parser.lines
+    if not lines:
         return ""
-    ratio = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in parser.lines]))
-    content = ratio >= threshold(ratio)
-    votes: Counter[int] = Counter()
-    for (text, _, regions), chosen in zip(parser.lines, content, strict=True):
-        if chosen:
-            for r in regions:
-                votes[r] += len(text)
-    best = _region(parser, votes)
-    return " ".join(text for text, _, regions in parser.lines if best & set(regions))
-
-
-def _region(parser: _Lines, votes: Counter[int]) -> set[int]:
-    """The regions to keep: articles or mains with content if they hold most of it, else the smallest with most of it."""
-    total = votes[0]
-    for rank in (3, 2):
-        held = {r for r, n in votes.items() if parser.rank[r] == rank}
-        if held and sum(len(t) for (t, _, rs) in parser.lines if held & set(rs)) * 2 >= total:
-            return held
-    most = [r for r, n in votes.items() if n * 10 >= total * 9]
-    return {max(most)}  # regions are numbered as they open, so the largest number is the innermost
+    chosen = chosen_lines(lines)
+    best = _region(parser, chosen)
+    marked = _marked(parser, best, chosen)
+    if marked:
+        return " ".join(x.text for x, inside in zip(lines, _within(parser, marked), strict=True) if inside)
+    inside = _within(parser, {best})
+    at = [i for i, x in enumerate(chosen) if x and inside[i]]
+    direct, first, last = {lines[i].region for i in at}, at[0], at[-1]
+    kept = [ok and (x.region in direct or first <= i <= last) for i, (x, ok) in enumerate(zip(lines, inside, strict=True))]
+    before = kept.index(True)
+    while before and lines[before - 1].heading:
+        before -= 1
+        kept[before] = True
+    return " ".join(x.text for x, ok in zip(lines, kept, strict=True) if ok)
+
+
+def _votes(parser: _Lines, chosen: np.ndarray) -> list[int]:
+    """The characters of the chosen lines in each region and those within it."""
+    votes = [0] * len(parser.kind)
+    for x, ok in zip(parser.lines, chosen, strict=True):
+        if ok:
+            votes[x.region] += len(x.text)
+    for r in range(len(votes) - 1, 0, -1):  # a region opens after its parent
+        votes[parser.parent[r]] += votes[r]
+    return votes
+
+
+def _region(parser: _Lines, chosen: np.ndarray) -> int:
+    """The innermost region with nine tenths of the chosen characters."""
+    votes = _votes(parser, chosen)
+    return max(r for r, n in enumerate(votes) if n * 10 >= votes[0] * 9)  # numbered as they open, so the largest is innermost
+
+
+def _marked(parser: _Lines, best: int, chosen: np.ndarray) -> set[int]:
+    """The articles, or the main, that the content region lies in or consists of; none if there are no such."""
+    for kind in ("article", "main"):
+        r = best
+        while r and parser.kind[r] != kind:
+            r = parser.parent[r]
+        if r:
+            return {x for x, k in enumerate(parser.kind) if k == kind and parser.parent[x] == parser.parent[r]}
+    votes = _votes(parser, chosen)
+    inside = _descends(parser, {best})
+    for kind in ("article", "main"):
+        found = {r for r, k in enumerate(parser.kind) if k == kind and inside[r]}
+        outer = _descends(parser, found)
+        found = {r for r in found if not outer[parser.parent[r]]}
+        if sum(votes[r] for r in found) * 2 > votes[best]:
+            return found
+    return set()
+
+
+def _descends(parser: _Lines, regions: set[int]) -> list[bool]:
+    """Whether each region is one of those or within one."""
+    out = [r in regions for r in range(len(parser.kind))]
+    for r in range(1, len(out)):
+        out[r] = out[r] or out[parser.parent[r]]
+    return out
+
+
+def _within(parser: _Lines, regions: set[int]) -> list[bool]:
+    inside = _descends(parser, regions)
+    return [inside[x.region] for x in parser.lines]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

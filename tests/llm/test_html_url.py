@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -46,6 +47,142 @@ def test_odd_pages(html, want):
     assert html_text.main_text(html) == want
 
 
+MENU = "<div><a href='/'>Home</a></div><div><a href='/b'>All about us</a></div><div><a href='/c'>Contact</a></div>" * 4
+LONG = "A paragraph of the article that goes on for rather a long time, with many words in it. " * 4
+
+
+def test_clustering_decides_where_nothing_is_marked(monkeypatch):
+    """Without article, main or telling names the ratios leave out menus and small print."""
+    html = f"<html><body>{MENU}<h1>Title</h1><div><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div>{MENU}<div><a href='/d'>Imprint</a></div></body></html>"
+    want = " ".join(["Title", LONG.strip(), "Short one.", LONG.strip()])
+    assert html_text.main_text(html) == want
+    monkeypatch.setattr(html_text, "chosen_lines", lambda lines: np.ones(len(lines), bool))
+    assert html_text.main_text(html) != want
+
+
+def test_headings_and_siblings_around_the_region():
+    html = f"<body><div>{MENU}</div><div><h2>Over it</h2><div><p>{LONG}</p></div><div><p>{LONG}</p></div></div><div><a href='/x'>x</a></div></body>"
+    assert html_text.main_text(html) == " ".join(["Over it", LONG.strip(), LONG.strip()])
+
+
+def test_a_long_and_a_short_article():
+    html = f"<body>{NAV}<article><h2>One</h2><p>{LONG}</p></article><article><h2>Two</h2><p>Short.</p></article><article class='comment'><p>{LONG}</p></article></body>"
+    assert html_text.main_text(html) == " ".join(["One", LONG.strip(), "Two", "Short."])
+    several = f"<body>{NAV}<div>" + f"<article><h2>A</h2><p>{LONG}</p></article>" * 3 + f"</div><div>{MENU}</div></body>"
+    assert html_text.main_text(several) == " ".join(["A", LONG.strip()] * 3)
+
+
+class Node:
+    def __init__(self, tag, parts):
+        self.tag, self.parts = tag, parts
+
+    def html(self):
+        return f"<{self.tag}>" + "".join(x if isinstance(x, str) else x.html() for x in self.parts) + f"</{self.tag}>"
+
+
+def random_tree(r, depth=0):
+    parts = []
+    for _ in range(r.randrange(1, 5)):
+        kind = r.random()
+        if depth < 4 and kind < 0.35:
+            parts.append(random_tree(r, depth + 1))
+        elif kind < 0.5:
+            parts.append(Node("p", [Node("a", [r.choice(["Home", "next page"])]) for _ in range(r.randrange(1, 4))]))
+        elif kind < 0.6:
+            parts.append(Node(r.choice(["h1", "h3"]), [r.choice(["Heading", "A longer heading here"])]))
+        else:
+            parts.append(Node("p", [" ".join(r.choice(["some", "words", "of", "text"]) for _ in range(r.choice([2, 5, 40, 120])))]))
+    return Node(r.choice(["div", "section", "div", "article"] if depth else ["body"]), parts)
+
+
+def slow_text(tree):
+    """The rules, over the whole tree: every line has all its ancestors, every region is tried."""
+    lines, tags = [], 0
+
+    def walk(node, around):
+        nonlocal tags
+        tags += 1
+        here = [*around, node]
+        if node.tag in ("p", "h1", "h3"):
+            text = "".join(x if isinstance(x, str) else "".join(x.parts) for x in node.parts)
+            tags += 2 * sum(not isinstance(x, str) for x in node.parts)
+            lines.append([text, tags + 1, here])
+            tags = 0
+        else:
+            for x in node.parts:
+                walk(x, here)
+            tags += 1
+
+    walk(tree, [])
+    ratios = [len(t) / max(1, n) for t, n, _ in lines]
+    soft = []
+    for i in range(len(ratios)):
+        pairs = [(np.exp(-((i - j) ** 2) / 2), ratios[j]) for j in range(len(ratios)) if abs(i - j) <= 3]
+        soft.append(sum(w * x for w, x in pairs) / sum(w for w, _ in pairs))
+    low, high = min(soft), max(soft)
+    for _ in range(1000):
+        lower, upper = [x for x in soft if x < (low + high) / 2], [x for x in soft if x >= (low + high) / 2]
+        low, high = np.mean(lower) if lower else low, np.mean(upper)
+    chosen = [x >= (low + high) / 2 for x in soft]
+    total = sum(len(t) for (t, *_), c in zip(lines, chosen) if c)
+    regions = []
+
+    def collect(node):
+        if node.tag in ("div", "section", "article", "body"):
+            regions.append(node)
+        for x in node.parts:
+            if isinstance(x, Node):
+                collect(x)
+
+    collect(tree)
+    votes = lambda r: sum(len(t) for (t, _, here), c in zip(lines, chosen) if c and r in here)
+    best = [r for r in regions if votes(r) * 10 >= total * 9][-1]
+    path = next(here for _, _, here in lines if best in here)
+    above = path[: path.index(best) + 1]
+    articles = [r for r in above if r.tag == "article"]
+    parents = {id(x): n for n in regions for x in n.parts if isinstance(x, Node)}
+    if articles:
+        marked = [r for r in regions if r.tag == "article" and parents.get(id(r)) is parents.get(id(articles[-1]))]
+    else:
+        inner = [r for r in regions if r.tag == "article" and any(best in here and r in here for _, _, here in lines)]
+        marked = [r for r in inner if not any(a is not r and any(x is r for x in walk_all(a)) for a in inner)]
+        if sum(map(votes, marked)) * 2 <= votes(best):
+            marked = []
+    if marked:
+        return " ".join(t for t, _, here in lines if any(r in here for r in marked))
+    region_of = lambda here: [x for x in here if x in regions][-1]
+    at = [i for i, (_, _, here) in enumerate(lines) if chosen[i] and best in here]
+    direct = [region_of(lines[i][2]) for i in at]
+    kept = [i for i, (_, _, here) in enumerate(lines) if best in here and (region_of(here) in direct or at[0] <= i <= at[-1])]
+    while kept[0] and lines[kept[0] - 1][2][-1].tag in ("h1", "h3"):
+        kept.insert(0, kept[0] - 1)
+    return " ".join(lines[i][0] for i in kept)
+
+
+def walk_all(node):
+    yield node
+    for x in node.parts:
+        if isinstance(x, Node):
+            yield from walk_all(x)
+
+
+def test_main_text_is_that_of_brute_force():
+    differ = 0
+    for seed in range(400):
+        tree = random_tree(random.Random(seed))
+        got = html_text.main_text(tree.html())
+        assert got == slow_text(tree), (seed, tree.html())
+        differ += got != " ".join(" ".join("".join(x if isinstance(x, str) else "".join(x.parts) for x in n.parts) for n in walk_all(tree) if n.tag in ("p", "h1", "h3")).split())
+    assert differ > 100
+
+
+@pytest.mark.parametrize("html", ["<div>x" * 20_000, "<div>" * 20_000 + "</p>" * 20_000, "<a><div>" + "<b>" * 20_000 + "</a>" * 20_000, "<p><b>" * 20_000, "<a " * 20_000, "<!--" * 20_000, "<" * 50_000, "&" * 200_000])
+def test_hostile_pages_take_linear_time(html):
+    began = time.perf_counter()
+    html_text.main_text(html)
+    assert time.perf_counter() - began < 1
+
+
 def test_extract_keeps_every_row(spark):
     rows = [(1, "u", page(f"<article>{blocks()}</article>")), (1, "u", None), (None, None, ""), (2, "v", "<article><p>" + "long text " * 50_000 + "</p></article>")]
     frame = spark.createDataFrame([(*r, "x", 3) for r in rows], "page_id long, url string, html string, text string, n_chars int")
