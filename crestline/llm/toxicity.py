@@ -7,12 +7,15 @@ the examples with the word / rate among all)), the former shrunk by one example,
 so that words that go with the label weigh more and no word is left out. Cosines
 are exact.
 
-The index has the examples' vectors in blocks of similar ones: postings by block
-and term, and for every term the blocks that have it with its largest weight in
-each. A search bounds all blocks by those weights, visits them from the highest
-bound down, and stops where no further block can reach the k-th neighbour. Votes
-are weighted by closeness, and calibrated by isotonic regression on the votes of
-the examples themselves, each left out of its own.
+The index has the examples' vectors in blocks of similar ones. The postings of
+rarer terms are added up at once; the ``common`` terms that most examples have are
+stored by block, with the largest weight of each in every block. A search bounds
+all blocks by what the rarer terms gave and by those weights, visits them from the
+highest bound down, and stops where no further block can reach the k-th neighbour;
+what may be among the k nearest is then computed anew in double precision. Many
+texts are searched for at once, so that a block's work is a product of matrices.
+Votes are weighted by closeness, and calibrated by isotonic regression on the votes
+of the examples themselves, each left out of its own.
 
 Examples are at most ``max_examples`` labelled rows, those whose identifiers hash
 lowest. They, the corpus counts of their words and the votes of the calibration
@@ -37,6 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +48,8 @@ from pyspark.sql import functions as F
 from crestline.llm.common import text_or_empty
 
 WORD = re.compile(r"[^\W\d_]+")
+#: More than single precision loses in a cosine.
+_MARGIN = 1e-4
 
 
 def held_out(id_col: str) -> Column:
@@ -57,8 +63,9 @@ class Params:
 
     k: int = 15
     floor: float = 0.05
-    max_examples: int = 4_000
-    block: int = 32
+    max_examples: int = 3_000
+    block: int = 64
+    common: int = 512
     threshold: float = 0.7
 
 
@@ -74,8 +81,37 @@ def word_counts(text: str) -> Counter:
     return Counter(WORD.findall(text.lower()))
 
 
-def _counted(examples: DataFrame) -> list[tuple[int, int, Counter]]:
-    """(id, toxic, words) of the examples, by identifier; their number is bounded."""
+@dataclass
+class Examples:
+    """Examples by identifier, and their words: those of row i lie from ``start[i]`` on; ``word`` is a number in ``words``."""
+
+    id: np.ndarray
+    toxic: np.ndarray
+    words: list[str]
+    start: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, int, Counter]]) -> Examples:
+        rows = sorted(rows, key=lambda x: x[0])
+        words = sorted({w for *_, c in rows for w in c})
+        number = {w: i for i, w in enumerate(words)}
+        flat = [(number[w], n) for *_, c in rows for w, n in c.items()]
+        word, count = np.array(flat, np.int64).reshape(-1, 2).T
+        return cls(np.array([i for i, *_ in rows], np.int64), np.array([t for _, t, _ in rows], np.float64), words, np.cumsum([0, *(len(c) for *_, c in rows)]), word, count)
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.id)), np.diff(self.start))
+
+    @property
+    def rate(self) -> float:
+        return float(self.toxic.mean()) if len(self.id) else 0.0
+
+
+def gathered(examples: DataFrame) -> Examples:
+    """The examples on the driver; their number is bounded."""
 
     def run(batches):
         for batch in batches:
@@ -83,8 +119,16 @@ def _counted(examples: DataFrame) -> list[tuple[int, int, Counter]]:
             words, counts = pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))
             yield pa.record_batch([batch.column(0), batch.column(2), words, counts], ["id", "toxic", "words", "counts"])
 
-    rows = examples.select("id", "text", "toxic").mapInArrow(run, "id long, toxic int, words array<string>, counts array<int>").collect()
-    return sorted(((r.id, r.toxic, Counter(dict(zip(r.words, r.counts, strict=True)))) for r in rows), key=lambda x: x[0])
+    rows = examples.select("id", "text", "toxic").mapInArrow(run, "id long, toxic int, words array<string>, counts array<int>").toArrow().sort_by("id").combine_chunks()
+    coded = pa.compute.list_flatten(rows["words"]).combine_chunks().dictionary_encode()
+    coded = coded if isinstance(coded, pa.DictionaryArray) else coded.combine_chunks()
+    words = coded.dictionary.to_pylist()
+    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    number = np.empty(len(words), np.int64)
+    number[order] = np.arange(len(words))
+    sizes = pa.compute.list_value_length(rows["words"]).to_numpy()
+    counts = pa.compute.list_flatten(rows["counts"]).to_numpy().astype(np.int64)
+    return Examples(rows["id"].to_numpy(), rows["toxic"].to_numpy().astype(np.float64), [words[i] for i in order], np.concatenate(([0], np.cumsum(sizes))), number[coded.indices.to_numpy()], counts)
 
 
 def document_frequencies(docs: DataFrame, words: list[str], text_col: str) -> tuple[np.ndarray, int]:
@@ -125,89 +169,119 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Block-max inverted index over the examples' vectors.
-
-    ``words``: the terms in their order; ``examples``: (id, toxic, words with counts).
-    """
-
-    def __init__(self, words: list[str], weight: np.ndarray, df: np.ndarray, examples: list[tuple[int, int, Counter]], params: Params):
-        self.words, self.weight, self.k, self.block = words, weight, params.k, params.block
-        self.number = {w: i for i, w in enumerate(words)}
-        vectors = [self.vector(x) for *_, x in examples]
+    """Block-max inverted index over the examples' vectors; rows are examples in the index's order."""
+
+    def __init__(self, examples: Examples, weight: np.ndarray, params: Params):
+        self.k, self.block, self.rate = params.k, params.block, examples.rate
+        row, held = examples.row, np.bincount(examples.word, minlength=len(examples.words))
+        rank = np.lexsort((np.arange(len(held)), -held))  # terms by how many examples have them
+        number = np.empty(len(held), np.int64)
+        number[rank] = np.arange(len(held))
+        self.words, self.weight = [examples.words[i] for i in rank], weight[rank]
+        term = number[examples.word]
+        value = (1 + np.log(examples.count)) * self.weight[term]
+        value = value / np.sqrt(np.bincount(row, value * value, minlength=len(examples.id)))[row]
         # texts that share their commonest words, of one language above all, are neighbours, so bounds are tight
-        order = sorted(range(len(vectors)), key=lambda j: (tuple(sorted(vectors[j][0].tolist(), key=lambda t: (-df[t], t))[:4]), j))
-        vectors = [vectors[j] for j in order]
-        self.id = np.array([examples[j][0] for j in order], np.int64)
-        self.toxic = np.array([examples[j][1] for j in order], np.float64)
-        self.rate = float(self.toxic.mean()) if len(order) else 0.0
-        self.blocks = -(-len(order) // self.block)
-        row = np.repeat(np.arange(len(order)), [len(t) for t, _ in vectors])
-        term, value = (np.concatenate([v[c] for v in vectors]) if vectors else np.zeros(0) for c in (0, 1))
-        term = term.astype(np.int64)
-        at = np.lexsort((row, term, row // self.block))  # postings by block and term
-        row, term, value = row[at], term[at], value[at]
-        block = row // self.block
-        self.term, self.value, self.place = term.astype(np.int32), value.astype(np.float32), (row - block * self.block).astype(np.int16)
-        self.start = np.searchsorted(block, np.arange(self.blocks + 1))
-        at = np.lexsort((block, term))  # and each term's largest weight in every block that has it
-        key = term[at] * max(1, self.blocks) + block[at]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.largest = np.maximum.reduceat(value[at], first) if len(first) else np.zeros(0)
-        self.largest_in = key[first] % max(1, self.blocks)
-        self.term_start = np.searchsorted(key[first] // max(1, self.blocks), np.arange(len(words) + 1))
+        at = np.lexsort((term, row))
+        term, value, sizes = term[at], value[at], np.diff(examples.start)
+        first = [tuple(term[s : s + min(n, 4)].tolist()) for s, n in zip(examples.start[:-1], sizes, strict=True)]
+        order = np.array(sorted(range(len(first)), key=lambda j: (first[j], j)), np.int64)
+        self.id, self.toxic = examples.id[order], examples.toxic[order]
+        at = _ranges(examples.start[:-1][order], sizes[order])
+        self.term, self.value = term[at].astype(np.int32), value[at]  # the vectors, one row after another
+        self.start = np.concatenate(([0], np.cumsum(sizes[order]))).astype(np.int64)
+        row = np.repeat(np.arange(len(order)), sizes[order])
+        self.common = min(params.common, len(held))
+        self.rows = -(-len(order) // self.block) * self.block  # the last block is filled up with empty vectors
+        dense = self.term < self.common
+        self.dense = np.zeros((self.rows, self.common), np.float32)
+        self.dense[row[dense], self.term[dense]] = self.value[dense]
+        self.largest = self.dense.reshape(self.rows // self.block, self.block, self.common).max(axis=1)
+        at = np.flatnonzero(~dense)
+        at = at[np.argsort(self.term[at], kind="stable")]
+        self.posting_row, self.posting_value = row[at].astype(np.int32), self.value[at].astype(np.float32)
+        self.posting_start = np.searchsorted(self.term[at], np.arange(self.common, len(held) + 1))
         self.knots: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        self._query: np.ndarray | None = None
+        self._loaded()
+
+    def _loaded(self) -> None:
+        self.number = {w: i for i, w in enumerate(self.words)}
+        self._query = np.zeros(len(self.words))
 
     def __getstate__(self):
-        return self.__dict__ | {"_query": None, "number": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("number", "_query")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
-        self.number = {w: i for i, w in enumerate(self.words)}
+        self._loaded()
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit-length weights of a text's words; words that no example has are no terms."""
-        found = {self.number[w]: n for w, n in counts.items() if w in self.number}
+        number = self.number
+        found = {number[w]: n for w, n in counts.items() if w in number}
         terms = np.fromiter(found, np.int64, len(found))
         weights = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))) * self.weight[terms]
         return terms, weights / np.sqrt(weights @ weights) if len(found) else weights
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest that share a word, the nearest first; exact. ``without`` one example."""
-        if self._query is None:
-            self._query = np.zeros(len(self.words), np.float32)
-        sizes = self.term_start[terms + 1] - self.term_start[terms]
-        at = _ranges(self.term_start[terms], sizes)
-        bounds = np.bincount(self.largest_in[at], weights=self.largest[at] * np.repeat(weights, sizes), minlength=self.blocks)
-        found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        self._query[terms] = weights
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or bounds[b] + 1e-12 < least:
+    def own_vector(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        s, e = self.start[j], self.start[j + 1]
+        return self.term[s:e].astype(np.int64), self.value[s:e]
+
+    def _may_be_near(self, queries: list[tuple[np.ndarray, np.ndarray]], spare: int) -> list[np.ndarray]:
+        """For each query all examples that may be among its k + ``spare`` nearest."""
+        n, k = len(queries), min(self.k + spare, self.rows)
+        sizes = [len(t) for t, _ in queries]
+        terms, weights, of = (np.concatenate(x) for x in ([t for t, _ in queries], [w for _, w in queries], [np.full(m, i) for i, m in enumerate(sizes)]))
+        common = terms < self.common
+        dense = np.zeros((n, self.common), np.float32)
+        dense[of[common], terms[common]] = weights[common]
+        rare = terms[~common] - self.common
+        held = self.posting_start[rare + 1] - self.posting_start[rare]
+        at = _ranges(self.posting_start[rare], held)
+        cell = np.repeat(of[~common] * self.rows, held) + self.posting_row[at]
+        sums = np.bincount(cell, np.repeat(weights[~common], held) * self.posting_value[at], minlength=n * self.rows).astype(np.float32).reshape(n, self.rows)
+        blocks = self.rows // self.block
+        bounds = sums.reshape(n, blocks, self.block).max(axis=2) + dense @ self.largest.T
+        order, scores = np.argsort(-bounds, axis=1, kind="stable"), np.zeros((n, self.rows), np.float32)
+        least, at, width = np.zeros(n, np.float32), 0, 2
+        while at < blocks:
+            turn = order[:, at : at + width]
+            needed = np.take_along_axis(bounds, turn, 1) > np.maximum(least[:, None] - _MARGIN, 0)
+            if not needed.any():
                 break
-            s, e = self.start[b], self.start[b + 1]
-            scores = np.bincount(self.place[s:e], self._query.take(self.term[s:e]) * self.value[s:e])
-            if without // self.block == b:
-                scores[without % self.block :][:1] = 0
-            near = np.flatnonzero(scores > max(0.0, least - 1e-12))
-            if not len(near):
-                continue
-            found, cosines = np.concatenate((found, near + b * self.block)), np.concatenate((cosines, scores[near]))
-            if len(found) > self.k:
-                best = np.lexsort((found, -cosines.round(12)))[: self.k]
-                found, cosines = found[best], cosines[best]
-                least = cosines[-1]
-        self._query[terms] = 0
-        best = np.lexsort((found, -cosines.round(12)))
-        return found[best], cosines[best]
+            for b in np.unique(turn[needed]).tolist():
+                (q,) = np.nonzero(((turn == b) & needed).any(axis=1))
+                part = slice(b * self.block, (b + 1) * self.block)
+                scores[q, part] = sums[q, part] + dense[q] @ self.dense[part].T
+            least = np.partition(scores, self.rows - k, axis=1)[:, self.rows - k]
+            at, width = at + width, width * 2
+        return [np.flatnonzero(x > max(0.0, m - _MARGIN)) for x, m in zip(scores, least.tolist(), strict=True)]
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(rows, cosines) of each query's k nearest that share a word, the nearest first; exact. ``without``: a row to leave out."""
+        if not self.rows or not queries:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        out = []
+        for i, (found, (terms, weights)) in enumerate(zip(self._may_be_near(queries, 1 if without else 0), queries, strict=True)):
+            if without:
+                found = found[found != without[i]]
+            sizes = self.start[found + 1] - self.start[found]
+            at = _ranges(self.start[found], sizes)
+            self._query[terms] = weights
+            cosines = np.bincount(np.repeat(np.arange(len(found)), sizes), self._query[self.term[at]] * self.value[at], minlength=len(found))
+            self._query[terms] = 0
+            best = np.lexsort((found, -cosines.round(12)))[: self.k]
+            out.append((found[best], cosines[best]))
+        return out
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         """The share of toxic votes, weighted by closeness; places without a neighbour vote the rate at cosine 0."""
         votes, empty = 1 / (0.02 + np.maximum(0.0, 1 - cosines)), (self.k - len(found)) / 1.02
         return float((votes @ self.toxic[found] + empty * self.rate) / (votes.sum() + empty))
 
-    def left_out(self, j: int, counts: Counter) -> float:
-        """The vote on example ``j`` by the others."""
-        return self.vote(*self.nearest(*self.vector(counts), without=j))
+    def left_out(self, rows: list[int]) -> list[float]:
+        """The votes on examples by the others."""
+        return [self.vote(*x) for x in self.nearest([self.own_vector(j) for j in rows], rows)]
 
     def calibrate(self, votes: list[tuple[float, int]]) -> None:
         """Fit the increasing step function from votes to the share of toxic ones, as knots of means."""
@@ -220,61 +294,54 @@ class Index:
         if pools:
             self.knots = np.array([v / n for n, _, v in pools]), np.array([(t + self.rate) / (n + 1) for n, t, _ in pools])
 
-    def score(self, counts: Counter) -> tuple[float, list[int]]:
-        """A text's calibrated score, and the identifiers of its three nearest examples."""
+    def score(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        """Each text's calibrated score, and the identifiers of its three nearest examples."""
         if not 0 < self.rate < 1:
-            return self.rate, []
-        found, cosines = self.nearest(*self.vector(counts))
-        if not len(found):
-            return self.rate, []
-        # a little of the vote itself keeps the order where calibration is level
-        vote = self.vote(found, cosines)
-        return min(1.0, max(0.0, 0.99 * float(np.interp(vote, *self.knots)) + 0.01 * vote)), self.id[found[:3]].tolist()
+            return [(self.rate, [])] * len(texts)
+        out = []
+        for found, cosines in self.nearest([self.vector(word_counts(t)) for t in texts]):
+            if len(found):
+                # a little of the vote itself keeps the order where calibration is level
+                vote = self.vote(found, cosines)
+                out.append((min(1.0, max(0.0, 0.99 * float(np.interp(vote, *self.knots)) + 0.01 * vote)), self.id[found[:3]].tolist()))
+            else:
+                out.append((self.rate, []))
+        return out
 
 
 class _Scorer:
     """An index's scores by text; those of the texts seen of late are kept, ``most`` at once."""
 
-    def __init__(self, index: Index, most: int = 50_000):
-        self.index, self.most, self.known = index, most, {}
+    def __init__(self, index: Index, most: int = 50_000, turn: int = 256):
+        self.index, self.most, self.turn, self.known = index, most, turn, {}
 
-    def __call__(self, text: str) -> tuple[float, list[int]]:
-        key = xxhash.xxh3_128_digest(text.encode(errors="surrogatepass"))
-        if key not in self.known:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            self.known[key] = self.index.score(word_counts(text))
-        return self.known[key]
+    def __call__(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        keys = [xxhash.xxh3_128_digest(t.encode(errors="surrogatepass")) for t in texts]
+        if len(self.known) > self.most:
+            self.known.clear()
+        new = {k: t for k, t in zip(keys, texts, strict=True) if k not in self.known}
+        for at in range(0, len(new), self.turn):
+            some = list(new)[at : at + self.turn]
+            self.known.update(zip(some, self.index.score([new[k] for k in some]), strict=True))
+        return [self.known[k] for k in keys]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> Index:
     """The calibrated index of the examples."""
     spark = docs.sparkSession
-    examples = _counted(labelled(docs, labels, id_col, text_col, params))
-    n, toxic = Counter(), Counter()
-    for _, mark, counts in examples:
-        n.update(counts.keys())
-        if mark:
-            toxic.update(counts.keys())
-    words = sorted(n)
-    df, rows = document_frequencies(docs, words, text_col)
-    rate = sum(mark for _, mark, _ in examples) / max(1, len(examples))
-    weight = term_weights(df, rows, np.array([n[w] for w in words], np.float64), np.array([toxic[w] for w in words], np.float64), rate, params.floor)
-    index = Index(words, weight, df, examples, params)
-    if 0 < rate < 1:
-        own = {i: counts for i, _, counts in examples}
+    examples = gathered(labelled(docs, labels, id_col, text_col, params))
+    df, rows = document_frequencies(docs, examples.words, text_col)
+    n, toxic = (np.bincount(examples.word, x, minlength=len(examples.words)) for x in (None, examples.toxic[examples.row]))
+    index = Index(examples, term_weights(df, rows, n, toxic, examples.rate, params.floor), params)
+    if 0 < index.rate < 1:
         shared = spark.sparkContext.broadcast(index)
-        rows_of = [(j, list(own[i]), list(own[i].values())) for j, i in enumerate(index.id.tolist())]
 
         def run(batches):
             for batch in batches:
-                j, names, counts = (c.to_pylist() for c in batch.columns)
-                votes = [shared.value.left_out(x, Counter(dict(zip(w, c, strict=True)))) for x, w, c in zip(j, names, counts, strict=True)]
-                yield pa.record_batch([batch.column(0), pa.array(votes, pa.float64())], ["j", "vote"])
+                yield pa.record_batch([batch.column(0), pa.array(shared.value.left_out(batch.column(0).to_pylist()), pa.float64())], ["id", "vote"])
 
-        table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_of, strict=True), (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], ["j", "words", "counts"])
-        votes = spark.createDataFrame(table).repartition(32).mapInArrow(run, "j long, vote double").collect()
-        index.calibrate([(r.vote, int(index.toxic[r.j])) for r in votes])
+        votes = spark.range(0, len(index.id), 1, 16).mapInArrow(run, "id long, vote double").collect()
+        index.calibrate([(r.vote, int(index.toxic[r.id])) for r in votes])
     return index
 
 
@@ -286,7 +353,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches):
         score_of = _Scorer(shared.value)
         for batch in batches:
-            found = [score_of(t) for t in batch.column(1).to_pylist()]
+            found = score_of(batch.column(1).to_pylist())
             scores = [s for s, _ in found]
             predicted = [int(s >= threshold) for s in scores]
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))], ["doc_id", "score", "predicted", "evidence"])
@@ -309,6 +376,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score_of = _Scorer(shared.value)
         for texts in batches:
-            yield pa.array([score_of(t)[0] < threshold for t in texts.to_pylist()], pa.bool_())
+            yield pa.array([score < threshold for score, _ in score_of(texts.to_pylist())], pa.bool_())
 
     return docs.where(clean(text_or_empty(text_col)))
