@@ -12,8 +12,10 @@ is expensive, so probes go elsewhere; no bucket is capped.
 
 Cases: a null text is empty; texts without words have fingerprint zero and link
 like others; fewer words than a shingle hash as one; repeated rows and equal
-fingerprints share one node; null identifiers sort last; an empty table gives an
-empty result. Only the identifier and text columns are read.
+fingerprints share one node; null identifiers sort last; of rows that repeat a
+component's smallest identifier ``keep_one`` keeps the one whose text hashes lowest,
+with rows that repeat its text too; an empty table gives an empty result; other
+columns may have any names. Only the identifier and text columns are read.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import text_or_empty, written
+from crestline.llm.common import drop_written, text_or_empty, written
 from crestline.llm.components import connected_components
+from crestline.llm.ownership import owned, row_hash, without_rows
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -55,14 +58,15 @@ def _bits(values: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id and fp (a signed long of the same bits) of every row."""
+    """doc_id, row (a hash of the text) and fp (a signed long of the same bits) of every row."""
 
     def run(batches):
         for batch in batches:
-            values = np.array([fingerprint(x, width) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(values)], ["doc_id", "fp"])
+            values = np.array([fingerprint(x, width) for x in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(values)], ["doc_id", "row", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("row"), text_or_empty(text_col).cast("binary").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def _column(batch: pa.RecordBatch, i: int = 0) -> np.ndarray:
@@ -244,14 +248,12 @@ def near_links(fps: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """doc_id, fp and component_id (the smallest identifier reachable) of every row."""
+    """doc_id, row, fp, component_id (the smallest identifier reachable) and stays of every row."""
     rows = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = written(rows.select("fp").distinct(), "nodes")
     roots = connected_components(near_links(nodes, distance), "a", "b")
-    of = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(of.select("fp", "root").join(named, "root").select("fp", "component_id"), "components")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    drop_written(nodes)
+    return owned(rows.withColumnRenamed("fp", "node"), roots).withColumnRenamed("node", "fp")
 
 
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
@@ -260,7 +262,5 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose identifier is their component's smallest."""
-    found = near_components(docs, id_col, text_col, width, distance)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay"))
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stay")), "left_semi")
+    """The rows of ``docs``, with all columns, that own a component."""
+    return without_rows(docs, near_components(docs, id_col, text_col, width, distance), id_col, text_col)
