@@ -13,12 +13,18 @@ the whole text in linear time.
 
 Words recur, so segmentations are kept by chunk: the text is cut before white
 space marks that no piece holds after another character, and at line breaks if no
-piece holds any. The memory of a task is bounded: a full store is emptied.
+piece holds any. The memory of a task is bounded in bytes: a full store is emptied,
+and long chunks aren't kept.
+
+A model's table of normalised characters is applied as its library does, the
+longest match first. Models with user-defined pieces, and BPE models with unused
+ones, are refused with a ValueError before any task starts.
 
 Cases: a null text has null ids, an empty one none; characters without a piece
-become byte pieces, or the unknown piece if the model has none; decoding reverts
-encoding but for U+2581, which stands for a space, and for unknowns; rows repeat
-as they are; an empty table gives an empty result.
+become byte pieces, or the unknown piece if the model has none, one for a run of
+them; decoding reverts encoding but for U+2581, which stands for a space, for
+unknowns, and for what a model normalises; rows repeat as they are; an empty table
+gives an empty result; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -40,26 +46,68 @@ _UNIGRAM, _BPE = 1, 2
 
 
 class _Store(dict):
-    """Values by key, computed when missing; of bounded size.
+    """Values by key, computed when missing, within about twice ``most`` bytes.
 
     A full store becomes the old one and a new one begins, so that what recurs
-    is carried along and what doesn't goes after two rounds.
+    is carried along and what doesn't goes after two rounds. ``cost`` gives the
+    bytes of an entry; those of over a hundredth of ``most`` aren't kept.
     """
 
-    def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most, {}
+    def __init__(self, make, cost, most: int):
+        self.make, self.cost, self.most, self.old, self.held = make, cost, most, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        cost = self.cost(key, value)
+        if cost * 100 <= self.most:
+            if self.held + cost > self.most:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self.held += cost
+            self[key] = value
         return value
 
 
+class CharacterMap:
+    """A model's table of normalised characters: a double-array trie over UTF-8 and the strings it leads to."""
+
+    def __init__(self, table: bytes):
+        (size,) = struct.unpack_from("<I", table)
+        self.units, self.strings = struct.unpack_from(f"<{size // 4}I", table, 4), table[4 + size :]
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return unit >> 10 << ((unit & 0x200) >> 6)
+
+    def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
+        """(length, replacement) of the longest entry that the bytes from ``at`` on begin with."""
+        units, found = self.units, None
+        place = self._offset(units[0])
+        for i in range(at, len(data)):
+            place ^= data[i]
+            unit = units[place]
+            if unit & 0x800000FF != data[i]:
+                break
+            place ^= self._offset(unit)
+            if unit >> 8 & 1:
+                found = i + 1 - at, units[place] & 0x7FFFFFFF
+        return found and (found[0], self.strings[found[1] : self.strings.index(b"\0", found[1])])
+
+    def __call__(self, text: str) -> str:
+        data, out, at = text.encode(errors="replace"), [], 0
+        while at < len(data):
+            if found := self.longest(data, at):
+                out.append(found[1])
+                at += found[0]
+            else:
+                n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+                out.append(data[at : at + n])
+                at += n
+        return b"".join(out).decode()
+
+
 class Automaton:
     """Aho-Corasick: goto, failure and output links over the pieces' characters.
 
@@ -67,7 +115,7 @@ class Automaton:
     that end here, the longest first. Moves along failure links are remembered.
     """
 
-    def __init__(self, ids: dict[str, int], remembered: int = 1_000_000):
+    def __init__(self, ids: dict[str, int], remembered: int = 300_000):
         self.forward: list[dict[str, int]] = [{}]
         self.outputs: list[tuple[tuple[int, int], ...]] = [()]
         self.left = remembered
@@ -109,12 +157,12 @@ class Automaton:
 class Codec:
     """A model's encoder and decoder."""
 
-    def __init__(self, model: bytes, kept_chunks: int = 200_000):
+    def __init__(self, model: bytes, kept_bytes: int = 32 << 20):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto.FromString(model)
-        if proto.normalizer_spec.precompiled_charsmap:
-            raise ValueError("models that normalise characters are not supported")
+        table = proto.normalizer_spec.precompiled_charsmap
+        self.mapped = CharacterMap(table) if table else None
         self.bpe = proto.trainer_spec.model_type == _BPE
         if proto.trainer_spec.model_type not in (_UNIGRAM, _BPE):
             raise ValueError("only unigram and BPE models are supported")
@@ -133,9 +181,12 @@ class Codec:
             self.out.append(bytes([int(p.piece[1:-1], 16)]) if p.type == _BYTE else b"" if p.type == _CONTROL else " ⁇ ".encode() if p.type == _UNKNOWN else p.piece.replace(MARK, " ").encode())
         if any(p.type == _USER for p in proto.pieces):
             raise ValueError("models with user-defined pieces are not supported")
+        if self.bpe and any(p.type == _UNUSED for p in proto.pieces):
+            raise ValueError("BPE models with unused pieces are not supported")
         self.by_id = [p.score for p in proto.pieces]
-        self.unknown_score = min(self.scores.values(), default=0.0) - 10
-        self.fits = _Store(self._fits, 5 * kept_chunks)
+        self.by_id_single = np.array(self.by_id, np.float32)  # the library adds up in single precision
+        self.unknown_score = np.float32(min(self.scores.values(), default=0.0)) - np.float32(10)
+        self.fits = _Store(self._fits, lambda key, value: 120, kept_bytes)
         if self.bpe:  # pieces that their own merges don't reach are never the outcome
             split = {p: merges(p, self.scores) for p in self.scores}
             self.scores = {p: v for p, v in self.scores.items() if split[p] is not None}
@@ -147,7 +198,7 @@ class Codec:
         breaks = "" if any("\n" in p for p in self.ids) else "\n"
         self.chunks = re.compile(r"(?s:.+)" if inner else rf"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + ("|\n" if breaks else ""))
         self.single = {p: self.ids[p] for p in self.scores if len(p) == 1}
-        self.store = _Store(lambda chunk: struct.pack(f"<{len(x := self._ids(chunk))}i", *x), kept_chunks)
+        self.store = _Store(lambda chunk: struct.pack(f"<{len(x := self._ids(chunk))}i", *x), lambda chunk, ids: 200 + 4 * len(chunk) + len(ids), kept_bytes)
 
     def _fits(self, key: int) -> bool:
         """Whether two neighbours stay apart when their characters are merged by rank.
@@ -175,10 +226,10 @@ class Codec:
         A character that is no piece is one for itself, with a number beyond the ids.
         """
         forward, outputs, step = self.automaton.forward, self.automaton.outputs, self.automaton.step
-        fits, by_id, single, none = self.fits, self.by_id, self.single, len(self.pieces)
+        fits, by_id, single, none = self.fits, self.by_id_single, self.single, len(self.pieces)
         last, size = [-1] * (len(text) + 1), [0] * (len(text) + 1)
         state = stop = 0
-        best = [0.0] if self.bpe else [0.0] + [-np.inf] * len(text)
+        best = [np.float32(0)] if self.bpe else [np.float32(0)] + [np.float32(-np.inf)] * len(text)
         for char in text:
             stop += 1
             state = forward[state].get(char) or step(state, char)
@@ -214,12 +265,18 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as 32-bit little-endian integers."""
+        if self.mapped:
+            text = self.mapped(text)
         if self.strip:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
             return b""
         marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        return b"".join(map(self.store.__getitem__, self.chunks.findall(marked)))
+        packed = b"".join(map(self.store.__getitem__, self.chunks.findall(marked)))
+        if not self.bytes and self.unknown in (ids := memoryview(packed).cast("i").tolist()):
+            ids = [i for i, before in zip(ids, [None, *ids], strict=False) if i != self.unknown or before != i]
+            packed = struct.pack(f"<{len(ids)}i", *ids)
+        return packed
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode(errors="replace")
@@ -263,6 +320,7 @@ def read_model(path: str, most: int = 16 << 20) -> bytes:
     if len(data) > most:
         raise ValueError(f"{path} has more than {most} bytes")
     sentencepiece.SentencePieceProcessor(model_proto=data)  # refuses what isn't a model
+    codec(data)  # and this, what isn't supported
     return data
 
 

@@ -195,6 +195,86 @@ def test_long_runs_and_odd_characters(library, ours):
         assert ids(ours, text) == library.encode(text) and ours.decode(ids(ours, text)) == text
 
 
+def unigram_model(bytes_too: bool, charsmap: bool) -> bytes:
+    """A unigram model put together from pieces with drawn scores; nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    r = random.Random(7)
+    names = {"".join(r.choice("abehinorst") for _ in range(r.randrange(1, 6))) for _ in range(400)} | set("abehinorst.,é") | {"▁"}
+    names |= {"▁" + x for x in list(names)[:150] if "▁" not in x} | {"the", "▁the", "tion", "ing", "a▁b"}
+    if charsmap:
+        model = pb.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+        del model.pieces[:]
+    else:
+        model = pb.ModelProto()
+        model.normalizer_spec.name, model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    model.trainer_spec.model_type = 1
+    model.trainer_spec.byte_fallback = bytes_too
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        model.pieces.add(piece=piece, score=0, type=kind)
+    for b in range(256 if bytes_too else 0):
+        model.pieces.add(piece=f"<0x{b:02X}>", score=0, type=6)
+    for x in sorted(names):
+        model.pieces.add(piece=x, score=-r.choice([r.uniform(1, 12), 3.0, 5.5]), type=1)
+    return model.SerializeToString()
+
+
+@pytest.mark.parametrize(("bytes_too", "charsmap"), [(False, False), (True, False), (False, True), (True, True)])
+def test_unigram_models_take_the_best_scores(bytes_too, charsmap):
+    """The Viterbi pass against the library: scores that tie, unknown characters, normalised ones."""
+    model = unigram_model(bytes_too, charsmap)
+    theirs, mine = sentencepiece.SentencePieceProcessor(model_proto=model), codec.Codec(model)
+    r = random.Random(1)
+    texts = ["".join(r.choices("abehinorst  .,éxyZ\n", k=r.randrange(1, 120))) for _ in range(400)] + ["a b", "  a  b ", "ﬁne ① ｔｅｘｔ é", "xyzZZ x yz", "", " ", "\t\n", "the nation is thinning", "東京 a", "a\u3000b\u00a0c"]
+    for text in texts:
+        assert ids(mine, text) == theirs.encode(text), text
+    score = {p: s for p, s in mine.scores.items()}
+    best = mine.segment("▁thenationing")
+    total = sum(score[mine.pieces[i]] for i in best)
+
+    def every(text):
+        if not text:
+            yield 0.0
+        for n in range(1, len(text) + 1):
+            if text[:n] in score:
+                for rest in every(text[n:]):
+                    yield score[text[:n]] + rest
+
+    assert total == pytest.approx(max(every("▁thenationing")), abs=1e-4)
+
+
+def test_character_map():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    normaliser = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    table = codec.CharacterMap(pb.ModelProto.FromString(normaliser.serialized_model_proto()).normalizer_spec.precompiled_charsmap)
+    for text in ["ﬁ①  ｱ́ é", "plain", "a\tb\r\nc", "ＡＢＣ ㍿", "😀 é e\u0301 \u200b"]:
+        mapped = re.sub(" +", " ", table(text).strip(" "))
+        assert "▁" + mapped.replace(" ", "▁") == normaliser.normalize(text)
+
+
+def test_stores_are_bounded_by_bytes(library):
+    mine = codec.Codec(codec.read_model(codec.DEFAULT_MODEL), kept_bytes=200_000)
+    r = random.Random(2)
+    for _ in range(300):
+        text = " ".join("".join(r.choices("abcdefghij", k=r.randrange(1, 30))) for _ in range(40)) + "".join(r.choices("ABCDEFGH0123", k=5_000))
+        assert ids(mine, text) == library.encode(text)
+    for store in (mine.store, mine.fits):
+        assert sum(store.cost(k, v) for k, v in store.items()) <= 200_000 >= sum(store.cost(k, v) for k, v in store.old.items())
+    assert max(map(len, mine.store)) < 1_000
+
+
+@pytest.mark.parametrize("kind", [4, 5])
+def test_unsupported_models_are_refused_at_once(tmp_path, kind):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto.FromString(codec.read_model(codec.DEFAULT_MODEL))
+    model.pieces[-1].type = kind
+    (tmp_path / "m").write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError, match="not supported"):
+        codec.read_model(str(tmp_path / "m"))
+
+
 def test_encode_and_decode_frames(spark):
     rows = [(1, "hello  world\n"), (1, "hello  world\n"), (2, ""), (3, None), (None, "é" * 50_000)]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, token_ids string")
