@@ -203,8 +203,14 @@ def test_smoothing_and_threshold():
 
 
 def slow_host(url):
-    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return re.sub(r"\.$", "", m[1].lower()) if m else ""
+    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", url or "")
+    authority = m[1].rpartition("@")[2] if m else ""
+    host = authority[: authority.find("]") + 1] if authority.startswith("[") else authority.partition(":")[0]
+    return re.sub(r"\.$", "", host.lower())
+
+
+def is_address(host):
+    return host.startswith("[") or host.count(".") == 3 and host.replace(".", "").isdigit()
 
 
 def slow_verdict(url, day, entries):
@@ -218,16 +224,16 @@ def slow_verdict(url, day, entries):
     state = {}
     for name, kind, key, action, since in entries:
         if key is not None and since is not None and action in severities and kind in ("domain", "prefix") and since <= day:
-            k = (name, kind, key.lower())
+            k = (name, kind, key.lower() if kind == "domain" else "/".join([key.split("/")[0].lower(), *key.split("/")[1:]]))
             state[k] = max(state.get(k, (dt.date.min, 0)), (since, severities[action]))
     hits = []
     for (name, kind, key), (_, severity) in state.items():
         if kind == "domain":
-            match = host == key or host.endswith("." + key)
+            match = host == key or host.endswith("." + key) and not is_address(host)
             rank = key.count(".") + 1
         else:
             parts = key.split("/")
-            match = [host, *(s.lower() for s in segments)][: len(parts)] == parts
+            match = [host, *segments][: len(parts)] == parts
             rank = 1000 + len(parts)
         if match and severity:
             hits.append((-rank, -severity, name, key))
@@ -240,11 +246,11 @@ def slow_verdict(url, day, entries):
 def captures(seed):
     r = random.Random(seed)
     days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(40)]
-    hosts = ["a.example", "b.a.example", "c.example", "x.test", "example"]
+    hosts = ["a.example", "b.a.example", "c.example", "x.test", "example", "10.0.3.4", "[::1]"]
     paths = ["", "/", "/en", "/en/1?q=/de", "/EN/2#x", "/de//3"]
     urls = [f"{r.choice(['http', 'HTTPS'])}://{r.choice(['', 'u@', ''])}{r.choice(hosts).upper() if r.random() < 0.3 else r.choice(hosts)}{r.choice(['', '.', ':80'])}{r.choice(paths)}" for _ in range(200)]
     rows = [(i, u, r.choice(days)) for i, u in enumerate(urls)] + [(500, None, days[0]), (501, "no url", days[0]), (502, urls[0], None), (None, urls[1], days[9]), (3, urls[3], days[3]), (3, urls[3], days[3])]
-    keys = [("domain", h) for h in hosts] + [("prefix", f"{h}{p}") for h in hosts for p in ("/en", "/de/3", "")]
+    keys = [("domain", h) for h in [*hosts, "3.4", "A.Example"]] + [("prefix", "A.example/EN")] + [("prefix", f"{h}{p}") for h in hosts for p in ("/en", "/de/3", "")]
     entries = [(r.choice(["l1", "l2"]), *r.choice(keys), r.choice(["block", "allow", "remove"]), r.choice(days)) for _ in range(60)]
     return rows, [*entries, ("l1", "domain", None, "block", days[0]), ("l1", "domain", "example", None, days[0]), ("l1", "domain", "example", "block", None), ("l1", "other", "example", "block", days[0])]
 
@@ -262,6 +268,14 @@ def test_verdicts(spark, seed):
     assert url_filters.filter_urls(seen.where("false"), lists).collect() == []
 
 
+def test_addresses_and_the_case_of_paths(spark):
+    day = dt.date(2024, 1, 1)
+    urls = ["http://10.0.3.4/", "http://[::1]:80/a", "http://ok.net/A", "http://OK.net/a/b", "http://u:p@ok.net/a?x"]
+    seen = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched date")
+    lists = spark.createDataFrame([("l", "domain", "3.4", "block", day), ("l", "domain", "[::1]", "block", day), ("l", "prefix", "Ok.net/a", "block", day)], "list_name string, kind string, key string, action string, effective date")
+    assert {r.page_id: r.verdict for r in url_filters.filter_urls(seen, lists).collect()} == {0: "none", 1: "block", 2: "none", 3: "block", 4: "block"}
+
+
 def test_url_filters_run_no_python(spark):
     rows, entries = captures(4)
     seen = spark.createDataFrame(rows, "page_id long, url string, fetched date")
