@@ -3,16 +3,20 @@
 ``write_archives`` encodes each payload as an 8-bit greyscale PNG, 64 samples a
 row, and packs the images into ZIP archives of bounded size in one directory.
 ``ArchiveSource`` reads such a directory: the driver lists the archives and plans
-byte ranges; a task reads an archive's directory, takes the members whose header
-starts in its range, and fetches each by its own offset, so a failed or damaged
-read repeats for that member alone. Payloads travel in Arrow batches of bounded
-size.
+partitions of byte ranges, of which there are ``max_partitions`` at most: small
+archives share one, and beyond that number ranges grow. A task reads an archive's
+directory, takes the members whose header starts in its range, and fetches each by
+its own offset from one open stream; after a failed or damaged read it repeats that
+member alone, on a stream opened anew. Payloads travel in Arrow batches of bounded
+size. The driver holds a name and a size for each archive, so archives should be
+larger the more there is to store (``archive_bytes``).
 
 Cases: a null text is the empty one; an empty payload is 64 zero bytes; a null
 identifier makes a nameless member and is null again when read; repeated rows
 make a member each; long payloads may exceed an archive's or a batch's bound,
 which then holds them alone; an empty table writes no archive and reads as an
-empty result.
+empty result; other columns may have any names. Archives stay in the shared folder,
+since results read them; ``common.clear_scratch`` deletes them.
 """
 
 from __future__ import annotations
@@ -131,9 +135,11 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = 32 << 20)
     rows.mapInArrow(run, "archive string, bytes long, members long").write.parquet(f"{folder}/manifest")
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, start: int, stop: int):
-        self.path, self.start, self.stop = path, start, stop
+class _Ranges(InputPartition):
+    """(path, start, stop) of one or more ranges."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class ArchiveReader(DataSourceReader):
@@ -141,11 +147,22 @@ class ArchiveReader(DataSourceReader):
         self.folder = options["path"]
         self.range_bytes = int(options.get("range_bytes", 16 << 20))
         self.batch_bytes = int(options.get("batch_bytes", 8 << 20))
+        self.max_partitions = int(options.get("max_partitions", 20_000))
         self.tries = int(options.get("tries", 3))
 
     def partitions(self):
-        step = self.range_bytes
-        return [_Range(path, at, min(at + step, size)) for path, size in self._archives() for at in range(0, size, step)] or [_Range("", 0, 0)]
+        archives = self._archives()
+        step = max(self.range_bytes, -(-sum(size for _, size in archives) // self.max_partitions))
+        out, held, size_held = [], [], 0
+        for path, size in archives:
+            for at in range(0, size, step):
+                n = min(step, size - at)
+                if held and size_held + n > step:
+                    out.append(_Ranges(held))
+                    held, size_held = [], 0
+                held.append((path, at, at + n))
+                size_held += n
+        return [*out, _Ranges(held)]
 
     def _archives(self) -> list[tuple[str, int]]:
         """Those of the directory's manifest; of a directory without one, all."""
@@ -159,31 +176,35 @@ class ArchiveReader(DataSourceReader):
         return sorted((f.path, f.size) for f in fs.get_file_info(FileSelector(root)) if f.path.endswith(".zip"))
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
         fs, _ = filesystem(self.folder)
-        with fs.open_input_file(partition.path) as file:
-            members = [m for m in zipfile.ZipFile(file).infolist() if partition.start <= m.header_offset < partition.stop]
         held, size = [], 0
-        for m in members:
-            held.append((partition.path, m.header_offset, m.filename, self._fetch(fs, partition.path, m)))
-            size += m.file_size
-            if size >= self.batch_bytes:
-                yield _media_batch(held)
-                held, size = [], 0
+        for path, start, stop in partition.ranges:
+            file = fs.open_input_file(path)
+            try:
+                for m in zipfile.ZipFile(file).infolist():
+                    if start <= m.header_offset < stop:
+                        data, file = self._fetch(fs, path, file, m)
+                        held.append((path, m.header_offset, m.filename, data))
+                        size += m.file_size
+                        if size >= self.batch_bytes:
+                            yield _media_batch(held)
+                            held, size = [], 0
+            finally:
+                file.close()
         if held:
             yield _media_batch(held)
 
-    def _fetch(self, fs, path: str, m: zipfile.ZipInfo) -> bytes:
-        """One member's bytes, by its offset, on a stream opened anew after each failure."""
+    def _fetch(self, fs, path: str, file, m: zipfile.ZipInfo):
+        """One member's bytes, by its offset, and the stream to go on with: another one after a failure."""
         for left in reversed(range(self.tries)):
             try:
-                with fs.open_input_file(path) as file:
-                    return read_member(file, m)
+                return read_member(file, m), file
             except (OSError, ValueError):
                 if not left:
                     raise
                 time.sleep(0.1)
+                file.close()
+                file = fs.open_input_file(path)
         raise AssertionError
 
 

@@ -96,6 +96,36 @@ def test_members_are_read_again_by_offset(tmp_path, monkeypatch):
         list(reader.read(part))
 
 
+def test_partitions_are_bounded_and_share_small_archives(tmp_path, monkeypatch):
+    for k in range(30):
+        with zipfile.ZipFile(tmp_path / f"{k:02d}.zip", "w") as z:
+            for i in range(5):
+                z.writestr(str(5 * k + i), bytes(200))
+    plan = lambda **options: media.ArchiveReader({"path": f"file://{tmp_path}", **options}).partitions()
+    assert len(plan()) == 1 and len(plan()[0].ranges) == 30
+    assert len(plan(range_bytes="500")) > 30 >= len(plan(range_bytes="500", max_partitions="25"))
+    opened = Counter()
+    real = media.filesystem
+
+    class Spy:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def open_input_file(self, path):
+            opened[path] += 1
+            return self.fs.open_input_file(path)
+
+    for options in ({}, {"range_bytes": "500"}, {"range_bytes": "500", "max_partitions": "25"}):
+        reader = media.ArchiveReader({"path": f"file://{tmp_path}", **options})
+        parts = reader.partitions()
+        opened.clear()
+        monkeypatch.setattr(media, "filesystem", lambda uri: (Spy(real(uri)[0]), real(uri)[1]))
+        names = [m for part in parts for b in reader.read(part) for m in b["member"].to_pylist()]
+        monkeypatch.undo()
+        assert sorted(map(int, names)) == list(range(150))
+        assert sum(opened.values()) == sum(len(part.ranges) for part in parts)  # one stream for a range
+
+
 def test_media_of_nothing(spark):
     assert media.media_columns(frame(spark, TEXTS).where("false")).collect() == []
 
