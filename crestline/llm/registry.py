@@ -11,7 +11,7 @@ def op1_media_columns(spark, sf_dir):
 
 
 def op2_substring_dedup(spark, sf_dir):
-    return substring_dedup.repeated_units(table(spark, sf_dir, "documents"))
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"), min_run_words=substring_dedup.OP2_RUN_WORDS)
 
 
 def op3_sentencepiece(spark, sf_dir):

@@ -3,23 +3,25 @@
 A text is cut after each line break and after white space that follows a full
 stop, question or exclamation mark. A unit is normalised (ASCII letters in lower
 case, white space as single spaces, none at the ends) and hashed to 128 bits.
-Digests are grouped globally; the occurrence with the smallest (doc_id, unit) is
-the earliest and stays. A later one goes if it belongs to a run of such units, one
-after another in its document, of at least ``min_run_words`` words: single short
-sentences that many texts share by chance stay, repeated passages go even where
-they begin or end within a line.
-
-Sentences are finer than the lines or paragraphs of the usual method, since
-passages may be set into other lines; ``sentences=False`` gives lines alone.
-
-Grouping sends (digest, smallest identifier, count), summed in each task first;
-occurrences of repeated digests then meet their group in an equi-join that Spark
-can split where a line is very frequent.
-
-Cases: a null text is empty; units of white space only are none; rows that share
-an identifier are one document, so an exact repetition of a row removes nothing
-from it; rows with a null identifier come last in rank, as one document; an
-empty table gives an empty result.
+Digests are grouped globally; the occurrence in the first row, and in it the first,
+is the earliest and stays. Later ones go, with their offsets in the original text
+retained. Sentences are finer than the lines or paragraphs of the usual method,
+since passages may be set into other lines; ``sentences=False`` gives lines alone.
+
+``min_run_words`` spares short repeats: a repeated unit then goes only if it belongs
+to a run of such units, one after another in its text, of at least so many words.
+At 1, the default, all repeats go.
+
+Rows are ranked by identifier and then a hash of the text, which tells rows of one
+identifier apart; cuts are made by both. Grouping sends (digest, first row, count),
+summed in each task first; occurrences of repeated digests then meet their group
+in an equi-join that Spark can split where a line is very frequent.
+
+Cases: a null text is empty; units of white space only are none; rows that repeat
+identifier and text are one, so an exact repetition removes nothing, and both
+results are cut alike; rows with a null identifier come last in rank, by the hash
+of their text; an empty table gives an empty result; other columns may have any
+names.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.llm.common import fresh, text_or_empty
+from crestline.llm.common import fresh, text_or_empty, unused
 
 _SENTENCES = re.compile(r".+?(?:[.!?][\x20\x09-\x0D]|\n|\Z)", re.S)
 _LINES = re.compile(r"[^\n]*\n|[^\n]+")
@@ -46,10 +48,15 @@ def units_of(text: str, sentences: bool = True) -> list[tuple[int, int, int, int
     return out
 
 
+def row_hash(text_col: str) -> Column:
+    """60 bits of the text's MD5, null being empty."""
+    return F.conv(F.substring(F.md5(text_or_empty(text_col)), 1, 15), 16, 10).cast("long")
+
+
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: bool = True) -> DataFrame:
-    """doc_id, unit, start, stop, words, digest, and whether an earlier unit of the row is equal."""
-    schema = "doc_id long, unit int, start long, stop long, words int, digest binary, again boolean"
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+    """doc_id, row, unit, start, stop, words, digest, and whether an earlier unit of the row is equal."""
+    schema = "doc_id long, row long, unit int, start long, stop long, words int, digest binary, again boolean"
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
     names = [x.split()[0] for x in schema.split(", ")]
 
     def batch_of(rows) -> pa.RecordBatch:
@@ -58,11 +65,11 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sente
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen = set()
                 for unit, start, stop, words, key in units_of(text, sentences):
                     digest = hashlib.md5(key, usedforsecurity=False).digest()
-                    rows.append((doc_id, unit, start, stop, words, digest, digest in seen))
+                    rows.append((doc_id, row, unit, start, stop, words, digest, digest in seen))
                     seen.add(digest)
                 if len(rows) >= 50_000:
                     yield batch_of(rows)
@@ -70,60 +77,100 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sente
             if rows:
                 yield batch_of(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("row"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = 20, sentences: bool = True) -> DataFrame:
-    """The units that go: doc_id, unit, start, stop, words, owner_id (the document whose occurrence stays), run_words."""
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = 1, sentences: bool = True) -> DataFrame:
+    """The units that go: doc_id, row, unit, start, stop, words, owner_id (the row whose occurrence stays), run_words."""
     found = units(docs, id_col, text_col, sentences)
-    groups = found.groupBy("digest").agg(F.min("doc_id").alias("owner_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select(fresh("digest").alias("key"), "owner_id")
-    later = found.withColumn("key", fresh("digest")).drop("digest").join(groups, "key").where(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("owner_id")))
-    single = later.groupBy("doc_id", "unit", "start", "stop", "words").agg(F.min("owner_id").alias("owner_id"))
-    runs = single.withColumn("run", F.col("unit") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("unit")))
-    runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run")))
-    return runs.where(F.col("run_words") >= min_run_words).select("doc_id", "unit", "start", "stop", "words", "owner_id", "run_words")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    groups = found.groupBy("digest").agg(F.min(rank).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select(fresh("digest").alias("key"), F.col("owner.doc_id").alias("owner_id"), F.col("owner.row").alias("owner_row"))
+    own = F.col("doc_id").eqNullSafe(F.col("owner_id")) & (F.col("row") == F.col("owner_row"))
+    later = found.withColumn("key", fresh("digest")).drop("digest").join(groups, "key").where(F.col("again") | ~own)
+    single = later.groupBy("doc_id", "row", "unit", "start", "stop", "words").agg(F.min("owner_id").alias("owner_id"))
+    text = Window.partitionBy("doc_id", "row")
+    runs = single.withColumn("run", F.col("unit") - F.row_number().over(text.orderBy("unit")))
+    runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "row", "run")))
+    return runs.where(F.col("run_words") >= min_run_words).select("doc_id", "row", "unit", "start", "stop", "words", "owner_id", "run_words")
+
+
+def _rest(text: str, spans: list[dict]) -> str:
+    at, out = 0, []
+    for x in spans:
+        out.append(text[at : x["start"]])
+        at = x["stop"]
+    return "".join([*out, text[at:]])
+
+
+def _cut(text_col: str, spans_col: str) -> Column:
+    """The text without the spans, which are in order; null for a null text."""
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or x is None else _rest(t, x) for t, x in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+
+    return cut(text_col, spans_col)
+
+
+def _with_spans(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, how: str) -> tuple[DataFrame, str]:
+    """``docs`` joined with each row's cut spans in order, and the name of their column."""
+    of_id, of_row, spans = (unused(x, docs) for x in ("of_id", "of_row", "removed"))
+    by_row = repeated.groupBy(F.col("doc_id").alias(of_id), F.col("row").alias(of_row)).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "words", "owner_id"))).alias(spans))
+    joined = docs.join(by_row, F.col(id_col).cast("long").eqNullSafe(F.col(of_id)) & (row_hash(text_col) == F.col(of_row)), how)
+    return joined.drop(of_id, of_row), spans
 
 
 def without_units(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated units cut out of the text, and ``removed``: the cut spans of the original."""
-    spans = repeated.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("removed"))
-    cut = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+    """``docs`` with the repeated units cut out of the text, and ``removed``: the cut spans of the original.
 
-    @F.pandas_udf("string")
-    def kept(texts, removed):
-        def one(text, cuts):
-            at, out = 0, []
-            for c in cuts if cuts is not None else ():
-                out.append(text[at : c["start"]])
-                at = max(at, c["stop"])
-            return "".join([*out, text[at:]])
+    The column's name gets underscores before it if ``docs`` has one of that name.
+    """
+    joined, spans = _with_spans(docs, repeated, id_col, text_col, "left")
+    return joined.withColumn(text_col, _cut(text_col, spans))
 
-        return texts.combine(removed, lambda t, c: t if t is None else one(t, c))
 
-    return cut.withColumn(text_col, kept(text_col, "removed"))
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = 1, sentences: bool = True) -> DataFrame:
+    """The rows that lose something: doc_id, text (what stays), removed (start-stop:owner_id of each cut unit), removed_words."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    joined, spans = _with_spans(rows, repeated_units(docs, id_col, text_col, min_run_words, sentences), "doc_id", "text", "inner")
+    span = lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["stop"].cast("string"), F.lit(":"), F.coalesce(x["owner_id"].cast("string"), F.lit("")))
+    words = F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    return joined.select("doc_id", _cut("text", spans).alias("text"), F.array_join(F.transform(spans, span), " ").alias("removed"), words.alias("removed_words"))
 
 
+#: The query's ``min_run_words``: in texts that are no copies of one another, 11,305 of 12,358 repeated lines
+#: of sf0.1 have fewer words, and removing those too touches 4,450 of 9,296 documents instead of 645.
+OP2_RUN_WORDS = 20
 OP2_SQL = r"""
-WITH u AS (
-  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(?s).+?(?:[.!?][\x20\x09-\x0D]|\n|\z)')) AS raw,
-         generate_subscripts(regexp_extract_all(coalesce(text, ''), '(?s).+?(?:[.!?][\x20\x09-\x0D]|\n|\z)'), 1) AS i
-  FROM documents
+WITH t AS (
+  SELECT DISTINCT doc_id, coalesce(text, '') AS text, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS row FROM documents
+), u AS (
+  SELECT doc_id, row, unnest(regexp_extract_all(text, '(?s).+?(?:[.!?][\x20\x09-\x0D]|\n|\z)')) AS raw,
+         generate_subscripts(regexp_extract_all(text, '(?s).+?(?:[.!?][\x20\x09-\x0D]|\n|\z)'), 1) AS i
+  FROM t
 ), o AS (
-  SELECT doc_id, i, raw, sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i) AS stop,
+  SELECT doc_id, row, i, raw, sum(length(raw)) OVER (PARTITION BY doc_id, row ORDER BY i) AS stop,
          trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
   FROM u
 ), n AS (
-  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS unit, (stop - length(raw))::BIGINT AS start, stop::BIGINT AS stop,
-         len(string_split(norm, ' '))::INTEGER AS words, norm
+  SELECT doc_id, row, i, row_number() OVER (PARTITION BY doc_id, row ORDER BY i) AS unit, (stop - length(raw))::BIGINT AS start, stop::BIGINT AS stop,
+         len(string_split(norm, ' ')) AS words, norm
   FROM o WHERE norm <> ''
 ), g AS (
-  SELECT *, count(*) OVER (PARTITION BY norm) AS n, min(doc_id) OVER (PARTITION BY norm) AS owner_id,
-         row_number() OVER (PARTITION BY norm, doc_id ORDER BY unit) AS k
+  SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, row, unit) AS place,
+         first_value(doc_id) OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, row, unit) AS owner_id
   FROM n
 ), l AS (
-  SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM g WHERE n > 1 AND (k > 1 OR doc_id IS DISTINCT FROM owner_id)
+  SELECT *, unit - row_number() OVER (PARTITION BY doc_id, row ORDER BY unit) AS run FROM g WHERE place > 1
 ), r AS (
-  SELECT *, sum(words) OVER (PARTITION BY doc_id, run)::BIGINT AS run_words FROM l
+  SELECT *, sum(words) OVER (PARTITION BY doc_id, row, run) AS run_words FROM l
+), c AS (
+  SELECT o.doc_id, o.row, coalesce(string_agg(o.raw, '' ORDER BY o.i) FILTER (r.i IS NULL), '') AS text,
+         string_agg(r.start || '-' || r.stop || ':' || coalesce(r.owner_id::VARCHAR, ''), ' ' ORDER BY r.start) AS removed, sum(r.words)::BIGINT AS removed_words
+  FROM o LEFT JOIN (SELECT * FROM r WHERE run_words >= 20) r ON o.doc_id IS NOT DISTINCT FROM r.doc_id AND o.row = r.row AND o.i = r.i
+  GROUP BY o.doc_id, o.row
 )
-SELECT doc_id, unit, start, stop, words, owner_id, run_words FROM r WHERE run_words >= 20
+SELECT d.doc_id, c.text, c.removed, c.removed_words
+FROM documents d JOIN c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND ('0x' || substr(md5(coalesce(d.text, '')), 1, 15))::BIGINT = c.row
+WHERE c.removed IS NOT NULL
 """

@@ -1,5 +1,6 @@
 """Exact, near and substring deduplication against brute force."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -214,29 +215,23 @@ def test_components_of_chains_and_stars(spark):
 
 
 def slow_repeats(rows, least=20):
-    texts = defaultdict(set)
-    for i, t in rows:
-        texts[i].add(t or "")
-    order = sorted(texts, key=lambda i: (i is None, i))
-    found, owner = {}, {}
-    for i in order:
-        found[i] = [u for t in texts[i] for u in substring_dedup.units_of(t)]
-        for u in found[i]:
-            owner.setdefault(u[4], i)
-    out = []
-    for i in order:
-        seen, run = set(), []
-        for u in [*found[i], None]:
-            later = u is not None and (owner[u[4]] != i or u[4] in seen)
+    """(doc_id, text) -> its repeated units that go, row by row in the order of ranks."""
+    number = lambda t: int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16)
+    order = sorted(set((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, x[0] or 0, number(x[1])))
+    seen, out = {}, {}
+    for i, t in order:
+        run, gone = [], []
+        for u in [*substring_dedup.units_of(t), None]:
+            if u is not None and u[4] in seen:
+                run.append((*u[:4], seen[u[4]]))
+                continue
             if u is not None:
-                seen.add(u[4])
-            if later:
-                run.append(u)
-            else:
-                if sum(x[3] for x in run) >= least:
-                    out += [(i, x[0], x[1], x[2], owner[x[4]], sum(y[3] for y in run)) for x in run]
-                run = []
-    return sorted(out, key=str)
+                seen[u[4]] = i
+            if sum(x[3] for x in run) >= least:
+                gone += run
+            run = []
+        out[i, t] = gone
+    return out
 
 
 def passages(seed):
@@ -253,23 +248,49 @@ def passages(seed):
     return [*rows, (40, None), (41, ""), (42, " \n \n"), (None, rows[0][1]), rows[1], (50, "é ü. " * 40), (51, "É ü. é  ü. " * 20)]
 
 
-def test_repeated_units(spark):
+@pytest.mark.parametrize("least", [1, 20])
+def test_repeated_units(spark, least):
     rows = passages(2)
-    got = substring_dedup.repeated_units(docs(spark, rows))
-    assert sorted(((r.doc_id, r.unit, r.start, r.stop, r.owner_id, r.run_words) for r in got.collect()), key=str) == slow_repeats(rows)
+    got = substring_dedup.repeated_units(docs(spark, rows), min_run_words=least)
+    want = [(i, *u) for (i, _), gone in slow_repeats(rows, least).items() for u in gone]
+    assert sorted(((r.doc_id, r.unit, r.start, r.stop, r.words, r.owner_id) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("least", [1, 20])
+def test_cut_texts_keep_the_rest(spark, least):
+    rows = passages(3)
+    frame = docs(spark, rows).withColumnRenamed("digest", "removed")
+    gone = slow_repeats(rows, least)
+
+    def rest(i, t):
+        return "".join(c for k, c in enumerate(t or "") if not any(a <= k < b for _, a, b, *_ in gone[i, t or ""]))
 
+    cut = substring_dedup.without_units(frame, substring_dedup.repeated_units(frame, min_run_words=least)).collect()
+    want = [(i, t if t is None else rest(i, t), [(a, b) for _, a, b, *_ in gone[i, t or ""]]) for i, t in rows]
+    assert sorted(((r.doc_id, r.text, [(s.start, s.stop) for s in r._removed or []]) for r in cut), key=str) == sorted(want, key=str)
+    found = substring_dedup.deduplicated(frame, min_run_words=least).collect()
+    want = [(i, rest(i, t), " ".join(f"{a}-{b}:{'' if o is None else o}" for _, a, b, _, o in gone[i, t]), sum(u[3] for u in gone[i, t])) for i, t in rows if gone[i, t or ""]]
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
 
-def test_cut_texts_keep_the_rest(spark):
-    rows = passages(3)[:30] + [(40, None)]
+
+def test_rows_of_one_identifier_lose_only_their_own_repeats(spark):
+    """Of two rows with one identifier one repeats another document; the other's text is found nowhere else."""
+    rows = [(1, "shared line of words\n"), (2, "shared line of words\n"), (2, "found nowhere else\n"), (None, "null one\n"), (None, "null two\nnull one\n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.without_units(frame, substring_dedup.repeated_units(frame)).collect()
+    texts = sorted(((r.doc_id, r.text) for r in got), key=str)
+    assert texts[:3] == [(1, "shared line of words\n"), (2, ""), (2, "found nowhere else\n")]
+    assert sorted(t for i, t in texts if i is None) in (["", "null two\nnull one\n"], ["null one\n", "null two\n"])
+
+
+def test_all_repeated_words_of_whole_units_go(spark):
+    """By default nothing that repeats as a unit stays: each distinct unit is left once."""
+    rows = passages(5)
     frame = docs(spark, rows)
-    cut = {r.doc_id: r for r in substring_dedup.without_units(frame, substring_dedup.repeated_units(frame)).collect()}
-    gone = defaultdict(list)
-    for i, _, a, b, *_ in slow_repeats(rows):
-        gone[i].append((a, b))
-    for i, t in rows:
-        want = t if t is None else "".join(c for k, c in enumerate(t) if not any(a <= k < b for a, b in gone[i]))
-        assert cut[i].text == want
-        assert [(s.start, s.stop) for s in cut[i].removed or []] == sorted(gone[i])
+    cut = substring_dedup.without_units(frame, substring_dedup.repeated_units(frame)).select("doc_id", "text").distinct().collect()
+    left = [u[4] for r in cut for u in substring_dedup.units_of(r.text or "")]
+    every = {u[4] for _, t in rows for u in substring_dedup.units_of(t or "")}
+    assert sorted(left) == sorted(every)
 
 
 def test_repeats_of_nothing(spark):
