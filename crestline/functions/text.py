@@ -29,8 +29,8 @@ def escape_text(text: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    """Without white space and then double quotes at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r'^"+|"+$', "")
+    """Without white space, of any alphabet, and then double quotes at the ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), r'^"+|"+$', "")
 
 
 def base_name(path: Column) -> Column:
@@ -56,6 +56,15 @@ def tag_matches(tag: Column, version: Column) -> Column:
     return tag == F.concat(F.lit("v"), version)
 
 
+def request_status(entry: Column, output: Column, k: Column, duration: Column) -> Column:
+    """What RunRequest would say of a request of strings: ok, no_entry, bad_number, no_output or bad_range."""
+    number = r"^\s*[+-]?\d+\s*$"
+    n, d = (F.trim(x).try_cast("bigint") for x in (k, duration))
+    blank = lambda x: F.coalesce(trimmed(x), F.lit("")) == ""
+    numbers = F.coalesce(k.rlike(number) & duration.rlike(number), F.lit(False)) & n.isNotNull() & d.isNotNull()
+    return F.when(blank(entry), "no_entry").when(~numbers, "bad_number").when(blank(output), "no_output").when((n < 1) | (d < 15) | (d > 120), "bad_range").otherwise("ok")
+
+
 def one_line(text: Column) -> Column:
     return F.replace(text, F.lit("\n"), F.lit(" "))
 

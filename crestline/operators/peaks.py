@@ -2,54 +2,34 @@
 
 Again and again the best remaining candidate of a series is taken, the earliest of
 equals, and candidates from ``separation`` before it to just under ``separation``
-after it go.
+after it go. A peak suppresses at most twice the separation of candidates, so the
+k-th is among the best 2 (k - 1) separation + 1: no more of a series is gathered,
+however long it is, and Spark drops the others before the shuffle where it can.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.params import DetectParams
 
-_PICKS = "CAST(array() AS array<struct<neg:double,second:int>>)"
+_PICKS = "CAST(array() AS array<struct<neg:double,second:bigint>>)"
 
 
-def by_fold(found: DataFrame, p: DetectParams = DetectParams()) -> DataFrame:
-    """(series_id, rank, second, score) in one pass over each series' sorted candidates.
+def best_candidates(found: DataFrame, p: DetectParams = DetectParams()) -> DataFrame:
+    """The candidates among which all peaks of their series are."""
+    place = F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("score").desc(), "second"))
+    return found.withColumn("_place", place).where(F.col("_place") <= p.most_candidates).drop("_place")
+
+
+def select_peaks(found: DataFrame, p: DetectParams = DetectParams()) -> DataFrame:
+    """(series_id, rank, second, score), best first, by one pass over each series' best candidates in order.
 
     A candidate is accepted unless an accepted one suppresses it, until there are k.
-    A series' candidates form one array, so this is for series of bounded length.
     """
-    sep = p.separation
-    fold = f"""aggregate(array_sort(collect_list(struct(-score AS neg, second AS second))), {_PICKS},
+    sep, found = p.separation, best_candidates(found, p)
+    fold = f"""aggregate(array_sort(collect_list(struct(-score AS neg, CAST(second AS bigint) AS second))), {_PICKS},
         (a, c) -> if(size(a) >= {p.k} OR exists(a, x -> c.second >= x.second - {sep} AND c.second < x.second + {sep}), a, concat(a, array(c))))"""
     picked = found.groupBy("series_id").agg(F.expr(fold).alias("picks"))
     return picked.select("series_id", F.posexplode("picks").alias("i", "pick")).select("series_id", (F.col("i") + 1).alias("rank"), F.col("pick.second").alias("second"), (-F.col("pick.neg")).alias("score"))
-
-
-def by_rounds(found: DataFrame, p: DetectParams = DetectParams()) -> DataFrame:
-    """The same in at most k rounds of a partial and a final maximum, gathering no series anywhere.
-
-    For series of any length: a round's picks are one row per series.
-    """
-    spark, sep = found.sparkSession, p.separation
-    left, picks = found, None
-    for rank in range(1, p.k + 1):
-        best = left.groupBy("series_id").agg(F.max(F.struct("score", (-F.col("second")).alias("neg"))).alias("b"))
-        best = best.select("series_id", F.lit(rank).alias("rank"), (-F.col("b.neg")).alias("second"), F.col("b.score").alias("score")).checkpoint() if _can_checkpoint(spark) else best
-        picks = best if picks is None else picks.unionByName(best)
-        if rank < p.k:
-            chosen = best.select("series_id", F.col("second").alias("at"))
-            left = left.join(chosen, "series_id").where((F.col("second") < F.col("at") - sep) | (F.col("second") >= F.col("at") + sep)).drop("at")
-    return picks.select("series_id", "rank", "second", "score")
-
-
-def _can_checkpoint(spark) -> bool:
-    return bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
-
-
-def select_peaks(found: DataFrame, p: DetectParams = DetectParams(), most: int = 1_000_000) -> DataFrame:
-    """(series_id, rank, second, score), best first; by folding if no series has over ``most`` candidates, else by rounds."""
-    largest = found.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0
-    return by_fold(found, p) if largest <= most else by_rounds(found, p)

@@ -21,21 +21,26 @@ def bucket_max(samples: DataFrame, p: DetectParams = DetectParams()) -> DataFram
 
     A maximum, so it is taken in each task before the shuffle and any order of
     samples gives the same. NaN levels should be cleaned before, as sources do.
+    Times before 0 or that are no finite number are left out.
     """
-    second = F.floor(F.col("t") / F.lit(float(p.bucket_seconds))).cast("int")
-    return samples.groupBy("series_id", second.alias("second")).agg(F.greatest(F.max("level"), F.lit(p.floor)).alias("level"))
+    at = F.col("t") / F.lit(float(p.bucket_seconds))
+    second = F.floor(at).cast("bigint")
+    return samples.where((at >= 0) & (at < float(1 << 62))).groupBy("series_id", second.alias("second")).agg(F.greatest(F.max("level"), F.lit(p.floor)).alias("level"))
 
 
 def observed(buckets: DataFrame, p: DetectParams = DetectParams()) -> DataFrame:
-    """(series_id, observed, n, status): buckets seen, the series' length, and whether there are enough."""
+    """(series_id, observed, n, status): buckets seen, the series' length, and whether it is too_short, too_long or ok."""
     counts = buckets.groupBy("series_id").agg(F.count(F.lit(1)).alias("observed"), (F.max("second") + 1).cast("long").alias("n"))
-    return counts.withColumn("status", F.when(F.col("observed") < p.min_buckets, "too_short").otherwise("ok"))
+    return counts.withColumn("status", F.when(F.col("observed") < p.min_buckets, "too_short").when(F.col("n") > p.max_buckets, "too_long").otherwise("ok"))
 
 
 def densify(buckets: DataFrame, p: DetectParams = DetectParams()) -> DataFrame:
-    """(series_id, second, level) for every second from 0 to the last one seen, gaps at the floor."""
-    last = buckets.groupBy("series_id").agg(F.max("second").alias("last"))
-    starts = last.select("series_id", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(_RUN))).alias("start"))
+    """(series_id, second, level) for every second from 0 to the last one seen, gaps at the floor.
+
+    Series of more than ``max_buckets`` seconds are left out.
+    """
+    last = buckets.groupBy("series_id").agg(F.max("second").cast("bigint").alias("last")).where(F.col("last") < p.max_buckets)
+    starts = last.select("series_id", "last", F.explode(F.sequence(F.lit(0).cast("bigint"), "last", F.lit(_RUN).cast("bigint"))).alias("start"))
     spine = starts.select("series_id", F.explode(F.sequence("start", F.least(F.col("start") + _RUN - 1, "last"))).alias("second"))
     return spine.join(buckets, ["series_id", "second"], "left").select("series_id", "second", F.coalesce("level", F.lit(p.floor)).alias("level"))
 
@@ -66,11 +71,16 @@ def smooth(dense: DataFrame, p: DetectParams = DetectParams(), stretch: int = 10
 def baseline(smoothed: DataFrame) -> DataFrame:
     """(series_id, baseline, n): the upper median, element n div 2 of the sorted series, and its length.
 
-    Equal values are counted before the shuffle; the percentile then works on
-    (value, count) pairs.
+    Equal values are counted before the shuffle. The (value, count) pairs of a
+    series are then sorted and run through, which spills where it must; no task
+    holds them all at once.
     """
-    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY smoothed DESC)")
-    return smoothed.groupBy("series_id").agg(upper.alias("baseline"), F.count(F.lit(1)).alias("n"))
+    counted = smoothed.groupBy("series_id", "smoothed").agg(F.count(F.lit(1)).alias("many"))
+    series = Window.partitionBy("series_id")
+    upto = F.sum("many").over(series.orderBy("smoothed").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = counted.select("series_id", "smoothed", "many", upto.alias("upto"), F.sum("many").over(series).alias("n"))
+    at = F.floor(F.col("n") / 2)
+    return found.where((F.col("upto") > at) & (F.col("upto") - F.col("many") <= at)).select("series_id", F.col("smoothed").alias("baseline"), "n")
 
 
 def scored(smoothed: DataFrame, base: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from crestline.operators import series as S
 from crestline.operators.peaks import select_peaks
 from crestline.params import DetectParams
 
-#: Filter graph sources, sizes (font, x, y, logo height) and messages of the output format.
+#: Filter graph sources, sizes (font, x, y, logo height), file names and messages of the output format,
+#: and the encoder's arguments in render_command.
 VERTICAL = (
     "[0:v]scale=1080:1920:force_original_aspect_ratio=increase,crop=1080:1920,gblur=sigma=25[bg];"
     "[0:v]scale=1080:-2[fg];[bg][fg]overlay=(W-w)/2:(H-h)/2[v]"
@@ -31,12 +32,12 @@ def scores(samples: DataFrame, p: DetectParams = DetectParams()) -> tuple[DataFr
 
 
 def detect(samples: DataFrame, p: DetectParams = DetectParams()) -> DataFrame:
-    """(series_id, rank, second, score): every series' peaks, best first. Series that are too short have none."""
+    """(series_id, rank, second, score): every series' peaks, best first. Series that are too short or too long have none."""
     return select_peaks(S.candidates(scores(samples, p)[1], p), p)
 
 
 def statuses(samples: DataFrame, p: DetectParams = DetectParams(), strict: bool = False) -> DataFrame:
-    """(series_id, status): ok, too_short or no_peaks; one bad series doesn't fail the others.
+    """(series_id, status): ok, too_short, too_long or no_peaks; one bad series doesn't fail the others.
 
     ``strict`` raises ValueError instead if any isn't ok.
     """
@@ -48,9 +49,17 @@ def statuses(samples: DataFrame, p: DetectParams = DetectParams(), strict: bool
     return out
 
 
+def completion(samples: DataFrame, p: DetectParams = DetectParams()) -> DataFrame:
+    """(series_id, status, clips): how many clips each series gets, and why if there are none."""
+    states, scored = scores(samples, p)
+    counts = select_peaks(S.candidates(scored, p), p).groupBy("series_id").agg(F.count(F.lit(1)).alias("clips"))
+    found = states.join(counts, "series_id", "left").withColumn("clips", F.coalesce("clips", F.lit(0).cast("long")))
+    return found.select("series_id", F.when(F.col("status") != "ok", F.col("status")).when(F.col("clips") > 0, "ok").otherwise("no_peaks").alias("status"), "clips")
+
+
 def clip_plan(peaks: DataFrame, p: DetectParams = DetectParams()) -> DataFrame:
     """The peaks with clip_start, duration and file_name; the end isn't cut to the recording's."""
-    start = F.greatest(F.lit(0), F.col("second") - int(p.duration * p.lead))
+    start = F.greatest(F.lit(0).cast("bigint"), F.col("second") - int(p.duration * p.lead))
     rank = F.lpad(F.col("rank").cast("string"), F.greatest(F.lit(2), F.length(F.col("rank").cast("string"))), "0")
     out = peaks.select("series_id", "rank", "second", "score", start.alias("clip_start"), F.lit(p.duration).alias("duration"))
     return out.withColumn("file_name", F.concat(F.lit("clip_"), rank, F.lit("_min_"), file_clock(F.col("clip_start")), F.lit(".mp4")))

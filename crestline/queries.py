@@ -14,8 +14,9 @@ from crestline.operators import lines as L
 from crestline.operators import series as S
 from crestline.params import DetectParams
 from crestline.plans import highlights as H
+from crestline.shared import scratch
 from crestline.sources import levels as V
-from crestline.streaming.levels import bucket_stream
+from crestline.streaming.levels import bucket_stream, keep_buckets
 
 P = DetectParams(bucket_seconds=3600, floor=0.0, decimals=2)
 
@@ -164,35 +165,95 @@ def remote_entry(spark, sf_dir):
 
 def stream_buckets(spark, sf_dir):
     """The streaming bucket stage, run to the end over the events as a stream and read back."""
-    import uuid
-
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     # the file source lists a folder, and the table may be a file in one
     folder, glob = (path, "*.parquet") if spark.read.parquet(path).inputFiles()[0].rsplit("/", 1)[0].endswith("events.parquet") else (sf_dir, "events.parquet")
     events = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
     samples = events.select(F.col("event_type").alias("series_id"), "ts", F.col("value").alias("level"))
-    name = f"buckets_{uuid.uuid4().hex}"
-    query = bucket_stream(samples, P, late="31 days").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    return keep_buckets(bucket_stream(samples, P, late="31 days"), scratch(spark, "stream-buckets"))
+
+
+def _line_files(spark, sf_dir) -> str:
+    """The events' lines as text files, in a folder for each event type; the files' own names are the same in all."""
+    folder = scratch(spark, "lines")
+    lines = _table(spark, sf_dir, "events").select("event_type", F.expr(_written_line()).alias("value"))
+    lines.write.partitionBy("event_type").text(folder)
+    return folder
+
+
+def _event_type(series_id):
+    """The folder's name in the path of a file of lines."""
+    return F.regexp_extract(series_id, r"event_type=([^/]+)/", 1)
+
+
+def level_files(spark, sf_dir):
+    """Text files of lines, parsed; the path says which series a line is of."""
+    samples = V.parse_lines(V.read_lines(spark, f"{_line_files(spark, sf_dir)}/*", "*.txt"))
+    return samples.select(_event_type("series_id").alias("series_id"), "t", "level")
+
+
+def stream_levels(spark, sf_dir):
+    """The same files as a stream through parsing and buckets of a minute, read back by event type."""
+    p = DetectParams(bucket_seconds=60)
+    lines = V.stream_lines(spark, f"{_line_files(spark, sf_dir)}/*", "*.txt")
+    buckets = keep_buckets(bucket_stream(V.at_origin(V.parse_lines(lines)), p, late="1 day"), scratch(spark, "stream-levels"))
+    return buckets.groupBy(_event_type("series_id").alias("series_id"), "second").agg(F.max("level").alias("level"))
+
+
+def format_choice(spark, sf_dir):
+    """Order lines as the formats of an entry, the order."""
+    lines = _table(spark, sf_dir, "lineitem")
+    height = F.element_at(F.array(*map(F.lit, (360, 480, 720, 1080, 1440))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    formats = lines.select(
+        F.col("l_orderkey").alias("entry"),
+        F.concat(F.col("l_linenumber").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("format_id"),
+        height.alias("height"),
+        F.col("l_quantity").alias("bitrate"),
+        (F.col("l_suppkey") % 3 != 0).alias("has_video"),
+        (F.col("l_suppkey") % 3 != 1).alias("has_audio"),
+    )
+    return V.choose_formats(formats).withColumn("hd", F.lit(False)).unionByName(V.choose_formats(formats, hd=True).withColumn("hd", F.lit(True)))
+
+
+def config_out(spark, sf_dir):
+    parts = _table(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey") % 7 == 0, F.lit(None)).otherwise(F.concat("p_name", F.lit(' "é"\\'), "p_brand", F.lit("\n/")))
+    return parts.select("p_partkey", V.config_text(name, F.col("p_type"), F.lit("out")).alias("config"))
+
+
+def completion(spark, sf_dir):
+    """Per user, so that many series are too short; buckets of an hour are at most 600, so that some are too long."""
+    samples = V.from_events(_table(spark, sf_dir, "events"), series="user_id", floor=P.floor)
+    return H.completion(samples, DetectParams(bucket_seconds=3600, floor=0.0, decimals=2, min_buckets=12, max_buckets=600, k=3))
+
+
+def request_status(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    entry = F.when(key % 5 == 0, F.lit(' "" ')).when(key % 5 == 1, F.lit('"" \t')).otherwise(F.concat(F.lit(' "'), "o_orderpriority", F.lit('"')))
+    output = F.when(key % 7 == 0, F.lit(None)).when(key % 7 == 1, F.lit("\u3000\u00a0 ")).otherwise(F.lit("out"))
+    k = F.when(key % 11 == 0, "six").otherwise((F.col("o_custkey") % 6).cast("string"))
+    duration = F.when(key % 13 == 0, "1.5").otherwise((F.col("o_custkey") % 140).cast("string"))
+    return orders.select("o_orderkey", X.request_status(entry, output, k, duration).alias("status"))
 
 
 FUNCTIONS = [
     parse_levels, bucket_max, observed_guard, densify, smooth, baseline, scored_candidates, peaks, series_status, clip_plan, summary, report, readable_time, escape_text,
     strip_entry, render_filter, render_command, config_json, tail_lines, last_error, progress_throttle, version_check, remote_entry, stream_buckets,
+    level_files, stream_levels, format_choice, config_out, completion, request_status,
 ]
 
 # ---------------------------------------------------------------- SQL for DuckDB
 
 _BUCKETS = """
 buckets AS (
-  SELECT event_type AS series_id, floor(date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) / 3600000000)::INTEGER AS second,
+  SELECT event_type AS series_id, floor(date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) / 3600000000)::BIGINT AS second,
          greatest(max(value), 0.0::DOUBLE) AS level
   FROM events WHERE ts >= TIMESTAMP '2024-01-01 00:00:00' GROUP BY 1, 2
 )"""
 _DENSE = _BUCKETS + """, spine AS (
-  SELECT series_id, unnest(range(0, max(second) + 1))::INTEGER AS second FROM buckets GROUP BY series_id
+  SELECT series_id, unnest(range(0, max(second) + 1))::BIGINT AS second FROM buckets GROUP BY series_id
 ), dense AS (
   SELECT s.series_id, s.second, coalesce(b.level, 0.0::DOUBLE) AS level FROM spine s LEFT JOIN buckets b ON s.series_id = b.series_id AND s.second = b.second
 )"""
@@ -209,7 +270,7 @@ _CANDIDATES = _BASE + """, candidates AS (
     AND series_id IN (SELECT series_id FROM buckets GROUP BY series_id HAVING count(*) >= 30)
 )"""
 _PEAKS = _CANDIDATES + """, picked(series_id, rank, second, score, picks) AS (
-  SELECT DISTINCT series_id, 0, NULL::INTEGER, NULL::DOUBLE, []::INTEGER[] FROM candidates
+  SELECT DISTINCT series_id, 0, NULL::BIGINT, NULL::DOUBLE, []::BIGINT[] FROM candidates
   UNION ALL
   SELECT series_id, rank, second, score, picks FROM (
     SELECT c.series_id, p.rank + 1 AS rank, c.second, c.score, list_append(p.picks, c.second) AS picks,
@@ -234,9 +295,8 @@ def _with(ctes: str, select: str, recursive: bool = False) -> str:
 
 _STATUS = _CANDIDATES.replace("event_type AS series_id", "user_id AS series_id").replace(">= 30)", ">= 12)")
 
-SQL = {
-    "parse_levels": r"""
-WITH lines AS (
+_LINE_SAMPLES = r"""
+lines AS (
   SELECT event_type AS series_id, CASE WHEN event_id % 13 = 0 THEN concat('size= ', user_id)
     ELSE concat('[a] t: ', event_id % 5000, '.', event_id % 10, ' TARGET:-23 LUFS M: ',
          CASE event_id % 11 WHEN 0 THEN 'nan' WHEN 1 THEN '-inf' WHEN 2 THEN '1.2.3' ELSE concat('-', user_id % 90, '.', event_id % 7) END, ' S: -9.9') END AS line
@@ -245,8 +305,54 @@ WITH lines AS (
   SELECT series_id, try_cast(regexp_extract(line, 't:\s*([\d.]+).*?M:\s*(-?[\d.]+|-?inf|nan)', 1) AS DOUBLE) AS t,
          try_cast(regexp_extract(line, 't:\s*([\d.]+).*?M:\s*(-?[\d.]+|-?inf|nan)', 2) AS DOUBLE) AS m
   FROM lines WHERE regexp_matches(line, 't:\s*([\d.]+).*?M:\s*(-?[\d.]+|-?inf|nan)')
+), parsed AS (
+  SELECT series_id, t, CASE WHEN m IS NULL OR isnan(m) OR isinf(m) THEN -70.0 ELSE m END AS level FROM found WHERE t IS NOT NULL
+)"""
+_COMPLETION = _STATUS.replace(">= 12)", ">= 12 AND max(second) < 600)")
+_COMPLETION = _COMPLETION + """, picked(series_id, rank, second, picks) AS (
+  SELECT DISTINCT series_id, 0, NULL::BIGINT, []::BIGINT[] FROM candidates
+  UNION ALL
+  SELECT series_id, rank, second, picks FROM (
+    SELECT c.series_id, p.rank + 1 AS rank, c.second, list_append(p.picks, c.second) AS picks,
+           row_number() OVER (PARTITION BY c.series_id ORDER BY c.score DESC, c.second) AS k
+    FROM picked p JOIN candidates c ON p.series_id = c.series_id
+    WHERE p.rank < 3 AND len(list_filter(p.picks, lambda x: c.second >= x - 75 AND c.second < x + 75)) = 0
+  ) WHERE k = 1
+), clips AS (SELECT series_id, max(rank)::BIGINT AS clips FROM picked GROUP BY series_id)"""
+
+SQL = {
+    "parse_levels": _with(_LINE_SAMPLES, "SELECT * FROM parsed"),
+    "level_files": _with(_LINE_SAMPLES, "SELECT * FROM parsed"),
+    "stream_levels": _with(_LINE_SAMPLES, "SELECT series_id, floor(t / 60)::BIGINT AS second, greatest(max(level), -70.0::DOUBLE) AS level FROM parsed GROUP BY 1, 2"),
+    "format_choice": """
+WITH f AS (
+  SELECT l_orderkey AS entry, concat(l_linenumber, '-', l_partkey) AS format_id, [360, 480, 720, 1080, 1440][(l_partkey % 5 + 1)::INTEGER] AS height, l_quantity AS bitrate,
+         l_suppkey % 3 <> 0 AS has_video, l_suppkey % 3 <> 1 AS has_audio
+  FROM lineitem
+), h AS (
+  SELECT * FROM f, (VALUES (false, 720), (true, 1080)) AS v(hd, most)
+), o AS (
+  SELECT entry, hd,
+         list(format_id ORDER BY height DESC, bitrate DESC, format_id) FILTER (has_video AND height <= most) AS videos,
+         list(format_id ORDER BY height DESC, bitrate DESC, format_id) FILTER (has_audio AND NOT has_video) AS audios,
+         list(format_id ORDER BY height DESC, bitrate DESC, format_id) FILTER (has_audio AND has_video AND height <= most) AS fitting,
+         list(format_id ORDER BY height DESC, bitrate DESC, format_id) FILTER (has_audio AND has_video) AS combined
+  FROM h GROUP BY entry, hd
+)
+SELECT entry, hd, CASE WHEN videos[1] IS NOT NULL AND audios[1] IS NOT NULL THEN 'video+audio' WHEN fitting[1] IS NOT NULL THEN 'fitting' WHEN combined[1] IS NOT NULL THEN 'combined' ELSE 'none' END AS choice,
+       CASE WHEN videos[1] IS NOT NULL AND audios[1] IS NOT NULL THEN videos[1] ELSE coalesce(fitting[1], combined[1]) END AS video_id,
+       CASE WHEN videos[1] IS NOT NULL AND audios[1] IS NOT NULL THEN audios[1] END AS audio_id
+FROM o""",
+    "config_out": r"""
+WITH c AS (
+  SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat(p_name, ' "é"\', p_brand, chr(10), '/') END AS name, p_type FROM part
 )
-SELECT series_id, t, CASE WHEN m IS NULL OR isnan(m) OR isinf(m) THEN -70.0 ELSE m END AS level FROM found WHERE t IS NOT NULL""",
+SELECT p_partkey, concat('{', chr(10), '  "nombre": ', to_json(name), ',', chr(10), '  "logo": ', to_json(p_type), ',', chr(10), '  "salida": "out"', chr(10), '}') AS config FROM c""",
+    "completion": _with(_COMPLETION, """SELECT b.series_id, CASE WHEN b.n < 12 THEN 'too_short' WHEN b.last >= 600 THEN 'too_long' WHEN clips IS NULL THEN 'no_peaks' ELSE 'ok' END AS status, coalesce(clips, 0)::BIGINT AS clips
+FROM (SELECT series_id, count(*) AS n, max(second) AS last FROM buckets GROUP BY series_id) b LEFT JOIN clips ON b.series_id = clips.series_id""", True),
+    "request_status": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 5 = 1 THEN 'no_entry' WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN 'bad_number'
+       WHEN o_orderkey % 7 = 0 OR o_orderkey % 7 = 1 THEN 'no_output' WHEN o_custkey % 6 < 1 OR o_custkey % 140 < 15 OR o_custkey % 140 > 120 THEN 'bad_range' ELSE 'ok' END AS status FROM orders""",
     "bucket_max": _with(_BUCKETS, "SELECT * FROM buckets"),
     "observed_guard": _with(_BUCKETS, "SELECT series_id, count(*) AS observed, (max(second) + 1)::BIGINT AS n, CASE WHEN count(*) < 30 THEN 'too_short' ELSE 'ok' END AS status FROM buckets GROUP BY series_id"),
     "densify": _with(_DENSE, "SELECT * FROM dense"),

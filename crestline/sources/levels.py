@@ -6,16 +6,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed value: the format of an analyser's line, a time and a momentary level.
+#: The format of an analyser's line, a time and a momentary level; the keys of a saved configuration.
 LEVEL_LINE = r"t:\s*([\d.]+).*?M:\s*(-?[\d.]+|-?inf|nan)"
 LINES = T.StructType([T.StructField("series_id", T.StringType()), T.StructField("line", T.StringType())])
 CONFIG = T.StructType([T.StructField(n, T.StringType()) for n in ("nombre", "logo", "salida")])
 
 
 def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Text files as (series_id, line), one series per file; a file is split over tasks as it needs."""
+    """Text files as (series_id, line), one series per file, known by its path; a file is split over tasks as it needs."""
     reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
-    return reader.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("series_id"), F.col("value").alias("line"))
+    return _by_path(reader.text(path))
+
+
+def stream_lines(spark: SparkSession, path: str, glob: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
+    """The same as a stream of the files that come into a folder or match a pattern."""
+    reader = spark.readStream
+    for name, value in (("pathGlobFilter", glob), ("maxFilesPerTrigger", files_per_trigger)):
+        reader = reader.option(name, value) if value is not None else reader
+    return _by_path(reader.text(path))
+
+
+def _by_path(files: DataFrame) -> DataFrame:
+    return files.select(F.col("_metadata.file_path").alias("series_id"), F.col("value").alias("line"))
 
 
 def clean_level(level: Column, floor: float = -70.0) -> Column:
@@ -29,7 +41,8 @@ def parse_lines(lines: DataFrame, floor: float = -70.0) -> DataFrame:
     A level that isn't a finite number is ``floor``. A time that isn't a number,
     such as 1.2.3, makes a line void.
     """
-    found = lines.where(F.col("line").rlike(LEVEL_LINE)).select(
+    # of a line in another format the groups are empty, and so no number
+    found = lines.select(
         "series_id",
         F.regexp_extract("line", LEVEL_LINE, 1).try_cast("double").alias("t"),
         F.regexp_extract("line", LEVEL_LINE, 2).try_cast("double").alias("m"),
@@ -42,15 +55,59 @@ def from_events(events: DataFrame, origin: str = "2024-01-01 00:00:00", series:
 
     The origin is explicit, since series start at 0 and gaps from there on are filled.
     """
+    start = F.expr(f"TIMESTAMP_NTZ '{origin}'")
     t = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '{origin}', `{at}`)") / 1e6
-    return events.select(F.col(series).alias("series_id"), t.alias("t"), clean_level(F.col(level).cast("double"), floor).alias("level")).where("t >= 0")
+    # the time is compared as it is stored, so that Parquet leaves out what is earlier
+    return events.where(F.col(at) >= start).select(F.col(series).alias("series_id"), t.alias("t"), clean_level(F.col(level).cast("double"), floor).alias("level"))
+
+
+def at_origin(samples: DataFrame, origin: str = "2024-01-01 00:00:00") -> DataFrame:
+    """(series_id, ts, level) of samples whose t is seconds since ``origin``; times that no timestamp can hold are left out."""
+    start = F.unix_micros(F.expr(f"TIMESTAMP '{origin}'"))
+    within = samples.where((F.col("t") >= 0) & (F.col("t") < 2.0e11))
+    return within.select("series_id", F.timestamp_micros(start + (F.col("t") * 1e6).cast("bigint")).alias("ts"), "level")
 
 
 def parse_config(rows: DataFrame, json_col: str, default_output: str = "") -> DataFrame:
     """The columns nombre, logo and salida of a JSON column, and all others.
 
-    Missing keys are empty, but salida is ``default_output`` then and for text that
-    isn't a JSON object, of which nothing is known.
+    Missing keys are empty, but salida is ``default_output`` then, where it is empty,
+    and for text that isn't a JSON object, of which nothing is known.
     """
     got = F.from_json(F.col(json_col), CONFIG, {"mode": "PERMISSIVE"})
-    return rows.select("*", *(F.coalesce(got[n], F.lit(default_output if n == "salida" else "")).alias(n) for n in CONFIG.names))
+    value = {n: F.coalesce(got[n], F.lit("")) for n in CONFIG.names}
+    value["salida"] = F.when(value["salida"] == "", F.lit(default_output)).otherwise(value["salida"])
+    return rows.select("*", *(value[n].alias(n) for n in CONFIG.names))
+
+
+def config_text(nombre: Column, logo: Column, salida: Column) -> Column:
+    """A configuration as JSON text: two spaces before each key, characters as they are, null as an empty string."""
+
+    def quoted(value: Column) -> Column:
+        wrapped = F.to_json(F.struct(F.coalesce(value, F.lit("")).alias("v")))
+        return wrapped.substr(F.lit(6), F.length(wrapped) - 6)
+
+    lines = [F.concat(F.lit(f'  "{key}": '), quoted(value)) for key, value in zip(CONFIG.names, (nombre, logo, salida), strict=True)]
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *lines), F.lit("\n}"))
+
+
+def choose_formats(formats: DataFrame, hd: bool = False) -> DataFrame:
+    """(entry, choice, video_id, audio_id): the best formats of each entry that fit a height of 1080 if ``hd``, else 720.
+
+    ``formats``: entry, format_id, height, bitrate, has_video, has_audio. First choice
+    is the best video within the height with the best audio; then the best format
+    with both within the height; then the best with both. Better is higher, then of
+    the larger bitrate, then the smaller id. Entries without any have null ids.
+    """
+    most = 1080 if hd else 720
+    fits, both = F.col("has_video") & (F.col("height") <= most), F.col("has_video") & F.col("has_audio")
+    order = F.struct((-F.coalesce("height", F.lit(0))).alias("h"), (-F.coalesce("bitrate", F.lit(0.0))).alias("b"), "format_id")
+    best = lambda when: F.min_by("format_id", F.when(when, order))
+    found = formats.groupBy("entry").agg(best(fits).alias("video"), best(F.col("has_audio") & ~F.col("has_video")).alias("audio"), best(fits & both).alias("fitting"), best(both).alias("combined"))
+    pair = F.col("video").isNotNull() & F.col("audio").isNotNull()
+    return found.select(
+        "entry",
+        F.when(pair, "video+audio").when(F.col("fitting").isNotNull(), "fitting").when(F.col("combined").isNotNull(), "combined").otherwise("none").alias("choice"),
+        F.when(pair, F.col("video")).otherwise(F.coalesce("fitting", "combined")).alias("video_id"),
+        F.when(pair, F.col("audio")).alias("audio_id"),
+    )

@@ -24,10 +24,29 @@ def bucket_stream(samples: DataFrame, p: DetectParams = DetectParams(), ts: str
     start = F.expr(f"TIMESTAMP '{origin}'")
     timed = samples.withColumn("_at", F.col(ts).cast("timestamp")).where(F.col("_at") >= start).withWatermark("_at", late)
     top = timed.groupBy("series_id", F.window("_at", width).alias("w")).agg(F.greatest(F.max("level"), F.lit(p.floor)).alias("level"))
-    second = F.floor((F.unix_micros(F.col("w.start")) - F.unix_micros(start)) / round(p.bucket_seconds * 1_000_000)).cast("int")
+    second = F.floor((F.unix_micros(F.col("w.start")) - F.unix_micros(start)) / round(p.bucket_seconds * 1_000_000)).cast("bigint")
     return top.select("series_id", second.alias("second"), "level")
 
 
+def keep_buckets(buckets: DataFrame, folder: str) -> DataFrame:
+    """Run a stream of buckets to the end of its present input into Parquet, and read the buckets back.
+
+    Each batch writes the buckets it has changed, in a folder of its number, so a
+    batch that is repeated after a failure replaces what it wrote. A bucket's level
+    only rises, so of its versions the highest holds. State is kept until the
+    watermark passes; nothing goes through the driver.
+    """
+    spark = buckets.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/buckets/batch={number}")
+
+    query = buckets.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = spark.read.schema(buckets.schema).parquet(f"{folder}/buckets")
+    return kept.groupBy("series_id", "second").agg(F.max("level").alias("level"))
+
+
 def throttle_stream(values: DataFrame, key: str, order: str, value: str, step: float = 10.0, start: float = -10.0) -> DataFrame:
     """(key, order, value) of a stream's rows that are at least ``step`` above the last one reported of their key.
 

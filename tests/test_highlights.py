@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 from crestline.functions import text as X
 from crestline.operators import lines as L
 from crestline.operators import series as S
-from crestline.operators.peaks import by_fold, by_rounds
-from crestline.params import DetectParams
+from crestline.operators.peaks import best_candidates, select_peaks
+from crestline.params import DetectParams, RunRequest
 from crestline.plans import highlights as H
 from crestline.sources import levels as V
 
 
-def picked(spark, levels, k, duration, choose=by_fold, **more):
+def picked(spark, levels, k, duration, **more):
     """Peaks of one smoothed series, as (second, score)."""
     if not levels:
         return []
     p = DetectParams(k=k, duration=duration, **more)
     smoothed = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(levels)], "series_id string, second int, smoothed double")
-    rows = choose(S.candidates(S.scored(smoothed), p), p).orderBy("rank").collect()
+    rows = select_peaks(S.candidates(S.scored(smoothed), p), p).orderBy("rank").collect()
     return [(r.second, round(r.score, 6)) for r in rows]
 
 
@@ -79,17 +79,45 @@ def greedy(levels, k, sep, least=1.5):
 
 @settings(max_examples=12, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 8), st.sampled_from([15, 30, 45]))
-def test_fold_and_rounds_equal_the_loop(spark, seed, k, duration):
+def test_peaks_are_those_of_the_loop(spark, seed, k, duration):
     r = random.Random(seed)
     levels = [float(r.choice([0, 0, 0, 1, 2, 5, 9, 9])) for _ in range(r.randrange(1, 400))]
     want = greedy(levels, k, duration + 30)
     assert picked(spark, levels, k, duration) == want
-    assert picked(spark, levels, k, duration, by_rounds) == want
     assert all(a[1] >= b[1] for a, b in zip(want, want[1:]))
     starts = sorted(max(0, s - int(duration * 0.4)) for s, _ in want)
     assert all(b - a >= duration for a, b in zip(starts, starts[1:]))
 
 
+def test_few_candidates_decide_a_long_series(spark):
+    """A plateau of equal scores: what is gathered of a series doesn't grow with its length."""
+    p = DetectParams(k=3, duration=15)
+    levels = [float(i // 500 % 7) for i in range(9000)]
+    found = S.candidates(S.scored(spark.createDataFrame([("a", i, x) for i, x in enumerate(levels)], "series_id string, second int, smoothed double")), p)
+    assert found.count() >= 2000 and best_candidates(found, p).count() == p.most_candidates == 181
+    assert [(r.second, r.score) for r in select_peaks(found, p).orderBy("rank").collect()] == greedy(levels, 3, 45)
+    assert "WindowGroupLimit" in best_candidates(found, p)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [3.0, 1.0, 2.0], [5.0, 5.0, 5.0, 1.0], [float(i * 7919 % 101) for i in range(1000)], [-0.5, 0.5, 0.5, 9.0, 9.0, 9.0]])
+def test_baseline_is_the_upper_median(spark, values):
+    frame = spark.createDataFrame([("a", i, x) for i, x in enumerate(values)] + [("b", 0, 4.0)], "series_id string, second int, smoothed double")
+    assert {r.series_id: (r.baseline, r.n) for r in S.baseline(frame).collect()} == {"a": (sorted(values)[len(values) // 2], len(values)), "b": (4.0, 1)}
+    assert "percentile" not in S.baseline(frame)._jdf.queryExecution().toString().lower()
+
+
+def test_a_wrong_time_costs_its_own_series_only(spark):
+    """Times in the billions make no spine of billions, and don't end the job."""
+    good = [(i, -3.0 if i == 100 else -20.0) for i in range(300)]
+    lines = [("good", f"t: {t} M: {x}") for t, x in good] + [("bad", f"t: {t} M: {x}") for t, x in good] + [("bad", "t: 99999999999 M: -3.0"), ("bad", "t: " + "9" * 400 + " M: -1"), ("worse", "t: 2000000000 M: -1")]
+    samples = V.parse_lines(spark.createDataFrame(lines, "series_id string, line string"))
+    p = DetectParams(k=1, duration=30, decimals=1)
+    assert {r.series_id: r.status for r in H.statuses(samples, p).collect()} == {"good": "ok", "bad": "too_long", "worse": "too_short"}
+    assert [(r.series_id, r.second) for r in H.detect(samples, p).collect()] == [("good", 97)]
+    assert {(r.series_id, r.status, r.clips) for r in H.completion(samples, p).collect()} == {("good", "ok", 1), ("bad", "too_long", 0), ("worse", "too_short", 0)}
+    assert S.densify(S.bucket_max(samples, p), p).where("series_id <> 'good'").count() == 0
+
+
 def raw(spark, levels, series="a"):
     return spark.createDataFrame([(series, float(t), float(x)) for t, x in levels], "series_id string, t double, level double")
 
@@ -144,6 +172,36 @@ def test_parameters_are_checked_first(bad):
         DetectParams(**bad)
 
 
+@pytest.mark.parametrize(("bad", "match"), [({"entry": ' "" '}, "entry"), ({"output": "\u00a0\u3000"}, "output"), ({"k": "six"}, "whole"), ({"duration": 1000}, "duration"), ({"k": 0}, "k must")])
+def test_requests_are_checked_at_once(spark, bad, match):
+    good = {"entry": ' "a b.mp4" ', "output": "out", "k": "6", "duration": 45}
+    assert (RunRequest(**good).entry, RunRequest(**good).k) == ("a b.mp4", 6)
+    with pytest.raises(ValueError, match=match):
+        RunRequest(**good | bad)
+    said = one(spark, X.request_status(*(F.lit(str(v)) for v in ({**good, **bad}[x] for x in ("entry", "output", "k", "duration")))))
+    assert said == {"entry": "no_entry", "output": "no_output", "whole": "bad_number", "duration": "bad_range", "k must": "bad_range"}[match]
+
+
+def test_saved_configuration(spark):
+    import json
+
+    values = ('a "quoted" é\\', "tab\t", "")
+    text = one(spark, V.config_text(*map(F.lit, values)))
+    assert text == json.dumps(dict(zip(("nombre", "logo", "salida"), values, strict=True)), ensure_ascii=False, indent=2)
+    assert one(spark, V.config_text(F.lit(None).cast("string"), F.lit("x"), F.lit("y"))).startswith('{\n  "nombre": ""')
+
+
+def test_format_choice(spark):
+    rows = [
+        ("pair", "v1", 720, 1.0, True, False), ("pair", "v2", 1080, 1.0, True, False), ("pair", "a", None, 1.0, False, True), ("pair", "c", 480, 9.0, True, True),
+        ("fitting", "c1", 480, 1.0, True, True), ("fitting", "c2", 480, 2.0, True, True), ("fitting", "c3", 1080, 1.0, True, True),
+        ("large", "c", 2160, 1.0, True, True), ("none", "a", None, 1.0, False, True),
+    ]
+    formats = spark.createDataFrame(rows, "entry string, format_id string, height int, bitrate double, has_video boolean, has_audio boolean")
+    assert {r.entry: r[1:] for r in V.choose_formats(formats).collect()} == {"pair": ("video+audio", "v1", "a"), "fitting": ("fitting", "c2", None), "large": ("combined", "c", None), "none": ("none", None, None)}
+    assert {r.entry: r.video_id for r in V.choose_formats(formats, hd=True).collect()} == {"pair": "v2", "fitting": "c3", "large": "c", "none": None}
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
@@ -152,7 +210,8 @@ def test_times_and_text(spark):
     assert one(spark, X.clock(F.lit(3723.9))) == "01:02:03" and one(spark, X.file_clock(F.lit(3723.9))) == "01-02-03"
     assert one(spark, X.clock(F.lit(360000))) == "100:00:00"
     assert one(spark, X.escape_text(F.lit("Canal: 50%, 'sí'"))) == "Canal\\: 50\\, sí"
-    assert one(spark, X.trimmed(F.lit(' \t"a b" \n'))) == "a b"
+    for text in (' \t"a b" \n', '\u00a0\u3000"a b"\u2028', '\x1c""a b""\x85'):
+        assert one(spark, X.trimmed(F.lit(text))) == text.strip().strip('"') == "a b"
     assert one(spark, X.base_name(F.lit("/a/b.mp4"))) == "b.mp4"
     assert one(spark, X.is_remote(F.lit("HTTPS://x"))) and not one(spark, X.is_remote(F.lit("ftp://x")))
     assert one(spark, X.percent(F.lit("[download]  42.5% of"))) == 42.5 and one(spark, X.percent(F.lit("x"))) is None
@@ -191,9 +250,9 @@ def test_clips_and_reports(spark, tmp_path):
 
 
 def test_config(spark):
-    rows = spark.createDataFrame([("{}",), ("no json",), ("[1]",), (None,), ('{"nombre": "n", "salida": "s"}',)], "j string")
+    rows = spark.createDataFrame([("{}",), ("no json",), ("[1]",), (None,), ('{"nombre": "n", "salida": "s"}',), ('{"salida": ""}',)], "j string")
     got = [(r.nombre, r.logo, r.salida) for r in V.parse_config(rows, "j", "out").collect()]
-    assert got == [("", "", "out")] * 4 + [("n", "", "s")]
+    assert got == [("", "", "out")] * 4 + [("n", "", "s"), ("", "", "out")]
 
 
 def test_tail_and_throttle(spark):
@@ -203,10 +262,39 @@ def test_tail_and_throttle(spark):
 
 
 def test_reading_lines(spark, tmp_path):
-    (tmp_path / "one.log").write_text("t: 1 M: -2\nx\n")
-    (tmp_path / "two.txt").write_text("t: 1 M: -2\n")
-    got = V.read_lines(spark, str(tmp_path), "*.log").collect()
-    assert {(r.series_id, r.line) for r in got} == {("one.log", "t: 1 M: -2"), ("one.log", "x")}
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "one.log").write_text(f"t: 1 M: -2\n{folder}\n")
+        (tmp_path / folder / "two.txt").write_text("t: 1 M: -2\n")
+    got = V.read_lines(spark, str(tmp_path / "*"), "*.log").collect()
+    assert {(r.series_id.removeprefix("file:").replace("///", "/"), r.line) for r in got} == {(f"{tmp_path}/{x}/one.log", line) for x in "ab" for line in ("t: 1 M: -2", x)}
+
+
+def test_late_lines_of_a_stream(spark, tmp_path):
+    """Files of lines through parsing and buckets, appended to Parquet: a line behind the watermark is left out, others count."""
+    from crestline.streaming.levels import bucket_stream, keep_buckets
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "rec.log").write_text("\n")  # so that the first batch has a file
+    p = DetectParams(bucket_seconds=60)
+
+    def lines():
+        return V.stream_lines(spark, str(folder), "*.log", files_per_trigger=1)
+
+    def run(text, name):
+        (folder / name).write_text(text)
+        one_series = V.at_origin(V.parse_lines(lines())).withColumn("series_id", F.lit("s"))
+        out = bucket_stream(one_series, p, late="2 minutes").writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        out.awaitTermination()
+
+    run("t: 10 M: -9\nt: 70 M: -8\nnothing\n", "1.log")
+    run("t: 20 M: -5\nt: 600 M: -7\n", "2.log")  # 20 is within two minutes of 70
+    run("t: 30 M: -1\nt: 900 M: -3\n", "3.log")  # 30 is not of 600
+    got = {r.second: r.level for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[0] == -5.0 and got[1] == -8.0 and 15 not in got
+    kept = keep_buckets(bucket_stream(V.at_origin(V.parse_lines(lines())).withColumn("series_id", F.lit("s")), p, late="1 day"), f"file://{tmp_path}/kept")
+    assert {r.second: r.level for r in kept.collect()} == {0: -1.0, 1: -8.0, 10: -7.0, 15: -3.0}
 
 
 def test_throttle_of_a_stream(spark, tmp_path):
@@ -227,5 +315,6 @@ def test_plans_prune_columns_and_avoid_python(spark):
 
     plan = Q.peaks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
     reads = [x for x in plan.splitlines() if "ReadSchema" in x or "FileScan" in x]
     assert reads and not any("props" in x for x in reads)
