@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -20,11 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all nodes see; intermediate tables go there")
-        found = "file://" + tempfile.mkdtemp(prefix="crestline-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_folder(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
+@functools.lru_cache
+def _own_folder(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="crestline-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under this application's part of the shared folder; nothing is created yet."""
     return f"{shared_dir(spark)}/crestline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
