@@ -16,7 +16,7 @@ from crestline.params import DetectParams
 from crestline.plans import highlights as H
 from crestline.shared import scratch
 from crestline.sources import levels as V
-from crestline.streaming.levels import bucket_stream, keep_buckets
+from crestline.streaming.levels import bucket_stream, keep_buckets, throttle_stream
 
 P = DetectParams(bucket_seconds=3600, floor=0.0, decimals=2)
 
@@ -163,17 +163,31 @@ def remote_entry(spark, sf_dir):
     return pages.select("page_id", X.is_remote(entry).alias("remote"), X.base_name(entry).alias("name"), X.path_of(F.lit("out"), X.base_name(entry)).alias("path"))
 
 
-def stream_buckets(spark, sf_dir):
-    """The streaming bucket stage, run to the end over the events as a stream and read back."""
+def _event_stream(spark, sf_dir) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     # the file source lists a folder, and the table may be a file in one
     folder, glob = (path, "*.parquet") if spark.read.parquet(path).inputFiles()[0].rsplit("/", 1)[0].endswith("events.parquet") else (sf_dir, "events.parquet")
-    events = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
-    samples = events.select(F.col("event_type").alias("series_id"), "ts", F.col("value").alias("level"))
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+
+
+def stream_buckets(spark, sf_dir):
+    """The streaming bucket stage, run to the end over the events as a stream and read back."""
+    samples = _event_stream(spark, sf_dir).select(F.col("event_type").alias("series_id"), "ts", F.col("value").alias("level"))
     return keep_buckets(bucket_stream(samples, P, late="31 days"), scratch(spark, "stream-buckets"))
 
 
+def stream_throttle(spark, sf_dir):
+    """The throttle of progress reports over the events as a stream, appended to Parquet and read back."""
+    line = F.concat(F.lit("[download]  "), F.col("value").cast("string"), F.lit("% of"))
+    values = _event_stream(spark, sf_dir).select("user_id", "event_id", X.percent(line).alias("percent"))
+    folder = scratch(spark, "stream-throttle")
+    reported = throttle_stream(values, "user_id", "event_id", "percent")
+    query = reported.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/reported")
+    query.awaitTermination()
+    return spark.read.schema(reported.schema).parquet(f"{folder}/reported").withColumn("user_id", F.col("user_id").cast("bigint"))
+
+
 def _line_files(spark, sf_dir) -> str:
     """The events' lines as text files, in a folder for each event type; the files' own names are the same in all."""
     folder = scratch(spark, "lines")
@@ -241,7 +255,7 @@ def request_status(spark, sf_dir):
 FUNCTIONS = [
     parse_levels, bucket_max, observed_guard, densify, smooth, baseline, scored_candidates, peaks, series_status, clip_plan, summary, report, readable_time, escape_text,
     strip_entry, render_filter, render_command, config_json, tail_lines, last_error, progress_throttle, version_check, remote_entry, stream_buckets,
-    level_files, stream_levels, format_choice, config_out, completion, request_status,
+    stream_throttle, level_files, stream_levels, format_choice, config_out, completion, request_status,
 ]
 
 # ---------------------------------------------------------------- SQL for DuckDB
@@ -417,6 +431,7 @@ WITH e AS (
 SELECT page_id, starts_with(lower(entry), 'http://') OR starts_with(lower(entry), 'https://') AS remote, string_split(entry, '/')[-1] AS name, concat('out/', string_split(entry, '/')[-1]) AS path FROM e""",
     "stream_buckets": _with(_BUCKETS, "SELECT * FROM buckets"),
 }
+SQL["stream_throttle"] = SQL["progress_throttle"]
 
 
 def queries():

@@ -50,7 +50,9 @@ def keep_buckets(buckets: DataFrame, folder: str) -> DataFrame:
 def throttle_stream(values: DataFrame, key: str, order: str, value: str, step: float = 10.0, start: float = -10.0) -> DataFrame:
     """(key, order, value) of a stream's rows that are at least ``step`` above the last one reported of their key.
 
-    The state is one number per key. Rows of a micro-batch are taken in ``order``.
+    The state is one number per key. Rows of a micro-batch are taken in ``order``; a
+    key's rows of one micro-batch are sorted in memory, so the source's limit on a
+    trigger's input bounds them. Null values report nothing.
     """
 
     def report(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -62,7 +64,8 @@ def throttle_stream(values: DataFrame, key: str, order: str, value: str, step: f
                 out.append((k[0], o, v))
                 last = v
         state.update((float(last),))
-        yield pd.DataFrame(out, columns=["k", "o", "v"])
+        if out:
+            yield pd.DataFrame(out, columns=["k", "o", "v"])
 
     rows = values.select(F.col(key).cast("string").alias("k"), F.col(order).cast("long").alias("o"), F.col(value).cast("double").alias("v"))
     done = rows.groupBy("k").applyInPandasWithState(report, "k string, o long, v double", "last double", "append", GroupStateTimeout.NoTimeout)
