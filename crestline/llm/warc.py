@@ -12,7 +12,9 @@ Cases: a null payload is empty; a null url has no target header, and line breaks
 in a url are percent-encoded; rows with a null identifier never are the response
 of a group that has one, and are responses in a group that has none; rows that
 repeat the largest identifier with an equal payload all are responses; an empty
-table gives an empty result.
+table writes no archive and gives an empty result; other columns may have any names.
+Normalised archives stay in the shared folder, since results read them;
+``common.clear_scratch`` deletes them.
 """
 
 from __future__ import annotations
