@@ -32,6 +32,7 @@ from __future__ import annotations
 import functools
 import re
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crestline.llm.common import slices, tidy
+
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -157,7 +160,7 @@ class Automaton:
 class Codec:
     """A model's encoder and decoder."""
 
-    def __init__(self, model: bytes, kept_bytes: int = 32 << 20):
+    def __init__(self, model: bytes, kept_bytes: int = 48 << 20):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto.FromString(model)
@@ -198,7 +201,7 @@ class Codec:
         breaks = "" if any("\n" in p for p in self.ids) else "\n"
         self.chunks = re.compile(r"(?s:.+)" if inner else rf"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + ("|\n" if breaks else ""))
         self.single = {p: self.ids[p] for p in self.scores if len(p) == 1}
-        self.store = _Store(lambda chunk: struct.pack(f"<{len(x := self._ids(chunk))}i", *x), lambda chunk, ids: 200 + 4 * len(chunk) + len(ids), kept_bytes)
+        self.store = _Store(lambda chunk: array("i", self._ids(chunk)).tobytes(), lambda chunk, ids: 200 + 4 * len(chunk) + len(ids), kept_bytes)
 
     def _fits(self, key: int) -> bool:
         """Whether two neighbours stay apart when their characters are merged by rank.
@@ -225,37 +228,54 @@ class Codec:
 
         A character that is no piece is one for itself, with a number beyond the ids.
         """
-        forward, outputs, step = self.automaton.forward, self.automaton.outputs, self.automaton.step
-        fits, by_id, single, none = self.fits, self.by_id_single, self.single, len(self.pieces)
-        last, size = [-1] * (len(text) + 1), [0] * (len(text) + 1)
-        state = stop = 0
-        best = [np.float32(0)] if self.bpe else [np.float32(0)] + [np.float32(-np.inf)] * len(text)
-        for char in text:
-            stop += 1
-            state = forward[state].get(char) or step(state, char)
-            found = outputs[state] if char in single else (*outputs[state], (none + ord(char), 1))
-            if self.bpe:
-                for i, n in found:
-                    if stop == n or fits[last[stop - n] << 24 | i]:
-                        last[stop], size[stop] = i, n
-                        break
-            else:
-                for i, n in found:
-                    score = best[stop - n] + (by_id[i] if i < none else self.unknown_score)
-                    if score > best[stop]:
-                        best[stop], last[stop], size[stop] = score, i, n
+        last, size = (self._by_rank if self.bpe else self._by_score)(text)
         out, stop = [], len(text)
         while stop:
-            if last[stop] < 0:
-                raise AssertionError(f"no segmentation of {text[:stop]!r}")
             out.append(last[stop])
             stop -= size[stop]
-        return out[::-1]
+        out.reverse()
+        return out
+
+    def _by_rank(self, text: str) -> tuple[list[int], list[int]]:
+        """For each position the last piece of the best segmentation up to it, and that piece's length, in a BPE model."""
+        forward, outputs, step, fits = self.automaton.forward, self.automaton.outputs, self.automaton.step, self.fits
+        last, size, state = [-1], [0], 0
+        add_last, add_size = last.append, size.append
+        for stop, char in enumerate(text, 1):
+            state = forward[state].get(char) or step(state, char)
+            for i, n in outputs[state]:
+                if stop == n or fits[last[-n] << 24 | i]:  # the n-th last is that of position stop - n
+                    break
+            else:
+                if char in self.single:
+                    raise AssertionError(f"no segmentation of {text[:stop]!r}")
+                i, n = len(self.pieces) + ord(char), 1
+            add_last(i)
+            add_size(n)
+        return last, size
+
+    def _by_score(self, text: str) -> tuple[list[int], list[int]]:
+        """The same in a unigram model, by relaxing the highest sum of scores."""
+        forward, outputs, step = self.automaton.forward, self.automaton.outputs, self.automaton.step
+        by_id, single, none = self.by_id_single, self.single, len(self.pieces)
+        last, size, state, stop = [-1] * (len(text) + 1), [0] * (len(text) + 1), 0, 0
+        best = [np.float32(0)] + [np.float32(-np.inf)] * len(text)
+        for char in text:
+            stop += 1
+            state = forward[state].get(char) or step(state, char)
+            for i, n in outputs[state] if char in single else (*outputs[state], (none + ord(char), 1)):
+                score = best[stop - n] + (by_id[i] if i < none else self.unknown_score)
+                if score > best[stop]:
+                    best[stop], last[stop], size[stop] = score, i, n
+        return last, size
 
     def _ids(self, chunk: str) -> list[int]:
+        found, none = self.segment(chunk), len(self.pieces)
+        if max(found) < none:
+            return found
         out = []
-        for i in self.segment(chunk):
-            if i < len(self.pieces):
+        for i in found:
+            if i < none:
                 out.append(i)
             elif self.bytes:
                 out += [self.bytes[b] for b in self._name(i).encode()]
@@ -330,7 +350,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(batches):
         sp = codec(model)
-        for batch in batches:
+        for batch in slices(batches):
             offsets, data, same, held = [0], [], [], []
             for text in batch.column(1).to_pylist():
                 held.append(text is None)
@@ -343,7 +363,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             counts = pa.array([None if none else n for none, n in zip(held, np.diff(offsets).tolist(), strict=True)], pa.int32())
             yield pa.record_batch([batch.column(0), ids, counts, pa.array(same, pa.bool_())], ["doc_id", "token_ids", "n_tokens", "round_trip"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean")
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -356,4 +376,4 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids"
             texts = [None if ids is None else sp.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(tidy(run), "doc_id long, text string")
