@@ -1,72 +1,20 @@
-"""What the operators share: the cluster's shared folder and tables written to it."""
+"""What the operators share, besides the shared folder and its tables: input tables, file systems and names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space as the word definitions of this package see it.
-SPACE = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is
-    unset, a local session gets a temporary folder of its own; on a cluster that
-    would be seen by one machine only, so there it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all nodes see; intermediate tables go there")
-        found = "file://" + tempfile.mkdtemp(prefix="crestline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under this application's part of the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/crestline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete all that this application keeps in the shared folder.
-
-    Results read from there, so this is for when they have been written elsewhere.
-    Where nothing was kept, nothing happens.
-    """
-    delete(spark, f"{shared_dir(spark)}/crestline/{spark.sparkContext.applicationId}")
-
-
-def delete(spark: SparkSession, folder: str) -> None:
-    """Delete a folder if there is one."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from crestline.shared import clear_scratch, delete, drop_written, scratch, shared_dir, written
 
+__all__ = ["SPACE", "clear_scratch", "delete", "drop_written", "filesystem", "fresh", "give_back", "scratch", "shared_dir", "slices", "table", "text_or_empty", "tidy", "unused", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no more than the tasks that
-    were running on it, since the table outlives all executors. Nulls and repeated
-    rows stay, an empty table is one, and names must differ by more than case.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete the folders of a table from ``written`` that nothing needs any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/crestline/" in folder:
-            delete(df.sparkSession, folder)
+#: White space as the word definitions of this package see it.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def filesystem(uri: str):
@@ -87,6 +35,31 @@ def fresh(key: str):
     return F.substring(key, 1, 1 << 20)
 
 
+def slices(batches, most: int = 1_000):
+    """Parts of at most ``most`` rows of Arrow batches, so that few texts are Python strings at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
+def tidy(run):
+    """A function over batches that gives its free memory back at the end: idle Python workers stay beside the next stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Hand what Python, Arrow and the C library hold but don't use back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """``name``, behind as many underscores as it takes to be no column of the frames."""
     taken = {c.lower() for frame in frames for c in frame.columns}
@@ -96,7 +69,7 @@ def unused(name: str, *frames: DataFrame) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder, with all its rows and columns."""
+    """A table of the input folder, with all its rows and columns; it must be there, but may be empty."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

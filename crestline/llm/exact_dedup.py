@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import SPACE, filesystem, scratch, text_or_empty, unused, written
+from crestline.llm.common import SPACE, filesystem, scratch, text_or_empty, tidy, unused, written
 
 _HEAD = struct.Struct("<?qqqI")
 #: What a node takes besides its label, in bytes, by measurement.
@@ -244,9 +244,9 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", comb
     """
     spark = docs.sparkSession
     texts = docs.select(normalised(text_col).cast("binary").alias("key"), F.col(id_col).cast("long").alias("smallest"))
-    combined = texts.mapInArrow(_combine(combine_bytes), "key binary, smallest long, ties long, count long")
+    combined = texts.mapInArrow(tidy(_combine(combine_bytes)), "key binary, smallest long, ties long, count long")
     dealt = combined.repartition(F.length("key"), F.xxhash64("key"))
-    return dealt.mapInArrow(_reduce(trie_bytes, scratch(spark, "spill")), _OWNERS)
+    return dealt.mapInArrow(tidy(_reduce(trie_bytes, scratch(spark, "spill"))), _OWNERS)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds) -> DataFrame:

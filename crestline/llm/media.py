@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from crestline.llm.common import filesystem, scratch, text_or_empty
+from crestline.llm.common import filesystem, scratch, text_or_empty, tidy
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -132,7 +132,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = 32 << 20)
         names, sizes, counts = zip(*done, strict=True) if done else ((), (), ())
         yield pa.record_batch([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["archive", "bytes", "members"])
 
-    rows.mapInArrow(run, "archive string, bytes long, members long").write.parquet(f"{folder}/manifest")
+    rows.mapInArrow(tidy(run), "archive string, bytes long, members long").write.parquet(f"{folder}/manifest")
 
 
 class _Ranges(InputPartition):
@@ -265,7 +265,7 @@ def described(media: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    return media.select("member", "media").mapInArrow(run, schema)
+    return media.select("member", "media").mapInArrow(tidy(run), schema)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import drop_written, text_or_empty, written
+from crestline.llm.common import drop_written, slices, text_or_empty, tidy, written
 from crestline.llm.components import connected_components
 from crestline.llm.ownership import owned, row_hash, without_rows
 
@@ -61,12 +61,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, row (a hash of the text) and fp (a signed long of the same bits) of every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             values = np.array([fingerprint(x, width) for x in batch.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(values)], ["doc_id", "row", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("row"), text_or_empty(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, row long, fp long")
+    return rows.mapInArrow(tidy(run), "doc_id long, row long, fp long")
 
 
 def _column(batch: pa.RecordBatch, i: int = 0) -> np.ndarray:
@@ -75,7 +75,7 @@ def _column(batch: pa.RecordBatch, i: int = 0) -> np.ndarray:
 
 def _counted(fps: DataFrame, run, schema: str, keys: list[str]) -> list:
     """Sum partial counts from every task; the result's size is fixed by its keys."""
-    return fps.mapInArrow(run, f"{schema}, n long").groupBy(*keys).agg(F.sum("n").alias("n")).collect()
+    return fps.mapInArrow(tidy(run), f"{schema}, n long").groupBy(*keys).agg(F.sum("n").alias("n")).collect()
 
 
 def group_bits(fps: DataFrame, widths: list[int]) -> np.ndarray:
@@ -240,8 +240,8 @@ def near_links(fps: DataFrame, distance: int = 2) -> DataFrame:
 
     schema = "part int, value long, fp long"
     only = fps.select("fp")
-    probes = only.mapInArrow(probe, schema).withColumnRenamed("fp", "a")
-    indexed = only.mapInArrow(index, schema).withColumnRenamed("fp", "b")
+    probes = only.mapInArrow(tidy(probe), schema).withColumnRenamed("fp", "a")
+    indexed = only.mapInArrow(tidy(index), schema).withColumnRenamed("fp", "b")
     # both ends of a pair probe, so one of the two findings is enough
     verified = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     return probes.join(indexed, ["part", "value"]).where(verified).select("a", "b").distinct()

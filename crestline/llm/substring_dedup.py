@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.llm.common import fresh, text_or_empty, unused
+from crestline.llm.common import fresh, slices, text_or_empty, tidy, unused
 
 _SENTENCES = re.compile(r".+?(?:[.!?][\x20\x09-\x0D]|\n|\Z)", re.S)
 _LINES = re.compile(r"[^\n]*\n|[^\n]+")
@@ -63,7 +63,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sente
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen = set()
@@ -77,7 +77,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sente
             if rows:
                 yield batch_of(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("row"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("row"), text_or_empty(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = 1, sentences: bool = True) -> DataFrame:

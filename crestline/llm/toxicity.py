@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import text_or_empty
+from crestline.llm.common import give_back, slices, text_or_empty, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 #: More than single precision loses in a cosine.
@@ -119,7 +119,7 @@ def gathered(examples: DataFrame) -> Examples:
             words, counts = pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))
             yield pa.record_batch([batch.column(0), batch.column(2), words, counts], ["id", "toxic", "words", "counts"])
 
-    rows = examples.select("id", "text", "toxic").mapInArrow(run, "id long, toxic int, words array<string>, counts array<int>").toArrow().sort_by("id").combine_chunks()
+    rows = examples.select("id", "text", "toxic").mapInArrow(tidy(run), "id long, toxic int, words array<string>, counts array<int>").toArrow().sort_by("id").combine_chunks()
     coded = pa.compute.list_flatten(rows["words"]).combine_chunks().dictionary_encode()
     coded = coded if isinstance(coded, pa.DictionaryArray) else coded.combine_chunks()
     words = coded.dictionary.to_pylist()
@@ -141,7 +141,7 @@ def document_frequencies(docs: DataFrame, words: list[str], text_col: str) -> tu
 
     def run(batches):
         number, n, rows = shared.value, np.zeros(len(shared.value), np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             rows += batch.num_rows
             for text in batch.column(0).to_pylist():
                 found = [number[w] for w in set(WORD.findall(text.lower())) if w in number]
@@ -149,7 +149,7 @@ def document_frequencies(docs: DataFrame, words: list[str], text_col: str) -> tu
         (some,) = np.nonzero(n)
         yield pa.record_batch([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(n[some], rows))], ["word", "n"])
 
-    counts = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counts = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(tidy(run), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     of = np.zeros(len(words) + 1, np.int64)
     for r in counts:
         of[r.word] = r.n  # -1, the last, has all rows
@@ -312,7 +312,7 @@ class Index:
 class _Scorer:
     """An index's scores by text; those of the texts seen of late are kept, ``most`` at once."""
 
-    def __init__(self, index: Index, most: int = 50_000, turn: int = 256):
+    def __init__(self, index: Index, most: int = 20_000, turn: int = 256):
         self.index, self.most, self.turn, self.known = index, most, turn, {}
 
     def __call__(self, texts: list[str]) -> list[tuple[float, list[int]]]:
@@ -340,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for batch in batches:
                 yield pa.record_batch([batch.column(0), pa.array(shared.value.left_out(batch.column(0).to_pylist()), pa.float64())], ["id", "vote"])
 
-        votes = spark.range(0, len(index.id), 1, 16).mapInArrow(run, "id long, vote double").collect()
+        votes = spark.range(0, len(index.id), 1, 16).mapInArrow(tidy(run), "id long, vote double").collect()
         index.calibrate([(r.vote, int(index.toxic[r.id])) for r in votes])
     return index
 
@@ -352,14 +352,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches):
         score_of = _Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = score_of(batch.column(1).to_pylist())
             scores = [s for s, _ in found]
             predicted = [int(s >= threshold) for s in scores]
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(predicted, pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))], ["doc_id", "score", "predicted", "evidence"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>")
+    scored = rows.mapInArrow(tidy(run), "doc_id long, score double, predicted int, evidence array<long>")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
 
 
@@ -376,6 +376,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score_of = _Scorer(shared.value)
         for texts in batches:
-            yield pa.array([score < threshold for score, _ in score_of(texts.to_pylist())], pa.bool_())
+            parts = (texts.slice(at, 1_000).to_pylist() for at in range(0, len(texts), 1_000))
+            yield pa.array([score < threshold for part in parts for score, _ in score_of(part)], pa.bool_())
+        del score_of
+        give_back()
 
     return docs.where(clean(text_or_empty(text_col)))

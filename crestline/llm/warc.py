@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm.common import delete, drop_written, filesystem, fresh, scratch, text_or_empty
+from crestline.llm.common import delete, drop_written, filesystem, fresh, scratch, text_or_empty, tidy
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _BLOCK = 1 << 20
@@ -163,7 +163,7 @@ def write_monolithic(rows: DataFrame, folder: str, archive_bytes: int = 64 << 20
             done.append((name, records))
         yield _manifest(done)
 
-    return _kept(rows.mapInArrow(run, _MANIFEST), f"{folder}-manifest")
+    return _kept(rows.mapInArrow(tidy(run), _MANIFEST), f"{folder}-manifest")
 
 
 def _kept(manifest: DataFrame, path: str) -> DataFrame:
@@ -196,7 +196,7 @@ def normalise(manifest: DataFrame, folder: str, level: int = 1) -> DataFrame:
                 done.append((name, len(lines)))
             yield _manifest(done)
 
-    return _kept(manifest.mapInArrow(run, _MANIFEST), f"{folder}-manifest")
+    return _kept(manifest.mapInArrow(tidy(run), _MANIFEST), f"{folder}-manifest")
 
 
 def read_back(manifest: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def read_back(manifest: DataFrame) -> DataFrame:
         if rows:
             yield batch_of(rows)
 
-    return manifest.mapInArrow(run, schema)
+    return manifest.mapInArrow(tidy(run), schema)
 
 
 def _row(data: bytes) -> tuple:
