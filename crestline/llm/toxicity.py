@@ -18,7 +18,8 @@ Votes are weighted by closeness, and calibrated by isotonic regression on the vo
 of the examples themselves, each left out of its own.
 
 Examples are at most ``max_examples`` labelled rows, those whose identifiers hash
-lowest. They, the corpus counts of their words and the votes of the calibration
+lowest, with ``max_chars`` characters at most together; a text counts whole or not
+at all. Their words, the corpus counts of those and the votes of the calibration
 are all that reaches the driver. Every document is counted and scored where it
 lies, from its whole text.
 
@@ -42,10 +43,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.llm.common import give_back, slices, text_or_empty, tidy
+from crestline.llm.common import give_back, slices, text_or_empty, tidy, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: More than single precision loses in a cosine.
@@ -64,17 +65,22 @@ class Params:
     k: int = 15
     floor: float = 0.05
     max_examples: int = 3_000
+    max_chars: int = 64_000_000
     block: int = 64
     common: int = 512
     threshold: float = 0.7
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, params: Params) -> DataFrame:
-    """id, text and toxic (0 or 1) of the examples: one row of each identifier, ``max_examples`` at most."""
+    """id, text and toxic (0 or 1) of the examples: one row of each identifier, within the parameters' bounds."""
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.where(F.col("id").isNotNull() & ~held_out("id")).orderBy(F.xxhash64("id"), "id").limit(params.max_examples)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.join(F.broadcast(marks), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    # max_examples rows of two numbers, so a broadcast, and max_examples lengths in one task
+    found = written(rows.join(F.broadcast(marks), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "examples")
+    upto = F.sum("chars").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = found.select("id", F.length("text").cast("long").alias("chars")).withColumn("upto", upto).where(F.col("upto") <= params.max_chars).select("id")
+    return found.join(F.broadcast(within), "id")
 
 
 def word_counts(text: str) -> Counter:

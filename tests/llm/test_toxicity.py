@@ -70,6 +70,8 @@ def test_a_labelled_identifier_that_recurs_is_one_example(spark):
     assert len({r.id for r in examples}) == len(examples)
     assert next(r.text for r in examples if r.id == 7) == min(t for i, t in [*rows, *[(7, f"other {i}") for i in range(50)]] if i == 7)
     assert len(T.labelled(docs, marks, "doc_id", "text", T.Params(max_examples=20)).collect()) <= 20
+    few = T.labelled(docs, marks, "doc_id", "text", T.Params(max_chars=1000)).collect()
+    assert 800 < sum(len(r.text) for r in few) <= 1000 and {(r.id, r.text, r.toxic) for r in few} < {(r.id, r.text, r.toxic) for r in examples}
 
 
 def random_index(seed=3, common=10):
