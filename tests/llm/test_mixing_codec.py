@@ -337,6 +337,45 @@ def test_pipeline(spark, library):
     assert exact_dedup.keep_first(kept[4]).count() == len(set(texts))
 
 
+def odd_documents(spark):
+    """Nulls in every column, empty and repeated rows, a long text, and columns with names that operators use."""
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text, None, "b", 1), (3, None, "en", "a", 0), (4, "", "en", None, None), (5, " \n", "en", "a", 2), (None, "alone here", None, None, None), (None, None, None, None, None), (6, "é " * 30_000, "fr", "b", 1)]
+    rows += [(i, f"text number {i} with words of its own, {i * 7919} and {i * 104729}", "en", "ab"[i % 2], 1) for i in range(10, 60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return frame.selectExpr("*", "1 AS copies", "'x' AS key", "2 AS gone_id", "3 AS n_bytes", "4 AS weight")
+
+
+def test_stages_on_odd_documents(spark):
+    """Each stage by itself, and one after another, on rows of all kinds and on none."""
+    import corpus_pipeline as P
+    from crestline.llm.common import written
+
+    docs = odd_documents(spark)
+    n = docs.count()
+    for name, stage in P.STAGES[:-1]:
+        alone = stage(spark, docs, DIR)
+        assert alone.columns == docs.columns, name
+        got = alone.collect()
+        ids_kept = [r.doc_id for r in got]
+        if name == "toxicity":
+            assert len(got) == n
+        if name == "exact_dedup":
+            assert ids_kept.count(1) == 1 and 2 not in ids_kept and 4 not in ids_kept and 5 in ids_kept and len(got) == 55
+        if name == "simhash_near_dedup":
+            assert 2 not in ids_kept and 1 in ids_kept and 6 in ids_kept
+        if name == "mixing":
+            assert not {3, 4, 5} & set(ids_kept)
+        assert stage(spark, docs.where("false"), DIR).collect() == [], name
+    for name, stage in P.STAGES[:-1]:
+        docs = written(stage(spark, docs, DIR), name)
+    last = P.STAGES[-1][1](spark, docs, DIR)
+    assert last.count() == docs.count() > 0 and last.where("NOT round_trip").count() == 0
+    encoded = P.STAGES[-1][1](spark, odd_documents(spark), DIR).collect()
+    assert len(encoded) == n and sum(r.token_ids is None for r in encoded) == 2
+    assert P.STAGES[-1][1](spark, docs.where("false"), DIR).collect() == []
+
+
 def test_the_rest_imports_without_these_folders(tmp_path):
     """The entry point works where the subpackage and the pipeline are gone."""
     import shutil

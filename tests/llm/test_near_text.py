@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from crestline.llm import near_text as N
 
 
@@ -79,8 +82,41 @@ def test_large_groups_are_whole(spark, monkeypatch):
     assert jaccard(rows[0][1], rows[-1][1]) < 0.3
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.doc_id for r in N.keep_one(docs).collect()] == [0]
-    monkeypatch.setattr(N, "_ROUNDS", 1)
-    assert [r.doc_id for r in N.keep_one(docs).collect()] == [0]
+    for chunk, rounds in ((4, 0), (4, 2), (16, 1)):
+        monkeypatch.setattr(N, "CHUNK", chunk)
+        monkeypatch.setattr(N, "_ROUNDS", rounds)
+        assert [r.doc_id for r in N.keep_one(docs).collect()] == [0]
+
+
+@pytest.mark.parametrize(("chunk", "rounds"), [(256, 2), (8, 2), (3, 0), (2, 1)])
+def test_crowded_bands_lose_no_link(spark, monkeypatch, chunk, rounds):
+    """Copies of one text with so many edits that some pairs are near and most are not: what brute force links is linked."""
+    rnd, rows = random.Random(4), []
+    base = [f"w{i}" for i in range(120)]
+    for i in range(90):
+        text = base.copy()
+        for _ in range(rnd.choice([0, 1, 1, 2, 3, 4, 6, 9])):
+            text[rnd.randrange(120)] = f"x{rnd.randrange(60)}"
+        rows.append((i, " ".join(text)))
+    want = kept_by_brute_force(rows)
+    monkeypatch.setattr(N, "CHUNK", chunk)
+    monkeypatch.setattr(N, "_ROUNDS", rounds)
+    got = N.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == want and 10 < len(want) < 80
+
+
+def test_overlaps_and_forest(monkeypatch):
+    monkeypatch.setattr(N, "_TOKENS", 7)
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 40, r.integers(0, 30)).astype(np.int32)) for _ in range(25)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    got = N.overlaps(sets)
+    off = ~np.eye(25, dtype=bool)
+    assert (got[off] == np.array(want)[off]).all()
+    many = [np.arange(i // 5 * 100, i // 5 * 100 + 50, dtype=np.int32) for i in range(20)]
+    assert len(N.forest(many, np.arange(20), None)) == 16
+    assert len(N.forest(many, np.arange(20) // 5, None)) == 0
+    assert len(N.forest(many, np.arange(20), np.arange(20) % 5 == 0)) == 16
 
 
 def test_near_copies_of_nothing(spark):
