@@ -59,6 +59,10 @@ class _Store(dict):
     def __init__(self, make, cost, most: int):
         self.make, self.cost, self.most, self.old, self.held = make, cost, most, {}, 0
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.held = {}, 0
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
@@ -189,7 +193,6 @@ class Codec:
         self.by_id = [p.score for p in proto.pieces]
         self.by_id_single = np.array(self.by_id, np.float32)  # the library adds up in single precision
         self.unknown_score = np.float32(min(self.scores.values(), default=0.0)) - np.float32(10)
-        self.fits = _Store(self._fits, lambda key, value: 120, kept_bytes)
         if self.bpe:  # pieces that their own merges don't reach are never the outcome
             split = {p: merges(p, self.scores) for p in self.scores}
             self.scores = {p: v for p, v in self.scores.items() if split[p] is not None}
@@ -201,7 +204,19 @@ class Codec:
         breaks = "" if any("\n" in p for p in self.ids) else "\n"
         self.chunks = re.compile(r"(?s:.+)" if inner else rf"{MARK}*[^{MARK}{breaks}]+|{MARK}+" + ("|\n" if breaks else ""))
         self.single = {p: self.ids[p] for p in self.scores if len(p) == 1}
-        self.store = _Store(lambda chunk: array("i", self._ids(chunk)).tobytes(), lambda chunk, ids: 200 + 4 * len(chunk) + len(ids), kept_bytes)
+        self.kept_bytes = kept_bytes
+        self._stores()
+
+    def _stores(self) -> None:
+        self.fits = _Store(self._fits, lambda key, value: 120, self.kept_bytes)
+        self.store = _Store(lambda chunk: array("i", self._ids(chunk)).tobytes(), lambda chunk, ids: 200 + 4 * len(chunk) + len(ids), self.kept_bytes)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("fits", "store")}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self._stores()
 
     def _fits(self, key: int) -> bool:
         """Whether two neighbours stay apart when their characters are merged by rank.
@@ -298,6 +313,11 @@ class Codec:
             packed = struct.pack(f"<{len(ids)}i", *ids)
         return packed
 
+    def forget(self) -> None:
+        """Give up what is stored, at a task's end: the worker may idle beside other stages."""
+        self.store.forget()
+        self.fits.forget()
+
     def decode(self, ids) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode(errors="replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
@@ -329,12 +349,12 @@ def _spine(piece: str, split: dict, scores: dict[str, float], side: int) -> list
 
 @functools.lru_cache(maxsize=2)
 def codec(model: bytes) -> Codec:
-    """One codec for all tasks of a worker."""
+    """A model's codec, which the driver makes once and broadcasts; workers drop it when a later stage doesn't use it."""
     return Codec(model)
 
 
 def read_model(path: str, most: int = 16 << 20) -> bytes:
-    """The model's bytes, which go to the tasks with their code; larger files than ``most`` are refused."""
+    """The bytes of a model that is supported; larger files than ``most`` are refused."""
     with open(path, "rb") as file:
         data = file.read(most + 1)
     if len(data) > most:
@@ -346,10 +366,10 @@ def read_model(path: str, most: int = 16 << 20) -> bytes:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL) -> DataFrame:
     """doc_id, token_ids, n_tokens, and round_trip: whether decoding the ids gives the text back."""
-    model = read_model(model_path)
+    shared = docs.sparkSession.sparkContext.broadcast(codec(read_model(model_path)))
 
     def run(batches):
-        sp = codec(model)
+        sp = shared.value
         for batch in slices(batches):
             offsets, data, same, held = [0], [], [], []
             for text in batch.column(1).to_pylist():
@@ -362,16 +382,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(held))
             counts = pa.array([None if none else n for none, n in zip(held, np.diff(offsets).tolist(), strict=True)], pa.int32())
             yield pa.record_batch([batch.column(0), ids, counts, pa.array(same, pa.bool_())], ["doc_id", "token_ids", "n_tokens", "round_trip"])
+        sp.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean")
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", model_path: str = DEFAULT_MODEL) -> DataFrame:
     """doc_id and text of rows with token ids; null ids give a null text."""
-    model = read_model(model_path)
+    shared = tokens.sparkSession.sparkContext.broadcast(codec(read_model(model_path)))
 
     def run(batches):
-        sp = codec(model)
+        sp = shared.value
         for batch in batches:
             texts = [None if ids is None else sp.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -318,7 +318,7 @@ class Index:
 class _Scorer:
     """An index's scores by text; those of the texts seen of late are kept, ``most`` at once."""
 
-    def __init__(self, index: Index, most: int = 20_000, turn: int = 256):
+    def __init__(self, index: Index, most: int = 20_000, turn: int = 128):
         self.index, self.most, self.turn, self.known = index, most, turn, {}
 
     def __call__(self, texts: list[str]) -> list[tuple[float, list[int]]]:
