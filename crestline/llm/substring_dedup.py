@@ -15,7 +15,8 @@ At 1, the default, all repeats go.
 Rows are ranked by identifier and then a hash of the text, which tells rows of one
 identifier apart; cuts are made by both. Grouping sends (digest, first row, count),
 summed in each task first; occurrences of repeated digests then meet their group
-in an equi-join that Spark can split where a line is very frequent.
+in an equi-join that Spark can split where a line is very frequent. Units travel as
+numbers; where a text is cut it is divided anew, which gives the offsets.
 
 Cases: a null text is empty; units of white space only are none; rows that repeat
 identifier and text are one, so an exact repetition removes nothing, and both
@@ -54,9 +55,9 @@ def row_hash(text_col: str) -> Column:
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: bool = True) -> DataFrame:
-    """doc_id, row, unit, start, stop, words, digest, and whether an earlier unit of the row is equal."""
-    schema = "doc_id long, row long, unit int, start long, stop long, words int, digest binary, again boolean"
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+    """doc_id, row, unit, words, digest, and whether an earlier unit of the row is equal."""
+    schema = "doc_id long, row long, unit int, words int, digest binary, again boolean"
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
     names = [x.split()[0] for x in schema.split(", ")]
 
     def batch_of(rows) -> pa.RecordBatch:
@@ -67,9 +68,9 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sente
             rows = []
             for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen = set()
-                for unit, start, stop, words, key in units_of(text, sentences):
+                for unit, _, _, words, key in units_of(text, sentences):
                     digest = hashlib.md5(key, usedforsecurity=False).digest()
-                    rows.append((doc_id, row, unit, start, stop, words, digest, digest in seen))
+                    rows.append((doc_id, row, unit, words, digest, digest in seen))
                     seen.add(digest)
                 if len(rows) >= 50_000:
                     yield batch_of(rows)
@@ -81,61 +82,69 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sente
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = 1, sentences: bool = True) -> DataFrame:
-    """The units that go: doc_id, row, unit, start, stop, words, owner_id (the row whose occurrence stays), run_words."""
+    """The units that go: doc_id, row, unit, words, owner_id (the document whose occurrence stays), run_words."""
     found = units(docs, id_col, text_col, sentences)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     groups = found.groupBy("digest").agg(F.min(rank).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select(fresh("digest").alias("key"), F.col("owner.doc_id").alias("owner_id"), F.col("owner.row").alias("owner_row"))
     own = F.col("doc_id").eqNullSafe(F.col("owner_id")) & (F.col("row") == F.col("owner_row"))
     later = found.withColumn("key", fresh("digest")).drop("digest").join(groups, "key").where(F.col("again") | ~own)
-    single = later.groupBy("doc_id", "row", "unit", "start", "stop", "words").agg(F.min("owner_id").alias("owner_id"))
+    single = later.groupBy("doc_id", "row", "unit", "words").agg(F.min("owner_id").alias("owner_id"))
     text = Window.partitionBy("doc_id", "row")
     runs = single.withColumn("run", F.col("unit") - F.row_number().over(text.orderBy("unit")))
     runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "row", "run")))
-    return runs.where(F.col("run_words") >= min_run_words).select("doc_id", "row", "unit", "start", "stop", "words", "owner_id", "run_words")
+    return runs.where(F.col("run_words") >= min_run_words).select("doc_id", "row", "unit", "words", "owner_id", "run_words")
 
 
-def _rest(text: str, spans: list[dict]) -> str:
-    at, out = 0, []
-    for x in spans:
-        out.append(text[at : x["start"]])
-        at = x["stop"]
-    return "".join([*out, text[at:]])
+_SPANS = "array<struct<start:bigint,stop:bigint,words:int,owner_id:bigint>>"
 
 
-def _cut(text_col: str, spans_col: str) -> Column:
-    """The text without the spans, which are in order; null for a null text."""
+def _rest(text: str, gone: list[dict], sentences: bool) -> tuple[str, list[dict]]:
+    """What stays of a text without the units of ``gone``, which are in order, and their spans."""
+    found, at, out, spans = units_of(text, sentences), 0, [], []
+    for x in gone:
+        _, start, stop, words, _ = found[x["unit"]]
+        out.append(text[at:start])
+        spans.append({"start": start, "stop": stop, "words": words, "owner_id": x["owner_id"]})
+        at = stop
+    return "".join([*out, text[at:]]), spans
 
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([t if t is None or x is None else _rest(t, x) for t, x in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    return cut(text_col, spans_col)
+def _cut(text_col: str, gone_col: str, sentences: bool) -> Column:
+    """A struct of what stays of a text and the spans that went; of a null text nothing goes."""
 
+    @F.arrow_udf(f"text string, removed {_SPANS}")
+    def cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        out = [(t, None) if t is None or x is None else _rest(t, x, sentences) for t, x in zip(texts.to_pylist(), gone.to_pylist(), strict=True)]
+        spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int32()), ("owner_id", pa.int64())]))
+        return pa.StructArray.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([x for _, x in out], spans)], ["text", "removed"])
 
-def _with_spans(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, how: str) -> tuple[DataFrame, str]:
-    """``docs`` joined with each row's cut spans in order, and the name of their column."""
-    of_id, of_row, spans = (unused(x, docs) for x in ("of_id", "of_row", "removed"))
-    by_row = repeated.groupBy(F.col("doc_id").alias(of_id), F.col("row").alias(of_row)).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "words", "owner_id"))).alias(spans))
+    return cut(text_col, gone_col)
+
+
+def _with_cut(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, sentences: bool, how: str) -> tuple[DataFrame, str]:
+    """``docs`` with a struct (text, removed) for each row, and its column's name."""
+    of_id, of_row, gone, cut = (unused(x, docs) for x in ("of_id", "of_row", "gone", "cut"))
+    by_row = repeated.groupBy(F.col("doc_id").alias(of_id), F.col("row").alias(of_row)).agg(F.array_sort(F.collect_list(F.struct("unit", "owner_id"))).alias(gone))
     joined = docs.join(by_row, F.col(id_col).cast("long").eqNullSafe(F.col(of_id)) & (row_hash(text_col) == F.col(of_row)), how)
-    return joined.drop(of_id, of_row), spans
+    return joined.withColumn(cut, _cut(text_col, gone, sentences)).drop(of_id, of_row, gone), cut
 
 
-def without_units(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_units(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: bool = True) -> DataFrame:
     """``docs`` with the repeated units cut out of the text, and ``removed``: the cut spans of the original.
 
     The column's name gets underscores before it if ``docs`` has one of that name.
     """
-    joined, spans = _with_spans(docs, repeated, id_col, text_col, "left")
-    return joined.withColumn(text_col, _cut(text_col, spans))
+    found, cut = _with_cut(docs, repeated, id_col, text_col, sentences, "left")
+    return found.withColumn(text_col, F.col(f"{cut}.text")).withColumn(unused("removed", docs), F.col(f"{cut}.removed")).drop(cut)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = 1, sentences: bool = True) -> DataFrame:
     """The rows that lose something: doc_id, text (what stays), removed (start-stop:owner_id of each cut unit), removed_words."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    joined, spans = _with_spans(rows, repeated_units(docs, id_col, text_col, min_run_words, sentences), "doc_id", "text", "inner")
+    found, _ = _with_cut(rows, repeated_units(docs, id_col, text_col, min_run_words, sentences), "doc_id", "text", sentences, "inner")
     span = lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["stop"].cast("string"), F.lit(":"), F.coalesce(x["owner_id"].cast("string"), F.lit("")))
-    words = F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["words"])
-    return joined.select("doc_id", _cut("text", spans).alias("text"), F.array_join(F.transform(spans, span), " ").alias("removed"), words.alias("removed_words"))
+    words = F.aggregate("cut.removed", F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    return found.select("doc_id", F.col("cut.text").alias("text"), F.array_join(F.transform("cut.removed", span), " ").alias("removed"), words.alias("removed_words"))
 
 
 #: The query's ``min_run_words``: in texts that are no copies of one another, 11,305 of 12,358 repeated lines
