@@ -60,11 +60,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
 
 
 def drop_written(df: DataFrame) -> None:
-    """Delete the folders of a table from ``written`` that nothing needs any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/crestline/" in folder:
-            delete(df.sparkSession, folder)
+    """Delete the folder of a table from ``written`` that nothing needs any more; other tables are left alone."""
+    if path := df.__dict__.get("written_to"):
+        delete(df.sparkSession, path)

@@ -29,6 +29,8 @@ def test_tables_are_written_read_and_cleared(spark):
     folder = Path(shared.scratch(spark, "x").removeprefix("file://")).parent
     assert list(folder.iterdir())
     shared.drop_written(kept)
+    assert not Path(kept.written_to.removeprefix("file://")).exists()
+    shared.drop_written(rows.withColumnRenamed("a", "written_to"))
     shared.delete(spark, f"file://{folder}/never-was")
     shared.clear_scratch(spark)
     assert not folder.exists()
