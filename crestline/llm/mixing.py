@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.llm.common import text_or_empty, written
+from crestline.llm.common import drop_written, text_or_empty, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the uniform hash and bits settled by each refinement.
@@ -176,7 +176,8 @@ def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A row's copies follow from its own identifier, source and size and the plan's
     line for them, so texts are not shuffled unless there are very many sources.
     """
-    _, plan = planned(docs, id_col, text_col, source_col, weights, cap, seed)
+    sizes, plan = planned(docs, id_col, text_col, source_col, weights, cap, seed)
+    drop_written(sizes)
     row = F.struct(*docs.columns).alias("row")
     rows = docs.select(row, F.col(source_col).alias("source"), size_of(text_col).alias("size"), hash_of(id_col, seed).alias("u48")).withColumn("weight", weight_of(F.col("size")))
     taken = _of_plan(rows, plan).withColumn("copies", _copies()).where("copies > 0")

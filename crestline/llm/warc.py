@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm.common import delete, drop_written, filesystem, fresh, scratch, text_or_empty, tidy
+from crestline.llm.common import delete, filesystem, fresh, scratch, text_or_empty, tidy
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _BLOCK = 1 << 20
@@ -247,7 +247,7 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     monolithic = write_monolithic(with_revisits(pages, id_col, url_col, html_col, least), raw)
     members = normalise(monolithic, clean)
     delete(spark, raw)  # the normalised archives are complete and listed; without rows there is no such folder
-    drop_written(monolithic)
+    delete(spark, f"{raw}-manifest")
     return read_back(members)
 
 
