@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crestline.llm import exact_dedup, html_text, media, mixing, sentencepiece_codec, simhash, substring_dedup, toxicity, url_filters, warc
+from crestline.llm import collocations, exact_dedup, filter_audit, hnsw, html_text, media, mixing, sentencepiece_codec, simhash, substring_dedup, toxicity, url_filters, warc
 from crestline.llm.common import table
 
 
@@ -48,9 +48,22 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op3_sentencepiece, op4_simhash_near_dedup, op5_html_extraction, op6_toxicity, op7_url_filters, op8_warc, op9_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op1_media_columns, op2_substring_dedup, op3_sentencepiece, op4_simhash_near_dedup, op5_html_extraction, op6_toxicity, op7_url_filters, op8_warc, op9_exact_dedup, op10_mixing, op11_nearest_neighbours, op12_filter_audit, op13_collocations)}
 
 
 def oracle_sql():
-    return {"op2_substring_dedup": substring_dedup.OP2_SQL, "op7_url_filters": url_filters.OP7_SQL, "op8_warc": warc.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op2_substring_dedup": substring_dedup.OP2_SQL, "op7_url_filters": url_filters.OP7_SQL, "op8_warc": warc.OP8_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op10_mixing": mixing.OP10_SQL, "op12_filter_audit": filter_audit.OP12_SQL, "op13_collocations": collocations.OP13_SQL}
