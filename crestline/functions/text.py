@@ -28,9 +28,14 @@ def escape_text(text: Column) -> Column:
     return F.replace(F.replace(F.translate(text, "\\'%", ""), F.lit(":"), F.lit("\\:")), F.lit(","), F.lit("\\,"))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space, of any alphabet, at the ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def trimmed(text: Column) -> Column:
     """Without white space, of any alphabet, and then double quotes at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), r'^"+|"+$', "")
+    return F.regexp_replace(stripped(text), r'^"+|"+$', "")
 
 
 def base_name(path: Column) -> Column:

@@ -24,20 +24,20 @@ TITLE = "Momentos detectados (mejor primero):"
 
 
 def scores(samples: DataFrame, p: DetectParams = DetectParams()) -> tuple[DataFrame, DataFrame]:
-    """(the series' states, the scores of those that are long enough) of raw samples."""
+    """(the series' states, the scores of those that are long enough, by runs) of raw samples."""
     buckets = S.bucket_max(samples, p)
     states = S.observed(buckets, p)
-    long_enough = buckets.join(states.where("status = 'ok'").select("series_id"), "series_id", "left_semi")
-    return states, S.scored(S.smooth(S.densify(long_enough, p), p))
+    long_enough = buckets.join(states.where("status = 'ok'").select("series_id", "n"), "series_id")
+    return states, S.scored(S.smooth_runs(long_enough, p))
 
 
 def detect(samples: DataFrame, p: DetectParams = DetectParams()) -> DataFrame:
-    """(series_id, rank, second, score): every series' peaks, best first. Series that are too short or too long have none."""
+    """(series_id, rank, second, score): every series' peaks, best first. Series that are too short have none."""
     return select_peaks(S.candidates(scores(samples, p)[1], p), p)
 
 
 def statuses(samples: DataFrame, p: DetectParams = DetectParams(), strict: bool = False) -> DataFrame:
-    """(series_id, status): ok, too_short, too_long or no_peaks; one bad series doesn't fail the others.
+    """(series_id, status): ok, too_short or no_peaks; one bad series doesn't fail the others.
 
     ``strict`` raises ValueError instead if any isn't ok.
     """

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline.functions import text as X
+from crestline.operators import guard as G
 from crestline.operators import lines as L
 from crestline.operators import series as S
 from crestline.params import DetectParams
 from crestline.plans import highlights as H
 from crestline.shared import scratch
 from crestline.sources import levels as V
+from crestline.sources import ordered as O
 from crestline.streaming.levels import bucket_stream, keep_buckets, throttle_stream
 
 P = DetectParams(bucket_seconds=3600, floor=0.0, decimals=2)
@@ -215,6 +217,33 @@ def stream_levels(spark, sf_dir):
     return buckets.groupBy(_event_type("series_id").alias("series_id"), "second").agg(F.max("level").alias("level"))
 
 
+def _user_files(spark, sf_dir) -> str:
+    """A text file of each user's lines in the order of events, some of them blank or between white space."""
+    folder = scratch(spark, "user-lines")
+    line = F.expr(f"CASE WHEN event_id % 7 = 0 THEN ' \\t' ELSE concat(if(event_id % 5 = 0, '  ', ''), {_written_line()}, if(event_id % 3 = 0, '\\t ', '')) END")
+    lines = _table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id", "event_id", line.alias("value"))
+    lines.repartition("user_id").sortWithinPartitions("user_id", "event_id").drop("event_id").write.partitionBy("user_id").text(folder)
+    return folder
+
+
+def _user(series_id):
+    return F.regexp_extract(series_id, r"user_id=([^/]+)/", 1).cast("bigint").alias("user_id")
+
+
+def ordered_lines(spark, sf_dir):
+    """How many lines and bytes each user's file has, and its first and last line, by the line source in ranges of 4 kB."""
+    lines = O.read_ordered(spark, _user_files(spark, sf_dir), "*.txt", range_bytes=4_096)
+    found = lines.groupBy("series_id").agg(F.count(F.lit(1)).alias("lines"), F.max(F.col("offset") + F.octet_length("line") + 1).cast("long").alias("bytes"), F.min_by("line", "offset").alias("first"), F.max_by("line", "offset").alias("last"))
+    return found.select(_user("series_id"), "lines", "bytes", "first", "last")
+
+
+def guard_detail(spark, sf_dir):
+    """The states of the users' files as series of a second, with the last lines of those that are too short."""
+    lines = O.read_ordered(spark, _user_files(spark, sf_dir), "*.txt")
+    states = G.guarded(lines, DetectParams(min_buckets=80))[1]
+    return states.select(_user("series_id"), "observed", "n", "status", "detail")
+
+
 def format_choice(spark, sf_dir):
     """Order lines as the formats of an entry, the order."""
     lines = _table(spark, sf_dir, "lineitem")
@@ -237,9 +266,9 @@ def config_out(spark, sf_dir):
 
 
 def completion(spark, sf_dir):
-    """Per user, so that many series are too short; buckets of an hour are at most 600, so that some are too long."""
+    """Per user, so that many series are too short."""
     samples = V.from_events(_table(spark, sf_dir, "events"), series="user_id", floor=P.floor)
-    return H.completion(samples, DetectParams(bucket_seconds=3600, floor=0.0, decimals=2, min_buckets=12, max_buckets=600, k=3))
+    return H.completion(samples, DetectParams(bucket_seconds=3600, floor=0.0, decimals=2, min_buckets=12, k=3))
 
 
 def request_status(spark, sf_dir):
@@ -255,7 +284,7 @@ def request_status(spark, sf_dir):
 FUNCTIONS = [
     parse_levels, bucket_max, observed_guard, densify, smooth, baseline, scored_candidates, peaks, series_status, clip_plan, summary, report, readable_time, escape_text,
     strip_entry, render_filter, render_command, config_json, tail_lines, last_error, progress_throttle, version_check, remote_entry, stream_buckets,
-    stream_throttle, level_files, stream_levels, format_choice, config_out, completion, request_status,
+    stream_throttle, level_files, ordered_lines, guard_detail, stream_levels, format_choice, config_out, completion, request_status,
 ]
 
 # ---------------------------------------------------------------- SQL for DuckDB
@@ -322,8 +351,7 @@ lines AS (
 ), parsed AS (
   SELECT series_id, t, CASE WHEN m IS NULL OR isnan(m) OR isinf(m) THEN -70.0 ELSE m END AS level FROM found WHERE t IS NOT NULL
 )"""
-_COMPLETION = _STATUS.replace(">= 12)", ">= 12 AND max(second) < 600)")
-_COMPLETION = _COMPLETION + """, picked(series_id, rank, second, picks) AS (
+_COMPLETION = _STATUS + """, picked(series_id, rank, second, picks) AS (
   SELECT DISTINCT series_id, 0, NULL::BIGINT, []::BIGINT[] FROM candidates
   UNION ALL
   SELECT series_id, rank, second, picks FROM (
@@ -362,8 +390,8 @@ WITH c AS (
   SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat(p_name, ' "é"\', p_brand, chr(10), '/') END AS name, p_type FROM part
 )
 SELECT p_partkey, concat('{', chr(10), '  "nombre": ', to_json(name), ',', chr(10), '  "logo": ', to_json(p_type), ',', chr(10), '  "salida": "out"', chr(10), '}') AS config FROM c""",
-    "completion": _with(_COMPLETION, """SELECT b.series_id, CASE WHEN b.n < 12 THEN 'too_short' WHEN b.last >= 600 THEN 'too_long' WHEN clips IS NULL THEN 'no_peaks' ELSE 'ok' END AS status, coalesce(clips, 0)::BIGINT AS clips
-FROM (SELECT series_id, count(*) AS n, max(second) AS last FROM buckets GROUP BY series_id) b LEFT JOIN clips ON b.series_id = clips.series_id""", True),
+    "completion": _with(_COMPLETION, """SELECT b.series_id, CASE WHEN b.n < 12 THEN 'too_short' WHEN clips IS NULL THEN 'no_peaks' ELSE 'ok' END AS status, coalesce(clips, 0)::BIGINT AS clips
+FROM (SELECT series_id, count(*) AS n FROM buckets GROUP BY series_id) b LEFT JOIN clips ON b.series_id = clips.series_id""", True),
     "request_status": """
 SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 5 = 1 THEN 'no_entry' WHEN o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 THEN 'bad_number'
        WHEN o_orderkey % 7 = 0 OR o_orderkey % 7 = 1 THEN 'no_output' WHEN o_custkey % 6 < 1 OR o_custkey % 140 < 15 OR o_custkey % 140 > 120 THEN 'bad_range' ELSE 'ok' END AS status FROM orders""",
@@ -431,6 +459,24 @@ WITH e AS (
 SELECT page_id, starts_with(lower(entry), 'http://') OR starts_with(lower(entry), 'https://') AS remote, string_split(entry, '/')[-1] AS name, concat('out/', string_split(entry, '/')[-1]) AS path FROM e""",
     "stream_buckets": _with(_BUCKETS, "SELECT * FROM buckets"),
 }
+_USER_LINES = r"""
+written AS (
+  SELECT user_id, event_id, CASE WHEN event_id % 7 = 0 THEN concat(' ', chr(9)) ELSE concat(CASE WHEN event_id % 5 = 0 THEN '  ' ELSE '' END,
+    CASE WHEN event_id % 13 = 0 THEN concat('size= ', user_id) ELSE concat('[a] t: ', event_id % 5000, '.', event_id % 10, ' TARGET:-23 LUFS M: ',
+      CASE event_id % 11 WHEN 0 THEN 'nan' WHEN 1 THEN '-inf' WHEN 2 THEN '1.2.3' ELSE concat('-', user_id % 90, '.', event_id % 7) END, ' S: -9.9') END,
+    CASE WHEN event_id % 3 = 0 THEN concat(chr(9), ' ') ELSE '' END) END AS line
+  FROM events WHERE user_id IS NOT NULL
+)"""
+SQL["ordered_lines"] = _with(_USER_LINES, "SELECT user_id, count(*) AS lines, sum(strlen(line) + 1)::BIGINT AS bytes, arg_min(line, event_id) AS first, arg_max(line, event_id) AS last FROM written GROUP BY user_id")
+SQL["guard_detail"] = _with(_USER_LINES + r""", times AS (
+  SELECT user_id, try_cast(regexp_extract(line, 't:\s*([\d.]+).*?M:\s*(-?[\d.]+|-?inf|nan)', 1) AS DOUBLE) AS t FROM written
+), states AS (
+  SELECT user_id, count(DISTINCT floor(t)) AS observed, coalesce(max(floor(t)) + 1, 0)::BIGINT AS n FROM times GROUP BY user_id
+), ends AS (
+  SELECT user_id, event_id, trim(line, concat(' ', chr(9))) AS line FROM written QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5
+), details AS (
+  SELECT user_id, coalesce(string_agg(line, chr(10) ORDER BY event_id) FILTER (line <> ''), '') AS detail FROM ends GROUP BY user_id
+)""", "SELECT user_id, observed, n, CASE WHEN observed < 80 THEN 'too_short' ELSE 'ok' END AS status, CASE WHEN observed < 80 THEN detail END AS detail FROM states JOIN details USING (user_id)")
 SQL["stream_throttle"] = SQL["progress_throttle"]
 
 

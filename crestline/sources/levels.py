@@ -35,19 +35,22 @@ def clean_level(level: Column, floor: float = -70.0) -> Column:
     return F.when(level.isNull() | F.isnan(level) | (F.abs(level) == float("inf")), F.lit(floor)).otherwise(level)
 
 
+def parsed(lines: DataFrame, *more: Column, floor: float = -70.0) -> DataFrame:
+    """series_id, t, level and ``more`` of every line; t and level are null where it isn't in the analyser's format."""
+    # of a line in another format the groups are empty, and so no number
+    t, m = (F.regexp_extract("line", LEVEL_LINE, i).try_cast("double") for i in (1, 2))
+    found = lines.select("series_id", t.alias("t"), m.alias("m"), *more)
+    level = F.when(F.col("t").isNotNull(), clean_level(F.col("m"), floor))
+    return found.select("series_id", "t", level.alias("level"), *found.columns[3:])
+
+
 def parse_lines(lines: DataFrame, floor: float = -70.0) -> DataFrame:
     """(series_id, t, level) of the lines in the analyser's format; others are left out.
 
     A level that isn't a finite number is ``floor``. A time that isn't a number,
     such as 1.2.3, makes a line void.
     """
-    # of a line in another format the groups are empty, and so no number
-    found = lines.select(
-        "series_id",
-        F.regexp_extract("line", LEVEL_LINE, 1).try_cast("double").alias("t"),
-        F.regexp_extract("line", LEVEL_LINE, 2).try_cast("double").alias("m"),
-    )
-    return found.where("t IS NOT NULL").select("series_id", "t", clean_level(F.col("m"), floor).alias("level"))
+    return parsed(lines, floor=floor).where("t IS NOT NULL")
 
 
 def from_events(events: DataFrame, origin: str = "2024-01-01 00:00:00", series: str = "event_type", at: str = "ts", level: str = "value", floor: float = -70.0) -> DataFrame:

@@ -107,15 +107,70 @@ def test_baseline_is_the_upper_median(spark, values):
 
 
 def test_a_wrong_time_costs_its_own_series_only(spark):
-    """Times in the billions make no spine of billions, and don't end the job."""
+    """Times in the billions make no spine of billions: a gap is one run, and the series has its peaks like others."""
     good = [(i, -3.0 if i == 100 else -20.0) for i in range(300)]
     lines = [("good", f"t: {t} M: {x}") for t, x in good] + [("bad", f"t: {t} M: {x}") for t, x in good] + [("bad", "t: 99999999999 M: -3.0"), ("bad", "t: " + "9" * 400 + " M: -1"), ("worse", "t: 2000000000 M: -1")]
     samples = V.parse_lines(spark.createDataFrame(lines, "series_id string, line string"))
     p = DetectParams(k=1, duration=30, decimals=1)
-    assert {r.series_id: r.status for r in H.statuses(samples, p).collect()} == {"good": "ok", "bad": "too_long", "worse": "too_short"}
-    assert [(r.series_id, r.second) for r in H.detect(samples, p).collect()] == [("good", 97)]
-    assert {(r.series_id, r.status, r.clips) for r in H.completion(samples, p).collect()} == {("good", "ok", 1), ("bad", "too_long", 0), ("worse", "too_short", 0)}
-    assert S.densify(S.bucket_max(samples, p), p).where("series_id <> 'good'").count() == 0
+    assert {r.series_id: r.status for r in H.statuses(samples, p).collect()} == {"good": "ok", "bad": "ok", "worse": "too_short"}
+    assert {(r.series_id, r.second) for r in H.detect(samples, p).collect()} == {("good", 97), ("bad", 97)}
+    assert {(r.series_id, r.status, r.clips) for r in H.completion(samples, p).collect()} == {("good", "ok", 1), ("bad", "ok", 1), ("worse", "too_short", 0)}
+
+
+def test_a_bucket_at_ten_to_the_twelfth(spark):
+    """The edges, the baseline and the peaks of a series whose gaps no spine could fill."""
+    far = 10**12
+    levels = [(i, -20.0) for i in range(40)] + [(far // 2 + i, -30.0 + i) for i in range(3)] + [(far, -1.0), (far + 200, -5.0)]
+    runs = S.smooth_runs(raw(spark, levels).selectExpr("series_id", "CAST(t AS bigint) AS second", "level", f"CAST({far + 201} AS bigint) AS n"), DetectParams(decimals=1))
+    assert runs.count() < 100 and runs.selectExpr("sum(last - first + 1)").first()[0] == far + 201
+    p = DetectParams(k=3, duration=30, decimals=1, min_buckets=5)
+    got = [(r.second, round(r.score, 4)) for r in H.detect(raw(spark, levels), p).orderBy("rank").collect()]
+    assert got == [(30, 50.0), (far // 2 - 1 + 0, round(123 / 7, 4)), (far - 3, round(69 / 7, 4))]
+
+
+@pytest.mark.parametrize("decimals, stretch", [(None, 100_000), (1, 100_000), (1, 7), (None, 13), (2, 1)])
+def test_runs_equal_the_dense_series(spark, decimals, stretch):
+    rng, rows = random.Random(decimals), []
+    for series in "abcde":
+        at = rng.choice([0, 0, 3, 50])
+        for _ in range(rng.randrange(1, 60)):
+            rows.append((series, at, rng.randrange(-700, 0) / 10))
+            at += rng.choice([1, 1, 1, 2, 5, 6, 7, 8, 9, 40])
+    buckets = spark.createDataFrame(rows, "series_id string, second bigint, level double")
+    p = DetectParams(decimals=decimals, half_window=rng.choice([0, 1, 3, 5]), min_score=rng.choice([-1.0, 0.0, 1.5]))
+    dense = S.smooth(S.densify(buckets, p), p)
+    n = buckets.groupBy("series_id").agg((F.max("second") + 1).alias("n"))
+    runs = S.smooth_runs(buckets.join(n, "series_id"), p, stretch)
+    spread = runs.select("series_id", F.explode(F.sequence("first", "last")).alias("second"), "smoothed")
+    rounded = lambda x: sorted((r.series_id, r.second, round(r.smoothed, 8)) for r in x.collect())
+    assert rounded(spread) == rounded(dense)
+    assert {(r.series_id, round(r.baseline, 8), r.n) for r in S.baseline(runs).collect()} == {(r.series_id, round(r.baseline, 8), r.n) for r in S.baseline(dense).collect()}
+    if decimals:
+        peaks = lambda x: sorted(map(tuple, select_peaks(S.candidates(S.scored(x), p), p).collect()))
+        assert peaks(runs) == peaks(dense)
+
+
+@pytest.mark.parametrize("bins", [2, 3, 40, 200])
+def test_baseline_by_bins_and_weights(spark, bins):
+    """Exact whatever the bins: random values with ties, negative zero, and runs that hold most of a series."""
+    rng, rows, plain = random.Random(bins), [], {}
+    for series in "abcdef":
+        held = []
+        for i in range(rng.randrange(1, 400)):
+            value, many = rng.choice([rng.gauss(0, 10), float(rng.randrange(-3, 3)), 10 ** rng.uniform(-200, 200), -0.5]), rng.choice([1, 1, 1, 30])
+            rows.append((series, i * 100, i * 100 + many - 1, value))
+            held += [value] * many
+        plain[series] = (sorted(held)[len(held) // 2], len(held))
+    frame = spark.createDataFrame(rows, "series_id string, first bigint, last bigint, smoothed double")
+    assert {r.series_id: (r.baseline, r.n) for r in S.baseline(frame, bins).collect()} == plain
+
+
+def test_no_task_sorts_a_whole_series(spark):
+    """Half a million values of one series: after the cut into bins, one bin is left to sort."""
+    frame = spark.range(0, 500_000, 1, 8).selectExpr("'a' AS series_id", "id AS second", "CAST(pmod(hash(id), 1000000007) AS double) AS smoothed")
+    found = S.baseline(frame)
+    want = frame.orderBy("smoothed").select("smoothed").collect()[250_000][0]
+    assert found.first().baseline == want
 
 
 def raw(spark, levels, series="a"):

@@ -1,0 +1,102 @@
+"""The ordered line source against whole-file reading, its stream over restarts, and the guard's last lines."""
+
+import io
+import random
+
+import pytest
+
+from crestline.operators import guard as G
+from crestline.params import DetectParams
+from crestline.sources import ordered as O
+
+
+def whole(data: bytes) -> list[tuple[int, bytes]]:
+    out, begin, i = [], 0, 0
+    while i < len(data):
+        if data[i : i + 1] in (b"\n", b"\r"):
+            out.append((begin, data[begin:i]))
+            i += 1 + (data[i : i + 2] == b"\r\n")
+            begin = i
+        else:
+            i += 1
+    return out + ([(begin, data[begin:])] if begin < len(data) else [])
+
+
+def drawn(rng, n):
+    return b"".join(rng.choice([b"a", b"b b", b"", b"\xff", "é".encode()]) + rng.choice([b"\n", b"\r", b"\r\n", b"\n\n", b" "]) for _ in range(n))
+
+
+def test_ranges_of_any_size():
+    rng = random.Random(2)
+    for turn in range(300):
+        data = drawn(rng, rng.randrange(12))
+        for size in (1, 2, 3, 5, 100):
+            for block in (1, 2, 7):
+                got = [x for at in range(0, len(data), size) for x in O.lines_of(io.BytesIO(data), at, min(len(data), at + size), len(data), True, block)]
+                assert got == whole(data), (turn, data, size, block)
+        end = O.last_end(io.BytesIO(data), 0, len(data), 2)
+        # what is finished stays the same whatever follows
+        for more in (b"x", b"\n", b"\rz"):
+            assert [x for x in whole(data + more) if x[0] < end] == [x for x in whole(data[:end])]
+
+
+@pytest.mark.parametrize("size", [1, 3, 17, 1_000])
+def test_table(spark, tmp_path, size):
+    rng = random.Random(size)
+    files = {name: drawn(rng, n) for name, n in (("a.log", 20), ("b.log", 0), ("deep/c.log", 50), ("d.log", 3))}
+    for name, data in {**files, "_hidden.log": b"no\n", ".x/e.log": b"no\n", "f.txt": b"no\n"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        got = O.read_ordered(spark, path, "*.log", range_bytes=size).collect()
+        want = [(name, at, line.decode(errors="replace")) for name, data in files.items() for at, line in whole(data)]
+        assert sorted((r.series_id.split(f"{tmp_path}/")[1], r.offset, r.line) for r in got) == sorted(want)
+    assert O.read_ordered(spark, str(tmp_path / "a.log")).count() == len(whole(files["a.log"]))
+    assert O.read_ordered(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stream_restarts(spark, tmp_path):
+    """Files grow between runs from one checkpoint; an unfinished line waits, and nothing comes twice."""
+    rng = random.Random(4)
+    texts = {name: drawn(rng, 60) + b"end\n" for name in ("a", "b", "c")}
+    source, sent = tmp_path / "in", {name: 0 for name in texts}
+    source.mkdir()
+
+    def run():
+        lines = O.stream_ordered(spark, str(source), range_bytes=9)
+        lines.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+
+    for share in (0.3, 0.35, 0.8, 1):
+        for name, data in texts.items():
+            if name != "c" or share > 0.5:
+                with (source / name).open("ab") as f:
+                    f.write(data[sent[name] : int(len(data) * share)])
+                    sent[name] = int(len(data) * share)
+        run()
+    run()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.series_id.split("/")[-1], r.offset, r.line) for r in got) == sorted((name, at, x.decode(errors="replace")) for name, data in texts.items() for at, x in whole(data))
+
+
+def test_guard(spark):
+    lines = [("a", i, f" line {i}\t" if i % 3 else "  ") for i in range(40)] + [("b", 0, "[x] t: 3.5 M: -9.5"), ("b", 20, None), ("b", 9, "t: 3.9 M: nan"), (None, 1, "x")]
+    lines += [("c", i, f"t: {i} M: -{i}.0") for i in range(40)] + [("d", 5, " \n")]
+    random.Random(1).shuffle(lines)
+    frame = spark.createDataFrame([(*x, "clash") for x in lines], "series_id string, offset long, line string, second string").repartition(6)
+    buckets, states = G.guarded(frame, DetectParams(min_buckets=10))
+    got = {r.series_id: (r.observed, r.n, r.status, r.detail) for r in states.collect()}
+    assert got == {
+        "a": (0, 0, "too_short", "line 35\nline 37\nline 38"),
+        "b": (1, 4, "too_short", "[x] t: 3.5 M: -9.5\nt: 3.9 M: nan"),
+        None: (0, 0, "too_short", "x"),
+        "c": (40, 40, "ok", None),
+        "d": (0, 0, "too_short", ""),
+    }
+    assert {(r.series_id, r.second, r.level) for r in buckets.where("series_id = 'b'").collect()} == {("b", 3, -9.5)}
+    none = G.guarded(frame.where("false"))
+    assert none[0].collect() == none[1].collect() == []
+
+
+def test_guard_passes_few_lines_on(spark):
+    frame = spark.range(0, 20_000, 1, 4).selectExpr("CAST(id % 2 AS string) AS series_id", "id AS offset", "concat('line ', id) AS line")
+    assert G.partial_sums(frame).where("line IS NOT NULL").count() <= 4 * 2 * G.LAST
