@@ -82,7 +82,7 @@ def smooth_runs(buckets: DataFrame, p: DetectParams = DetectParams(), stretch: i
 
     ``buckets``: series_id, second, level, and n, the series' length. Stretches of
     ``stretch`` seconds are worked on apart, with copies of their neighbours' nearest
-    buckets; runs between stretches come from each one's first and last bucket.
+    buckets, and know the last bucket before them.
     """
     h = p.half_window
     stretch = max(stretch, 2 * h, 1)
@@ -90,17 +90,23 @@ def smooth_runs(buckets: DataFrame, p: DetectParams = DetectParams(), stretch: i
     second = F.col("second")
     near = F.array_distinct(F.array(*(part(second + d) for d in (-2 * h, 0, 2 * h))))
     cut = buckets.select("series_id", "second", "level", "n", F.explode(near).alias("part")).where("part >= 0")
+    ends = buckets.groupBy("series_id", part(second).alias("part")).agg(F.max("second").alias("high"))
+    lower = ends.select("series_id", "part", F.lag("high").over(Window.partitionBy("series_id").orderBy("part")).alias("lower"))
+    cut = cut.join(lower, ["series_id", "part"], "left")
     order = Window.partitionBy("series_id", "part").orderBy("second")
     cut = cut.select("*", F.lag("second").over(order).alias("before"), F.lead("second").over(order).alias("after"))
     # of the seconds beside a bucket, those up to h after one belong to it, and those before the next one only beyond that
     begin = F.greatest(second - h, F.coalesce(F.col("before") + h + 1, F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
     end = F.least(second + h, F.coalesce(F.col("after") - 1, F.col("n") - 1), F.col("n") - 1)
-    places = F.explode(F.sequence(F.least(begin, second), F.greatest(end, second)))
-    rows = cut.select("series_id", "part", "n", "second", "level", places.alias("at"))
-    level = F.when(F.col("at") == second, F.col("level"))
+    run = lambda first, last: F.struct(first.alias("at"), last.alias("last"))
+    places = F.transform(F.sequence(F.least(begin, second), F.greatest(end, second)), lambda x: run(x, x))
+    free = F.coalesce(F.coalesce("before", "lower") + h + 1, F.lit(0).cast("bigint"))
+    gap = (free < second - h) & (part(second) == F.col("part"))
+    rows = cut.select("series_id", "part", "n", "second", "level", F.inline(F.when(gap, F.array_append(places, run(free, second - h - 1))).otherwise(places)))
+    level = F.when((F.col("at") == second) & (F.col("last") == second), F.col("level"))
     around = Window.partitionBy("series_id", "part").orderBy("at").rangeBetween(-h, h)
     exact = level if p.decimals is None else _exact(level, p)
-    rows = rows.select("series_id", "part", "n", "at", F.sum(exact).over(around).alias("sum"), F.count(exact).over(around).alias("seen"))
+    rows = rows.select("series_id", "part", "n", "second", "at", "last", F.coalesce(F.sum(exact).over(around), F.lit(0)).alias("sum"), F.count(exact).over(around).alias("seen"))
     width = F.least(F.col("at") + h, F.col("n") - 1) - F.greatest(F.col("at") - h, F.lit(0)) + 1
     if p.decimals is None:
         mean = F.round((F.col("sum") + (width - F.col("seen")) * F.lit(p.floor)) / width, 9)
@@ -109,12 +115,9 @@ def smooth_runs(buckets: DataFrame, p: DetectParams = DetectParams(), stretch: i
         low = round(p.floor * 10**p.decimals)
         mean = (F.col("sum") + (width - F.col("seen")) * F.lit(low)).cast("double") / (width * 10**p.decimals).cast("double")
         floor = F.lit(low).cast("double") / F.lit(10**p.decimals).cast("double")
-    beside = rows.where(part(F.col("at")) == F.col("part")).select("series_id", F.col("at").alias("first"), F.col("at").alias("last"), mean.alias("smoothed"), "n")
-    inner = cut.where(part(second) == F.col("part")).where(part(F.col("before")) == F.col("part")).select("series_id", (F.col("before") + h + 1).alias("first"), (second - h - 1).alias("last"), floor.alias("smoothed"), "n")
-    ends = buckets.groupBy("series_id", part(second).alias("part")).agg(F.min("second").alias("low"), F.max("second").alias("high"), F.max("n").alias("n"))
-    lower = F.lag("high").over(Window.partitionBy("series_id").orderBy("part"))
-    outer = ends.select("series_id", F.coalesce(lower + h + 1, F.lit(0).cast("bigint")).alias("first"), (F.col("low") - h - 1).alias("last"), floor.alias("smoothed"), "n")
-    return beside.unionByName(inner.unionByName(outer).where("first <= last"))
+    # a gap goes with the stretch of the bucket after it, a second beside a bucket with its own
+    beside = rows.where(part(F.when(F.col("seen") > 0, F.col("at")).otherwise(second)) == F.col("part"))
+    return beside.select("series_id", F.col("at").alias("first"), "last", F.when(F.col("seen") > 0, mean).otherwise(floor).alias("smoothed"), "n")
 
 
 def baseline(smoothed: DataFrame, bins: int = 200) -> DataFrame:

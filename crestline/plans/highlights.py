@@ -9,6 +9,7 @@ from crestline.functions.text import clock, escape_text, file_clock, tenths
 from crestline.operators import series as S
 from crestline.operators.peaks import select_peaks
 from crestline.params import DetectParams
+from crestline.shared import written
 
 #: Filter graph sources, sizes (font, x, y, logo height), file names and messages of the output format,
 #: and the encoder's arguments in render_command.
@@ -25,10 +26,10 @@ TITLE = "Momentos detectados (mejor primero):"
 
 def scores(samples: DataFrame, p: DetectParams = DetectParams()) -> tuple[DataFrame, DataFrame]:
     """(the series' states, the scores of those that are long enough, by runs) of raw samples."""
-    buckets = S.bucket_max(samples, p)
+    buckets = written(S.bucket_max(samples, p), "buckets")
     states = S.observed(buckets, p)
     long_enough = buckets.join(states.where("status = 'ok'").select("series_id", "n"), "series_id")
-    return states, S.scored(S.smooth_runs(long_enough, p))
+    return states, S.scored(written(S.smooth_runs(long_enough, p), "runs"))
 
 
 def detect(samples: DataFrame, p: DetectParams = DetectParams()) -> DataFrame:

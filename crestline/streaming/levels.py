@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
 
+from crestline.operators.lines import numbers, rising
 from crestline.params import DetectParams
 
 
@@ -47,26 +49,53 @@ def keep_buckets(buckets: DataFrame, folder: str) -> DataFrame:
     return kept.groupBy("series_id", "second").agg(F.max("level").alias("level"))
 
 
-def throttle_stream(values: DataFrame, key: str, order: str, value: str, step: float = 10.0, start: float = -10.0) -> DataFrame:
-    """(key, order, value) of a stream's rows that are at least ``step`` above the last one reported of their key.
+class _Throttle(StatefulProcessor):
+    """A key's last report, in a value state that goes when nothing has come for ``idle`` seconds of processing time."""
 
-    The state is one number per key. Rows of a micro-batch are taken in ``order``; a
-    key's rows of one micro-batch are sorted in memory, so the source's limit on a
-    trigger's input bounds them. Null values report nothing.
-    """
+    def __init__(self, step: float, start: float, idle: float | None):
+        self.step, self.start, self.idle = step, start, idle
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last double", None if self.idle is None else int(self.idle * 1_000))
 
-    def report(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else start
-        rows = pd.concat(list(frames)).dropna(subset=["v"]).sort_values(["o", "v"])
-        out = []
-        for o, v in zip(rows["o"], rows["v"], strict=True):
-            if v - last >= step:
-                out.append((k[0], o, v))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last = self.last.get()[0] if self.last.exists() else self.start
+        for o, v in sorted((r.o, r.v) for r in rows):
+            if v - last >= self.step:
                 last = v
-        state.update((float(last),))
-        if out:
-            yield pd.DataFrame(out, columns=["k", "o", "v"])
+                yield Row(k=key[0], o=o, v=v)
+        self.last.update((last,))
+
+    def close(self) -> None:
+        pass
+
 
-    rows = values.select(F.col(key).cast("string").alias("k"), F.col(order).cast("long").alias("o"), F.col(value).cast("double").alias("v"))
-    done = rows.groupBy("k").applyInPandasWithState(report, "k string, o long, v double", "last double", "append", GroupStateTimeout.NoTimeout)
+def _rising_of_batches(batches):
+    """Each Arrow batch's rows that are above all earlier ones of their key in it; only these can be reported."""
+    for batch in batches:
+        ordered = batch.take(pc.sort_indices(batch, sort_keys=[("k", "ascending"), ("o", "ascending"), ("v", "ascending")]))
+        yield from rising([ordered])
+
+
+def throttle_stream(values: DataFrame, key: str, order: str, value: str, step: float = 10.0, start: float = -10.0, idle: float | None = None) -> DataFrame:
+    """(key, order, value) of a stream's rows that are at least ``step`` above the last one reported of their key.
+
+    The state is one number per key, dropped after ``idle`` seconds without a row if that
+    is given; the key then starts anew. Rows of a micro-batch are taken in ``order``; of
+    each Arrow batch only those above all earlier ones of their key come to the state, so
+    few of a key's rows are ever sorted in memory. Values that are null or no number
+    report nothing. The session must use RocksDB for state, which is set here unless
+    another provider was chosen.
+    """
+    if step <= 0:
+        raise ValueError("step must be positive")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    conf = values.sparkSession.conf
+    if conf.get(provider).endswith("HDFSBackedStateStoreProvider"):  # the default, which can't hold such state
+        conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = numbers(values, key, order, value).select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), F.col(value).alias("v"))
+    few = rows.mapInArrow(_rising_of_batches, rows.schema)
+    mode = "None" if idle is None else "ProcessingTime"
+    done = few.groupBy("k").transformWithState(_Throttle(step, start, idle), StructType.fromDDL("k string, o long, v double"), "append", mode)
     return done.toDF(key, order, value)
