@@ -13,6 +13,8 @@ in a url are percent-encoded; rows with a null identifier never are the response
 of a group that has one, and are responses in a group that has none; rows that
 repeat the largest identifier with an equal payload all are responses; an empty
 table writes no archive and gives an empty result; other columns may have any names.
+An archive that ends within a gzip member or a record, or whose records or index lines
+aren't as many as were written, is refused with an error.
 Normalised archives stay in the shared folder, since results read them;
 ``common.clear_scratch`` deletes them.
 """
@@ -115,18 +117,19 @@ def split_records(blocks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(file, size: int = _BLOCK) -> Iterator[bytes]:
-    """The bytes of a gzip stream of any number of members, in blocks of bounded size."""
-    engine = zlib.decompressobj(31)
+    """The bytes of a gzip stream of any number of members, in blocks of bounded size; one that ends within a member is refused."""
+    engine, begun = zlib.decompressobj(31), False
     while data := file.read(size):
         while data:
+            begun = True
             if out := engine.decompress(data, size):
                 yield out
             data = engine.unconsumed_tail
             if engine.eof:
                 data = engine.unused_data
-                engine = zlib.decompressobj(31)
-    if tail := engine.flush():
-        yield tail
+                engine, begun = zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("the stream ends within a gzip member")
 
 
 def _manifest(done: list[tuple[str, int]]) -> pa.RecordBatch:
@@ -182,7 +185,7 @@ def normalise(manifest: DataFrame, folder: str, level: int = 1) -> DataFrame:
         fs.create_dir(root, recursive=True)
         for batch in batches:
             done = []
-            for old in batch.column(0).to_pylist():
+            for old, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 name, at, lines = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, []
                 with fs.open_input_stream(old, compression=None) as source, fs.open_output_stream(name, compression=None) as out, fs.open_output_stream(f"{name}.idx") as index:
                     for data in split_records(inflated(source)):
@@ -193,6 +196,8 @@ def normalise(manifest: DataFrame, folder: str, level: int = 1) -> DataFrame:
                         out.write(member)
                         at += len(member)
                         lines.append(at)
+                if len(lines) != records:
+                    raise ValueError(f"{old} has {len(lines)} records, {records} were written")
                 done.append((name, len(lines)))
             yield _manifest(done)
 
@@ -210,10 +215,13 @@ def read_back(manifest: DataFrame) -> DataFrame:
     def run(batches):
         rows = []
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, path = filesystem(name)
                 with fs.open_input_file(path) as file, fs.open_input_stream(f"{path}.idx") as index:
-                    for line in index.read().splitlines():
+                    lines = index.read().splitlines()
+                    if len(lines) != records:
+                        raise ValueError(f"the index of {name} has {len(lines)} records, {records} were written")
+                    for line in lines:
                         entry = json.loads(line)
                         file.seek(entry["offset"])
                         rows.append(_row(zlib.decompress(file.read(entry["length"]), 31)))
