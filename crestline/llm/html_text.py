@@ -13,8 +13,10 @@ Clustering alone drops short paragraphs, so lines below the threshold are conten
 too where those above it are: if the region lies in an article or main, or
 consists of articles, all lines of those are the text, as authors mark it so;
 otherwise the lines of every region that directly holds a chosen line, those
-between chosen lines, and the headings right before the first. Menus or notices
-that nothing names lie outside of that and go.
+between chosen lines, and beside them headings before the first and sentences before and
+after that are no links, of the region or next to it. Menus or notices that nothing names lie
+outside of that and go. A name doesn't rule an element out that has a main heading or
+a main part in it and holds more text than all of the page that no name touches.
 
 Cases: a null or empty page, or one without text, has empty text; plain text
 without markup is one block; unclosed elements close with their parent, and end
@@ -62,25 +64,35 @@ _NO_END = frozenset("p li dt dd tr td th option b i em strong a span font u smal
 #: Those of NAMES that rule out an article or main too.
 _NOT_ARTICLES = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies respond related recommended".split())
 _WORD = re.compile(r"[a-z]+")
+_TAG_OPEN = re.compile(r"<[A-Za-z/!?]")
+
+
+#: Words of a class or id that say what a part has or is like, and not that it is one.
+_HAVING, _STATES = frozenset("with has no is without".split()), frozenset("open opened closed enabled disabled allowed on off page layout wrapper".split())
 
 
 def _named(value: str, names: frozenset[str]) -> bool:
-    """Whether a class, id or role has one of the names; "with-sidebar" and the like name what's inside."""
-    words = (_WORD.findall(token) for token in value.lower().split())
-    return any(x and x[0] not in ("with", "has", "no", "is") and not names.isdisjoint(x) for x in words)
+    """Whether a class, id or role has one of the names; "content-with-sidebar", "comments-open" and the like tell of what's inside."""
+    for token in value.lower().split():
+        words = _WORD.findall(token)
+        if words and words[-1] not in _STATES and _HAVING.isdisjoint(words) and not names.isdisjoint(words):
+            return True
+    return False
 
 
-def _unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    """"never" for what is no content by its element or as it is hidden, "named" by its class, id or role, or neither."""
     if tag in NEVER:
-        return True
+        return "never"
+    named = ""
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return "never"
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
-            return True
+            return "never"
         if name in ("class", "id", "role") and value and tag not in ("html", "body") and _named(value, _NOT_ARTICLES if tag in ("article", "main") else NAMES):
-            return True
-    return False
+            named = "named"
+    return named
 
 
 class Line(NamedTuple):
@@ -88,6 +100,8 @@ class Line(NamedTuple):
     tags: int
     region: int
     heading: bool
+    links: int  # characters within links
+    named: int  # the innermost element around that its name rules out, 0 for none
 
 
 class _Lines(HTMLParser):
@@ -97,18 +111,20 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.kind, self.parent = ["page"], [0]
-        self.open: list[tuple[str, bool, bool]] = []  # tag, unwanted, region
+        self.open: list[tuple[str, str, bool]] = []  # tag, why unwanted, region
         self.at: defaultdict[str, list[int]] = defaultdict(list)  # where a tag is open, the outermost first
         self.walls: list[int] = []  # where elements are open that end tags of others don't pass
         self.inside = [0]  # regions around, the innermost last
-        self.hidden = self.tags = self.headings = 0
+        self.hidden = self.tags = self.headings = self.anchors = self.linked = 0
         self.held: list[str] = []
+        self.outer, self.titled = [0], [False]  # of elements that their name rules out: the next around, and whether a main heading or main part is inside
+        self.ruled = [0]  # those around, the innermost last
 
     def flush(self) -> None:
         if self.held and (text := " ".join("".join(self.held).split())):
-            self.lines.append(Line(text, self.tags, self.inside[-1], self.headings > 0))
+            self.lines.append(Line(text, self.tags, self.inside[-1], self.headings > 0, self.linked, self.ruled[-1]))
             self.tags = 0
-        self.held = []
+        self.held, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += not self.hidden
@@ -124,7 +140,13 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         unwanted = _unwanted(tag, attrs)
-        region = not unwanted and not self.hidden and tag in REGIONS
+        region = not self.hidden and unwanted != "never" and tag in REGIONS
+        if not self.hidden and unwanted == "named":
+            self.outer.append(self.ruled[-1])
+            self.titled.append(False)
+            self.ruled.append(len(self.outer) - 1)
+        if tag in ("h1", "main"):
+            self.titled[self.ruled[-1]] = True
         if region:
             self.kind.append(tag)
             self.parent.append(self.inside[-1])
@@ -132,9 +154,12 @@ class _Lines(HTMLParser):
         self.at[tag].append(len(self.open))
         if tag not in _NO_END:
             self.walls.append(len(self.open))
+        if self.hidden and unwanted == "named":
+            unwanted = ""
         self.open.append((tag, unwanted, region))
-        self.hidden += unwanted
+        self.hidden += unwanted == "never"
         self.headings += tag in HEADINGS
+        self.anchors += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # HTML ignores the slash
@@ -155,12 +180,30 @@ class _Lines(HTMLParser):
                 self.walls.pop()
             if region:
                 self.inside.pop()
-            self.hidden -= unwanted
+            if unwanted == "named":
+                self.ruled.pop()
+            self.hidden -= unwanted == "never"
             self.headings -= tag in HEADINGS
+            self.anchors -= tag == "a"
 
     def handle_data(self, data):
         if not self.hidden:
             self.held.append(data)
+            self.linked += len(data.strip()) if self.anchors else 0
+
+    def wanted(self) -> list[Line]:
+        """The lines that no name rules out; the name of an element with a main heading doesn't, if it holds more than all that no name touches."""
+        own = [0] * len(self.outer)
+        for x in self.lines:
+            own[x.named] += len(x.text)
+        held, titled = own[:], self.titled[:]
+        for i in range(len(held) - 1, 0, -1):  # an element opens after those around it
+            held[self.outer[i]] += held[i]
+            titled[self.outer[i]] |= titled[i]
+        gone = [False] * len(held)
+        for i in range(1, len(held)):
+            gone[i] = gone[self.outer[i]] or not (titled[i] and held[i] > own[0])
+        return [x for x in self.lines if not gone[x.named]]
 
 
 def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -194,12 +237,13 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = _Lines()
-    end = html.rfind(">") + 1  # what begins after the last ">" is no tag, and the parser needn't look for its end
+    end = html.rfind(">") + 1  # no tag ends after the last ">", so the parser needn't look for its end
     parser.feed(html[:end])
-    parser.feed(html[end:].partition("<")[0])
+    tail = _TAG_OPEN.split(html[end:], maxsplit=1)[0]  # an unfinished tag is none and no text; any other "<" is text
+    parser.feed(tail.replace("<", "&lt;"))
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines = parser.lines = parser.wanted()
     if not lines:
         return ""
     chosen = chosen_lines(lines)
@@ -211,13 +255,23 @@ def main_text(html: str | None) -> str:
     at = [i for i, x in enumerate(chosen) if x and inside[i]]
     direct, first, last = {lines[i].region for i in at}, at[0], at[-1]
     kept = [ok and (x.region in direct or first <= i <= last) for i, (x, ok) in enumerate(zip(lines, inside, strict=True))]
-    before = kept.index(True)
-    while before and lines[before - 1].heading:
+    before, after = kept.index(True), len(kept) - 1 - kept[::-1].index(True)
+    beside = {best, parser.parent[best]}
+    near = lambda x: (x.region in beside or parser.parent[x.region] in beside) and _prose(x)
+    while before and (lines[before - 1].heading or near(lines[before - 1])):
         before -= 1
         kept[before] = True
+    while after + 1 < len(kept) and near(lines[after + 1]):
+        after += 1
+        kept[after] = True
     return " ".join(x.text for x, ok in zip(lines, kept, strict=True) if ok)
 
 
+def _prose(line: Line) -> bool:
+    """Whether a short line beside the content may be of it: a sentence that is no link for the most part and no copyright notice."""
+    return 2 * line.links < len(line.text) and "©" not in line.text and "(c)" not in line.text.lower() and line.text.rstrip("\"'”’»)")[-1:] in (".", "!", "?", "…", ":")
+
+
 def _votes(parser: _Lines, chosen: np.ndarray) -> list[int]:
     """The characters of the chosen lines in each region and those within it."""
     votes = [0] * len(parser.kind)

@@ -60,6 +60,35 @@ def test_clustering_decides_where_nothing_is_marked(monkeypatch):
     assert html_text.main_text(html) != want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("if a < b then stop here", "if a < b then stop here"),
+        ("<p>hello there</p> and 3 < 4 is true", "hello there and 3 < 4 is true"),
+        ("<p>a</p> 1 < 2 &amp; so <a href='cut", "a 1 < 2 & so"),
+        ("<p>x &lt; y < z</p>", "x < y < z"),
+    ],
+)
+def test_a_bare_sign_is_text(html, want):
+    assert html_text.main_text(html) == want
+
+
+@pytest.mark.parametrize("attr", ["class='post comments-open'", "class='content-with-sidebar'", "id='search-result-page'", "class='page has-cookie-banner'", "class='widget'", "id='header'", "role='dialog'"])
+def test_a_name_on_the_wrapper_empties_no_page(attr):
+    """Around all of the page with its main heading, a name tells nothing; parts within go as ever."""
+    assert html_text.main_text(page(f"<div {attr}>{blocks()}<div class='sidebar'><p>Other things to read now.</p></div></div>")) == WANT
+
+
+def test_long_comments_go_all_the_same():
+    comments = "<section class='comments'><h2>Comments</h2>" + "<p>I do not agree with this at all, and here is why I do not. </p>" * 60 + "</section>"
+    assert html_text.main_text(f"<html><body><div>{blocks()}</div>{comments}</body></html>") == WANT
+
+
+def test_leads_and_closings_beside_the_region():
+    html = f"<html><body>{MENU}<div>A short lead.</div><div><p>{LONG}</p><p>{LONG}</p></div><div>The end.</div><div>© 2020 Somebody.</div>{MENU}</body></html>"
+    assert html_text.main_text(html) == " ".join(["A short lead.", LONG.strip(), LONG.strip(), "The end."])
+
+
 def test_headings_and_siblings_around_the_region():
     html = f"<body><div>{MENU}</div><div><h2>Over it</h2><div><p>{LONG}</p></div><div><p>{LONG}</p></div></div><div><a href='/x'>x</a></div></body>"
     assert html_text.main_text(html) == " ".join(["Over it", LONG.strip(), LONG.strip()])
