@@ -8,9 +8,10 @@ is the earliest and stays. Later ones go, with their offsets in the original tex
 retained. Sentences are finer than the lines or paragraphs of the usual method,
 since passages may be set into other lines; ``sentences=False`` gives lines alone.
 
-``min_run_words`` spares short repeats: a repeated unit then goes only if it belongs
-to a run of such units, one after another in its text, of at least so many words.
-At 1, the default, all repeats go.
+A line all of whose units are repeats goes, whatever its length. ``min_run_words``
+spares short repeats within other lines: a repeated sentence there goes only if it
+belongs to a run of such units, one after another in its text, of at least so many
+words. At 1, the default, all repeats go.
 
 Rows are ranked by identifier and then a hash of the text, which tells rows of one
 identifier apart; cuts are made by both. Grouping sends (digest, first row, count),
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -40,12 +42,14 @@ _SENTENCES = re.compile(r".+?(?:[.!?][\x20\x09-\x0D]|\n|\Z)", re.S)
 _LINES = re.compile(r"[^\n]*\n|[^\n]+")
 
 
-def units_of(text: str, sentences: bool = True) -> list[tuple[int, int, int, int, bytes]]:
-    """(unit, start, stop, words, normalised) of a text's units; offsets are code points of the original."""
-    out = []
+def units_of(text: str, sentences: bool = True) -> list[tuple[int, int, int, int, int, bytes]]:
+    """(unit, line, start, stop, words, normalised) of a text's units; offsets are code points of the original."""
+    out, line = [], 0
     for m in (_SENTENCES if sentences else _LINES).finditer(text):
-        if words := m.group().encode().lower().split():
-            out.append((len(out), m.start(), m.end(), len(words), b" ".join(words)))
+        found = m.group()
+        if words := found.encode().lower().split():
+            out.append((len(out), line, m.start(), m.end(), len(words), b" ".join(words)))
+        line += found.endswith("\n")
     return out
 
 
@@ -55,9 +59,9 @@ def row_hash(text_col: str) -> Column:
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: bool = True) -> DataFrame:
-    """doc_id, row, unit, words, digest, and whether an earlier unit of the row is equal."""
-    schema = "doc_id long, row long, unit int, words int, digest binary, again boolean"
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
+    """doc_id, row, unit, line, line_units (how many its line has), words, digest, and whether an earlier unit of the row is equal."""
+    schema = "doc_id long, row long, unit int, line int, line_units int, words int, digest binary, again boolean"
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
     names = [x.split()[0] for x in schema.split(", ")]
 
     def batch_of(rows) -> pa.RecordBatch:
@@ -67,10 +71,11 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sente
         for batch in slices(batches):
             rows = []
             for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen = set()
-                for unit, _, _, words, key in units_of(text, sentences):
+                seen, found = set(), units_of(text, sentences)
+                many = Counter(x[1] for x in found)
+                for unit, line, _, _, words, key in found:
                     digest = hashlib.md5(key, usedforsecurity=False).digest()
-                    rows.append((doc_id, row, unit, words, digest, digest in seen))
+                    rows.append((doc_id, row, unit, line, many[line], words, digest, digest in seen))
                     seen.add(digest)
                 if len(rows) >= 50_000:
                     yield batch_of(rows)
@@ -88,11 +93,13 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = found.groupBy("digest").agg(F.min(rank).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select(fresh("digest").alias("key"), F.col("owner.doc_id").alias("owner_id"), F.col("owner.row").alias("owner_row"))
     own = F.col("doc_id").eqNullSafe(F.col("owner_id")) & (F.col("row") == F.col("owner_row"))
     later = found.withColumn("key", fresh("digest")).drop("digest").join(groups, "key").where(F.col("again") | ~own)
-    single = later.groupBy("doc_id", "row", "unit", "words").agg(F.min("owner_id").alias("owner_id"))
+    single = later.groupBy("doc_id", "row", "unit", "line", "line_units", "words").agg(F.min("owner_id").alias("owner_id"))
     text = Window.partitionBy("doc_id", "row")
     runs = single.withColumn("run", F.col("unit") - F.row_number().over(text.orderBy("unit")))
     runs = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "row", "run")))
-    return runs.where(F.col("run_words") >= min_run_words).select("doc_id", "row", "unit", "words", "owner_id", "run_words")
+    whole_line = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "row", "line")) == F.col("line_units")
+    runs = runs.withColumn("whole_line", whole_line)
+    return runs.where((F.col("run_words") >= min_run_words) | F.col("whole_line")).select("doc_id", "row", "unit", "words", "owner_id", "run_words")
 
 
 _SPANS = "array<struct<start:bigint,stop:bigint,words:int,owner_id:bigint>>"
@@ -102,7 +109,7 @@ def _rest(text: str, gone: list[dict], sentences: bool) -> tuple[str, list[dict]
     """What stays of a text without the units of ``gone``, which are in order, and their spans."""
     found, at, out, spans = units_of(text, sentences), 0, [], []
     for x in gone:
-        _, start, stop, words, _ = found[x["unit"]]
+        _, _, start, stop, words, _ = found[x["unit"]]
         out.append(text[at:start])
         spans.append({"start": start, "stop": stop, "words": words, "owner_id": x["owner_id"]})
         at = stop
@@ -139,16 +146,16 @@ def without_units(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id",
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = 1, sentences: bool = True) -> DataFrame:
-    """The rows that lose something: doc_id, text (what stays), removed (start-stop:owner_id of each cut unit), removed_words."""
+    """doc_id, text (what stays), removed (start-stop:owner_id of each cut unit), removed_words of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found, _ = _with_cut(rows, repeated_units(docs, id_col, text_col, min_run_words, sentences), "doc_id", "text", sentences, "inner")
+    found, _ = _with_cut(rows, repeated_units(docs, id_col, text_col, min_run_words, sentences), "doc_id", "text", sentences, "left")
     span = lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["stop"].cast("string"), F.lit(":"), F.coalesce(x["owner_id"].cast("string"), F.lit("")))
     words = F.aggregate("cut.removed", F.lit(0).cast("long"), lambda n, x: n + x["words"])
-    return found.select("doc_id", F.col("cut.text").alias("text"), F.array_join(F.transform("cut.removed", span), " ").alias("removed"), words.alias("removed_words"))
+    removed = F.array_join(F.transform("cut.removed", span), " ")
+    return found.select("doc_id", F.col("cut.text").alias("text"), F.coalesce(removed, F.lit("")).alias("removed"), F.coalesce(words, F.lit(0)).cast("long").alias("removed_words"))
 
 
-#: The query's ``min_run_words``: in texts that are no copies of one another, 11,305 of 12,358 repeated lines
-#: of sf0.1 have fewer words, and removing those too touches 4,450 of 9,296 documents instead of 645.
+#: The query's ``min_run_words`` for sentences within lines; repeated whole lines go at any length.
 OP2_RUN_WORDS = 20
 OP2_SQL = r"""
 WITH t AS (
@@ -159,11 +166,12 @@ WITH t AS (
   FROM t
 ), o AS (
   SELECT doc_id, row, i, raw, sum(length(raw)) OVER (PARTITION BY doc_id, row ORDER BY i) AS stop,
+         sum(CASE WHEN raw LIKE '%' || chr(10) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, row ORDER BY i) - CASE WHEN raw LIKE '%' || chr(10) THEN 1 ELSE 0 END AS line,
          trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
   FROM u
 ), n AS (
   SELECT doc_id, row, i, row_number() OVER (PARTITION BY doc_id, row ORDER BY i) AS unit, (stop - length(raw))::BIGINT AS start, stop::BIGINT AS stop,
-         len(string_split(norm, ' ')) AS words, norm
+         len(string_split(norm, ' ')) AS words, norm, line, count(*) OVER (PARTITION BY doc_id, row, line) AS line_units
   FROM o WHERE norm <> ''
 ), g AS (
   SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS LAST, row, unit) AS place,
@@ -172,14 +180,13 @@ WITH t AS (
 ), l AS (
   SELECT *, unit - row_number() OVER (PARTITION BY doc_id, row ORDER BY unit) AS run FROM g WHERE place > 1
 ), r AS (
-  SELECT *, sum(words) OVER (PARTITION BY doc_id, row, run) AS run_words FROM l
+  SELECT *, sum(words) OVER (PARTITION BY doc_id, row, run) AS run_words, count(*) OVER (PARTITION BY doc_id, row, line) = line_units AS whole_line FROM l
 ), c AS (
   SELECT o.doc_id, o.row, coalesce(string_agg(o.raw, '' ORDER BY o.i) FILTER (r.i IS NULL), '') AS text,
          string_agg(r.start || '-' || r.stop || ':' || coalesce(r.owner_id::VARCHAR, ''), ' ' ORDER BY r.start) AS removed, sum(r.words)::BIGINT AS removed_words
-  FROM o LEFT JOIN (SELECT * FROM r WHERE run_words >= 20) r ON o.doc_id IS NOT DISTINCT FROM r.doc_id AND o.row = r.row AND o.i = r.i
+  FROM o LEFT JOIN (SELECT * FROM r WHERE run_words >= 20 OR whole_line) r ON o.doc_id IS NOT DISTINCT FROM r.doc_id AND o.row = r.row AND o.i = r.i
   GROUP BY o.doc_id, o.row
 )
-SELECT d.doc_id, c.text, c.removed, c.removed_words
-FROM documents d JOIN c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND ('0x' || substr(md5(coalesce(d.text, '')), 1, 15))::BIGINT = c.row
-WHERE c.removed IS NOT NULL
+SELECT d.doc_id, coalesce(c.text, d.text) AS text, coalesce(c.removed, '') AS removed, coalesce(c.removed_words, 0) AS removed_words
+FROM documents d LEFT JOIN (SELECT * FROM c WHERE removed IS NOT NULL) c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND ('0x' || substr(md5(coalesce(d.text, '')), 1, 15))::BIGINT = c.row
 """

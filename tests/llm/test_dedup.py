@@ -214,26 +214,64 @@ def test_components_of_chains_and_stars(spark):
 # ------------------------------------------------------------------ substrings
 
 
+def scanned(text):
+    """(unit, line, start, stop, words, key) by a walk over characters, apart from the library's pattern."""
+    out, begin, line = [], 0, 0
+    while begin < len(text):
+        end = begin + 1
+        while end < len(text) and text[end] != "\n" and not (text[end] in ".!?" and text[end + 1 : end + 2] in [*" \t\n\x0b\x0c\r"]):
+            end += 1
+        end = min(len(text), end + (2 if text[end : end + 1] in [*".!?"] else 1))
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text[begin:end]).encode().split()
+        if words:
+            out.append((len(out), line, begin, end, len(words), b" ".join(words)))
+        line += text[end - 1] == "\n"
+        begin = end
+    return out
+
+
 def slow_repeats(rows, least=20):
-    """(doc_id, text) -> its repeated units that go, row by row in the order of ranks."""
+    """(doc_id, text) -> (unit, start, stop, words, owner) of its repeated units that go, row by row in the order of ranks."""
     number = lambda t: int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16)
     order = sorted(set((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, x[0] or 0, number(x[1])))
     seen, out = {}, {}
     for i, t in order:
-        run, gone = [], []
-        for u in [*substring_dedup.units_of(t), None]:
-            if u is not None and u[4] in seen:
-                run.append((*u[:4], seen[u[4]]))
+        repeats, found = {}, scanned(t)
+        for u in found:
+            if u[5] in seen:
+                repeats[u[0]] = (u[0], *u[2:5], seen[u[5]])
+            else:
+                seen[u[5]] = i
+        gone, run = set(), []
+        for unit in range(len(found) + 1):
+            if unit in repeats:
+                run.append(unit)
                 continue
-            if u is not None:
-                seen[u[4]] = i
-            if sum(x[3] for x in run) >= least:
-                gone += run
+            if sum(repeats[x][3] for x in run) >= least:
+                gone.update(run)
             run = []
-        out[i, t] = gone
+        for line in {u[1] for u in found}:
+            whole = [u[0] for u in found if u[1] == line]
+            if all(x in repeats for x in whole):
+                gone.update(whole)
+        out[i, t] = [repeats[x] for x in sorted(gone)]
     return out
 
 
+def test_units(spark):
+    rng = random.Random(8)
+    for _ in range(2_000):
+        text = "".join(rng.choice([*"aB é\n\n.!?\t\r", ". ", " b"]) for _ in range(rng.randrange(14)))
+        assert substring_dedup.units_of(text) == scanned(text), repr(text)
+
+
+def test_whole_lines_go_at_any_length(spark):
+    """A line of one word that recurs goes; a repeated sentence of few words within another line stays."""
+    rows = [(1, "Yes.\nOnce more. And this.\n"), (2, "yes.\nOnce more. But not this.\n"), (3, "Once more. And this.\nyes. "), (4, "new"), (5, None)]
+    got = {r.doc_id: (r.text, r.removed_words) for r in substring_dedup.deduplicated(docs(spark, rows), min_run_words=20).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("Once more. But not this.\n", 1), 3: ("", 5), 4: ("new", 0), 5: (None, 0)}
+
+
 def passages(seed):
     r = random.Random(seed)
     sentence = lambda k: " ".join(f"w{r.randrange(k)}" for _ in range(r.randrange(1, 30))).capitalize() + r.choice([". ", "! ", ".\n", "\n"])
@@ -269,8 +307,8 @@ def test_cut_texts_keep_the_rest(spark, least):
     want = [(i, t if t is None else rest(i, t), [(a, b) for _, a, b, *_ in gone[i, t or ""]]) for i, t in rows]
     assert sorted(((r.doc_id, r.text, [(s.start, s.stop) for s in r._removed or []]) for r in cut), key=str) == sorted(want, key=str)
     found = substring_dedup.deduplicated(frame, min_run_words=least).collect()
-    want = [(i, rest(i, t), " ".join(f"{a}-{b}:{'' if o is None else o}" for _, a, b, _, o in gone[i, t]), sum(u[3] for u in gone[i, t])) for i, t in rows if gone[i, t or ""]]
-    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+    want = [(i, rest(i, t), " ".join(f"{a}-{b}:{'' if o is None else o}" for _, a, b, _, o in gone[i, t]), sum(u[3] for u in gone[i, t])) for i, t in rows if t is not None]
+    assert sorted((tuple(r) for r in found if r.text is not None), key=str) == sorted(want, key=str)
 
 
 def test_rows_of_one_identifier_lose_only_their_own_repeats(spark):
@@ -288,8 +326,8 @@ def test_all_repeated_words_of_whole_units_go(spark):
     rows = passages(5)
     frame = docs(spark, rows)
     cut = substring_dedup.without_units(frame, substring_dedup.repeated_units(frame)).select("doc_id", "text").distinct().collect()
-    left = [u[4] for r in cut for u in substring_dedup.units_of(r.text or "")]
-    every = {u[4] for _, t in rows for u in substring_dedup.units_of(t or "")}
+    left = [u[5] for r in cut for u in scanned(r.text or "")]
+    every = {u[5] for _, t in rows for u in scanned(t or "")}
     assert sorted(left) == sorted(every)
 
 
