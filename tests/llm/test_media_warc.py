@@ -221,3 +221,32 @@ def test_hot_payload_uses_a_split_join(spark):
             spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
     assert {r.page_id: r.refers_to for r in got} == {i: 897 if i % 3 == 0 and i != 897 else None for i in range(900)}
     assert "skew=true" in plan
+
+
+def test_cut_archives_are_refused(spark, tmp_path):
+    """A stream flushed after each record and cut at a flush has whole records only, but isn't whole."""
+    record = lambda i: warc.record(i, f"http://a/{i}", b"payload " * i, None, "1970-01-01T00:00:00Z")
+    engine, parts = zlib.compressobj(1, zlib.DEFLATED, 31), []
+    for i in range(1, 6):
+        parts.append(engine.compress(record(i)) + engine.flush(zlib.Z_FULL_FLUSH))
+    whole = b"".join(parts) + engine.flush()
+
+    def normalised(data, records):
+        path = tmp_path / f"{len(data)}-{records}.warc.gz"
+        path.write_bytes(data)
+        manifest = spark.createDataFrame([(str(path), records)], "archive string, records long")
+        return warc.read_back(warc.normalise(manifest, str(tmp_path / f"out-{path.name}"))).count()
+
+    assert normalised(whole, 5) == 5
+    for data, records, said in ((b"".join(parts[:3]), 5, "within a gzip member"), (b"".join(parts[:3]), 3, "within a gzip member"), (whole, 6, "5 records, 6 were written"), (whole[:-40], 5, "ends within"), (gzip.compress(record(1)) + gzip.compress(record(2))[:-1], 2, "within a gzip member")):
+        with pytest.raises(Exception, match=said):
+            normalised(data, records)
+
+
+def test_a_short_index_is_refused(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"http://a/{i}", f"page {i}") for i in range(4)], "page_id long, url string, html string")
+    members = warc.normalise(warc.write_monolithic(warc.with_revisits(rows.coalesce(1)), str(tmp_path / "raw")), str(tmp_path / "clean"))
+    index = next((tmp_path / "clean").glob("*.idx"))
+    index.write_bytes(b"".join(index.read_bytes().splitlines(True)[:-1]))
+    with pytest.raises(Exception, match="3 records, 4 were written"):
+        warc.read_back(members).count()
