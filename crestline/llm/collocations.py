@@ -9,9 +9,11 @@ Most windows of natural text are unlike any other, and counting them all would m
 several times the text. But a phrase that occurs ``least`` times consists of words
 and pairs that do. So words are counted first, then pairs of frequent words, and a
 window ends before its first rare pair: this shortens no occurrence of a phrase that
-may be a candidate, or of a part of one. What is frequent goes to the tasks as a Bloom
-filter of bounded size, which takes some rare ones for frequent and never the other
-way; the exact counts then drop what came along, so its size never shows in a result.
+may be a candidate, or of a part of one. Pairs are counted by hash in buckets, whose
+number follows the words': what a task counts travels as gaps between buckets, and
+segments of fixed width are summed. What is frequent goes to the tasks as bits of
+bounded number, which take some rare ones for frequent and never the other way; the
+exact counts then drop what came along, so sizes of filters never show in a result.
 
 Words are split from the bytes of many texts at once; texts are read three times, and
 only counts are shuffled, summed in each task first. Numbers are exact: products are
@@ -42,8 +44,10 @@ from crestline.llm.common import drop_written, slices, text_or_empty, tidy, writ
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Words of a window.
 LONGEST = 5
-#: Bits of a filter: at most, and at least for each key. Hashes for each key.
+#: Bits of a filter: at most, and at least for each word. Hashes for each word.
 _MOST_BITS, _BITS_EACH, _HASHES = 1 << 27, 16, 4
+#: Buckets of a segment, and pairs that a task holds before it passes their counts on.
+_SEGMENT, _HELD = 1 << 20, 4_000_000
 
 _SPACE = pa.scalar(" ", pa.large_string())
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -54,10 +58,11 @@ _KIND[list(BREAKS)] = 2
 
 
 class Words(NamedTuple):
-    """The words of some texts: of each its key and piece; of each key its language, word and count."""
+    """The words of some texts: of each its key, piece and text; of each key its language, word and count."""
 
     key: np.ndarray
     piece: np.ndarray
+    text: np.ndarray
     lang: pa.Array
     word: pa.Array
     many: np.ndarray
@@ -85,7 +90,7 @@ def words_of(texts: pa.Array, langs: pa.Array) -> Words:
     tongue = tongues.indices.to_numpy(zero_copy_only=False)[text].astype(np.int64) if len(start) else np.zeros(0, np.int64)
     size = max(1, len(words.dictionary))
     known, key, many = np.unique(tongue * size + words.indices.to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
-    return Words(key, piece, tongues.dictionary.take(pa.array(known // size)), words.dictionary.take(pa.array(known % size)), many)
+    return Words(key, piece, text, tongues.dictionary.take(pa.array(known // size)), words.dictionary.take(pa.array(known % size)), many)
 
 
 def _batches(batches, most: int = 2_000) -> Iterator[Words]:
@@ -124,11 +129,6 @@ def _hash(word: Column) -> Column:
     return F.xxhash64(F.concat_ws(" ", "lang", word))
 
 
-def _pair_hash(first: Column, second: Column) -> Column:
-    h = _hash(second)
-    return _hash(first).bitwiseXOR(F.shiftleft(h, 23).bitwiseOR(F.shiftrightunsigned(h, 41)))
-
-
 def _hashes(w: Words) -> np.ndarray:
     joined = pc.binary_join_element_wise(w.lang.cast(pa.large_string()), w.word, _SPACE).cast(pa.large_binary())
     return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in joined.to_pylist()), np.uint64, len(joined))
@@ -138,74 +138,130 @@ def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return first ^ (second << np.uint64(23) | second >> np.uint64(41))
 
 
-def bloom(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of the column ``h``, as 64-bit words: some bits for each key, and no more than a fixed size."""
-    bits = min(_MOST_BITS, max(1 << 12, 1 << (_BITS_EACH * keys.count()).bit_length()))
-    low, high = F.col("h").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1).cast("long"))
-    places = F.array(*((low + i * high).bitwiseAND(bits - 1) for i in range(_HASHES)))
-    blocks = keys.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 6).alias("block"))
+def bits_of(places: DataFrame, size: int) -> np.ndarray:
+    """``size`` bits in 64-bit words, of which those in the column ``at`` are set."""
+    blocks = places.groupBy(F.shiftright("at", 6).alias("block"))
     found = blocks.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
+    out = np.zeros(size // 64, np.uint64)
     out[found["block"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 
+def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def bloom(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``h``: some bits for each key, and no more than a fixed number."""
+    size = min(_MOST_BITS, max(1 << 12, 1 << (_BITS_EACH * keys.count()).bit_length()))
+    low, high = F.col("h").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1).cast("long"))
+    places = F.array(*((low + i * high).bitwiseAND(size - 1) for i in range(_HASHES)))
+    return bits_of(keys.select(F.explode(places).alias("at")), size)
+
+
 def _held(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether each hash may be a key of the filter."""
     low, high, ok = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1), np.ones(len(h), bool)
     for i in range(_HASHES):
-        at = (low + np.uint64(i) * high) & np.uint64(len(filter_) * 64 - 1)
-        ok &= (filter_[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        ok &= _set(filter_, (low + np.uint64(i) * high) & np.uint64(len(filter_) * 64 - 1))
     return ok
 
 
 # --- pairs and windows ---
 
 
-def _pairs_at(w: Words, frequent: np.ndarray) -> np.ndarray:
-    """Where a frequent word has a frequent one after it in its piece."""
-    ok = _held(frequent, _hashes(w))[w.key]
-    return np.flatnonzero(ok[:-1] & ok[1:] & (w.piece[:-1] == w.piece[1:]))
+def _pairs_at(w: Words, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a frequent word has a frequent one after it in its piece, and the hashes of these pairs."""
+    h = _hashes(w)
+    ok = _held(frequent, h)[w.key]
+    at = np.flatnonzero(ok[:-1] & ok[1:] & (w.piece[:-1] == w.piece[1:]))
+    return at, _pair_hashes(h[w.key[at]], h[w.key[at + 1]])
 
 
-def pair_counts(rows: DataFrame, frequent) -> DataFrame:
-    """lang, phrase (two words) and n of pairs of words that the broadcast filter ``frequent`` has."""
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers with their first bytes together and so on, which leaves little after compression."""
+    return values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    def run(batches):
-        for w in _batches(batches):
-            at = _pairs_at(w, frequent.value)
-            size = max(1, len(w.word))
-            known, many = np.unique(w.key[at] * size + w.key[at + 1], return_counts=True)
-            first, second = pa.array(known // size), pa.array(known % size)
-            yield _row(many, lang=w.lang.take(first), phrase=pc.binary_join_element_wise(w.word.take(first), w.word.take(second), _SPACE))
 
-    return _counts(rows, run, ["lang", "phrase"])
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
 
 
-_WINDOW = [f"w{i}" for i in range(1, LONGEST + 1)]
+def frequent_pairs(rows: DataFrame, frequent, words: int, least: int) -> np.ndarray:
+    """Bits of the buckets in which pairs of words that the broadcast filter has come to at least ``least``."""
+    buckets = max(_SEGMENT, 1 << (words // 4).bit_length())
 
+    def counted(held: list[np.ndarray]):
+        found, many = np.unique(np.concatenate(held), return_counts=True)
+        segment, first = np.unique(found // _SEGMENT, return_index=True)
+        gaps = [_planes(np.diff(x, prepend=0)) for x in np.split(found % _SEGMENT, first[1:])]
+        return pa.record_batch([pa.array(segment, pa.int64()), pa.array(gaps, pa.binary()), pa.array([_planes(x) for x in np.split(many, first[1:])], pa.binary())], ["segment", "gaps", "many"])
 
-def window_counts(rows: DataFrame, frequent, pairs) -> DataFrame:
-    """lang, w1 to w5 and n of the windows that begin with a frequent pair; null pads a window that ends."""
+    def count(batches):
+        held: list[np.ndarray] = []
+        for w in _batches(batches):
+            held.append((_pairs_at(w, frequent.value)[1] & np.uint64(buckets - 1)).astype(np.int64))
+            if sum(map(len, held)) >= _HELD:
+                yield counted(held)
+                held = []
+        if sum(map(len, held)):
+            yield counted(held)
+
+    def often(segment: int, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(segment * _SEGMENT + np.flatnonzero(counts >= least))], ["bucket"])
+
+    def merge(batches):
+        now, counts = None, None  # a segment's rows follow one another, over batches too
+        for batch in batches:
+            for segment, gaps, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if segment != now:
+                    if now is not None:
+                        yield often(now, counts)
+                    now, counts = segment, np.zeros(_SEGMENT, np.int64)
+                counts[np.cumsum(_unplaned(gaps), dtype=np.int64)] += _unplaned(many)
+        if now is not None:
+            yield often(now, counts)
+
+    partial = rows.mapInArrow(tidy(count), "segment long, gaps binary, many binary")
+    dealt = partial.repartition(max(1, min(buckets // _SEGMENT, 10_000)), "segment").sortWithinPartitions("segment")
+    size = min(_MOST_BITS, buckets)
+    return bits_of(dealt.mapInArrow(tidy(merge), "bucket long").select(F.col("bucket").bitwiseAND(size - 1).alias("at")), size)
+
+
+def runs(rows: DataFrame, frequent, pairs) -> DataFrame:
+    """lang and words of each text: those of its frequent pairs in order, null after a word that isn't linked to the next."""
 
     def run(batches):
-        for w in _batches(batches):
-            at, hashes = _pairs_at(w, frequent.value), _hashes(w)
-            at = at[_held(pairs.value, _pair_hashes(hashes[w.key[at]], hashes[w.key[at + 1]]))]
-            linked = np.zeros(len(w.key) + LONGEST, bool)
+        for batch in slices(batches, 2_000):
+            w = words_of(batch.column(0), batch.column(1))
+            at, h = _pairs_at(w, frequent.value)
+            at = at[_set(pairs.value, h & np.uint64(len(pairs.value) * 64 - 1))]
+            linked = np.zeros(len(w.key) + 1, bool)
             linked[at] = True
-            size = len(w.word) + 1
-            column, going = [w.key[at]], np.ones(len(at), bool)
-            ids = column[0].astype(np.int64)
-            for i in range(1, LONGEST):
-                going = going & linked[at + i - 1]
-                column.append(np.where(going, w.key[np.minimum(at + i, len(w.key) - 1)], size - 1))
-                ids = np.unique(ids * size + column[-1], return_inverse=True)[1].astype(np.int64)
-            _, one, many = np.unique(ids, return_index=True, return_counts=True)
-            parts = [pa.array(x[one], mask=x[one] == size - 1) for x in column]
-            yield _row(many, lang=w.lang.take(parts[0]), **{name: w.word.take(x) for name, x in zip(_WINDOW, parts, strict=True)})
+            kept = np.flatnonzero(linked[:-1] | np.append(False, linked[:-2])) if len(w.key) else at
+            ends = ~linked[kept]
+            place = np.arange(len(kept)) + np.cumsum(ends) - ends
+            values = np.full(len(kept) + int(ends.sum()), len(w.word))
+            values[place] = w.key[kept]
+            words = w.word.cast(pa.string()).take(pa.array(values, mask=values == len(w.word)))
+            many = np.bincount(w.text[kept], weights=1 + ends, minlength=batch.num_rows).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), words)
+            full = pa.array(many > 0)
+            yield pa.record_batch([batch.column(1).filter(full), lists.filter(full)], ["lang", "words"])
 
-    return _counts(rows, run, ["lang", *_WINDOW])
+    return rows.mapInArrow(tidy(run), "lang string, words array<string>")
+
+
+_WINDOW = [f"w{i}" for i in range(1, LONGEST + 1)]
+
+
+def window_counts(found: DataFrame) -> DataFrame:
+    """lang, w1 to w5 and n of the windows that begin with a pair; null pads a window that ends."""
+    lead = ", ".join(f"slice(words, {i}, size(words))" for i in range(1, LONGEST + 1))
+    led = found.select("lang", F.expr(f"inline(arrays_zip({lead}))").alias(*_WINDOW)).where("w1 IS NOT NULL AND w2 IS NOT NULL")
+    for before, name in zip(_WINDOW[2:], _WINDOW[3:]):
+        led = led.withColumn(name, F.when(F.col(before).isNotNull(), F.col(name)))
+    return led.groupBy("lang", *_WINDOW).agg(F.count(F.lit(1)).alias("n"))
 
 
 def phrase_counts(windows: DataFrame, least: int) -> DataFrame:
@@ -268,12 +324,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     every = written(word_counts(rows), "words")
     often = every.where(F.col("n") >= least)
     frequent = context.broadcast(bloom(often.select(_hash(F.col("phrase")).alias("h"))))
-    pairs = written(pair_counts(rows, frequent).where(F.col("n") >= least).select("lang", F.split("phrase", " ").alias("p")), "pairs")
-    linked = context.broadcast(bloom(pairs.select(_pair_hash(F.col("p")[0], F.col("p")[1]).alias("h"))))
-    phrases = written(phrase_counts(window_counts(rows, frequent, linked), least).unionByName(often), "phrases")
     sizes = written(every.groupBy("lang").agg(F.sum("n").alias("n")), "language-sizes")
-    for table in (every, pairs):
-        drop_written(table)
+    words = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pairs = context.broadcast(frequent_pairs(rows, frequent, words, least))
+    phrases = written(phrase_counts(window_counts(runs(rows, frequent, pairs)), least).unionByName(often), "phrases")
+    drop_written(every)
     scores = written(scored(phrases, sizes), "collocations")
     for table in (phrases, sizes):
         drop_written(table)

@@ -65,7 +65,7 @@ def test_filter_holds_its_keys(spark):
     keys = [f"k{i}" for i in range(3_000)]
     frame = spark.createDataFrame([("en", k) for k in keys], "lang string, phrase string")
     made = C.bloom(frame.select(C._hash(frame.phrase).alias("h")))
-    of = lambda names: C._hashes(C.Words(None, None, pa.array(["en"] * len(names)), pa.array(names, pa.large_string()), None))
+    of = lambda names: C._hashes(C.Words(None, None, None, pa.array(["en"] * len(names)), pa.array(names, pa.large_string()), None))
     assert C._held(made, of(keys)).all()
     assert C._held(made, of([f"other{i}" for i in range(3_000)])).mean() < 0.02
 
