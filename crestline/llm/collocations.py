@@ -7,15 +7,15 @@ shorter prefixes, gives the counts of all phrases without n-gram explosions of t
 
 Most windows of natural text are unlike any other, and counting them all would move
 several times the text. But a phrase that occurs ``least`` times consists of words
-and pairs that do. So words are counted first, then pairs of frequent words, and a
-window ends before its first rare pair: this shortens no occurrence of a phrase that
-may be a candidate, or of a part of one. Pairs are counted by hash in buckets, whose
-number follows the words': what a task counts travels as gaps between buckets, and
-segments of fixed width are summed. What is frequent goes to the tasks as bits of
+pairs and triples that do. So words are counted first, then pairs of frequent words, then
+triples of frequent pairs, and a window ends where its first rare one does: this shortens
+no occurrence of a phrase that may be a candidate, or of a part of one. Pairs and triples
+are counted by hash in buckets, whose number follows the words': what a task counts
+travels as gaps between buckets, and segments of fixed width are summed. What is frequent goes to the tasks as bits of
 bounded number, which take some rare ones for frequent and never the other way; the
 exact counts then drop what came along, so sizes of filters never show in a result.
 
-Words are split from the bytes of many texts at once; texts are read three times, and
+Words are split from the bytes of many texts at once; texts are read four times, and
 only counts are shuffled, summed in each task first. Numbers are exact: products are
 decimals of 38 digits, good for counts of up to 10^15.
 
@@ -134,8 +134,12 @@ def _hashes(w: Words) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in joined.to_pylist()), np.uint64, len(joined))
 
 
-def _pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return first ^ (second << np.uint64(23) | second >> np.uint64(41))
+def _joined(*hashes: np.ndarray) -> np.ndarray:
+    """The hash of words in a row, from theirs."""
+    out = hashes[0]
+    for i, h in enumerate(hashes[1:], 1):
+        out = out ^ (h << np.uint64(23 * i) | h >> np.uint64(64 - 23 * i))
+    return out
 
 
 def bits_of(places: DataFrame, size: int) -> np.ndarray:
@@ -170,12 +174,31 @@ def _held(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
 # --- pairs and windows ---
 
 
-def _pairs_at(w: Words, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a frequent word has a frequent one after it in its piece, and the hashes of these pairs."""
-    h = _hashes(w)
+def _pairs_at(w: Words, h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Where a frequent word has a frequent one after it in its piece."""
     ok = _held(frequent, h)[w.key]
-    at = np.flatnonzero(ok[:-1] & ok[1:] & (w.piece[:-1] == w.piece[1:]))
-    return at, _pair_hashes(h[w.key[at]], h[w.key[at + 1]])
+    return np.flatnonzero(ok[:-1] & ok[1:] & (w.piece[:-1] == w.piece[1:]))
+
+
+def _pair_hashes(w: Words, frequent: np.ndarray) -> np.ndarray:
+    h = _hashes(w)
+    at = _pairs_at(w, h, frequent)
+    return _joined(h[w.key[at]], h[w.key[at + 1]])
+
+
+def _linked(w: Words, frequent: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where frequent pairs begin, which of them have another that begins at their second word, and the hashes of those triples."""
+    h = _hashes(w)
+    at = _pairs_at(w, h, frequent)
+    at = at[_in(pairs, _joined(h[w.key[at]], h[w.key[at + 1]]))]
+    on = np.append(at[1:] == at[:-1] + 1, False)[: len(at)]
+    first = at[on]
+    return at, on, _joined(h[w.key[first]], h[w.key[first + 1]], h[w.key[np.minimum(first + 2, len(w.key) - 1)]])
+
+
+def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bucket of each hash is set."""
+    return _set(bits, h & np.uint64(len(bits) * 64 - 1))
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -187,8 +210,8 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
 
 
-def frequent_pairs(rows: DataFrame, frequent, words: int, least: int) -> np.ndarray:
-    """Bits of the buckets in which pairs of words that the broadcast filter has come to at least ``least``."""
+def frequent_buckets(rows: DataFrame, hashes, words: int, least: int) -> np.ndarray:
+    """Bits of the buckets in which what ``hashes`` finds in some Words comes to at least ``least``; ``words``: of all texts."""
     buckets = max(_SEGMENT, 1 << (words // 4).bit_length())
 
     def counted(held: list[np.ndarray]):
@@ -200,7 +223,7 @@ def frequent_pairs(rows: DataFrame, frequent, words: int, least: int) -> np.ndar
     def count(batches):
         held: list[np.ndarray] = []
         for w in _batches(batches):
-            held.append((_pairs_at(w, frequent.value)[1] & np.uint64(buckets - 1)).astype(np.int64))
+            held.append((hashes(w) & np.uint64(buckets - 1)).astype(np.int64))
             if sum(map(len, held)) >= _HELD:
                 yield counted(held)
                 held = []
@@ -228,23 +251,25 @@ def frequent_pairs(rows: DataFrame, frequent, words: int, least: int) -> np.ndar
     return bits_of(dealt.mapInArrow(tidy(merge), "bucket long").select(F.col("bucket").bitwiseAND(size - 1).alias("at")), size)
 
 
-def runs(rows: DataFrame, frequent, pairs) -> DataFrame:
-    """lang and words of each text: those of its frequent pairs in order, null after a word that isn't linked to the next."""
+def runs(rows: DataFrame, frequent, pairs, triples) -> DataFrame:
+    """lang and words of each text: runs of words in which all pairs and triples are frequent, a null after each.
+
+    Where a triple is rare, a run ends with its second word and the next begins with it,
+    so every frequent pair is in one run.
+    """
 
     def run(batches):
         for batch in slices(batches, 2_000):
             w = words_of(batch.column(0), batch.column(1))
-            at, h = _pairs_at(w, frequent.value)
-            at = at[_set(pairs.value, h & np.uint64(len(pairs.value) * 64 - 1))]
-            linked = np.zeros(len(w.key) + 1, bool)
-            linked[at] = True
-            kept = np.flatnonzero(linked[:-1] | np.append(False, linked[:-2])) if len(w.key) else at
-            ends = ~linked[kept]
-            place = np.arange(len(kept)) + np.cumsum(ends) - ends
-            values = np.full(len(kept) + int(ends.sum()), len(w.word))
-            values[place] = w.key[kept]
+            at, on, h = _linked(w, frequent.value, pairs.value)
+            ends = ~on
+            ends[on] = ~_in(triples.value, h)
+            place = np.arange(len(at)) + 2 * (np.cumsum(ends) - ends)
+            values = np.full(len(at) + 2 * int(ends.sum()), len(w.word))
+            values[place] = w.key[at]
+            values[place[ends] + 1] = w.key[at[ends] + 1]
             words = w.word.cast(pa.string()).take(pa.array(values, mask=values == len(w.word)))
-            many = np.bincount(w.text[kept], weights=1 + ends, minlength=batch.num_rows).astype(np.int32)
+            many = np.bincount(w.text[at], weights=1 + 2 * ends, minlength=batch.num_rows).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), words)
             full = pa.array(many > 0)
             yield pa.record_batch([batch.column(1).filter(full), lists.filter(full)], ["lang", "words"])
@@ -326,8 +351,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     frequent = context.broadcast(bloom(often.select(_hash(F.col("phrase")).alias("h"))))
     sizes = written(every.groupBy("lang").agg(F.sum("n").alias("n")), "language-sizes")
     words = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs = context.broadcast(frequent_pairs(rows, frequent, words, least))
-    phrases = written(phrase_counts(window_counts(runs(rows, frequent, pairs)), least).unionByName(often), "phrases")
+    pairs = context.broadcast(frequent_buckets(rows, lambda w: _pair_hashes(w, frequent.value), words, least))
+    triples = context.broadcast(frequent_buckets(rows, lambda w: _linked(w, frequent.value, pairs.value)[2], words, least))
+    phrases = written(phrase_counts(window_counts(runs(rows, frequent, pairs, triples)), least).unionByName(often), "phrases")
     drop_written(every)
     scores = written(scored(phrases, sizes), "collocations")
     for table in (phrases, sizes):
