@@ -180,4 +180,7 @@ def candidates(scores: DataFrame, p: DetectParams = DetectParams()) -> DataFrame
     first = F.greatest("first", low)
     last = F.least(F.col("last"), high, first + p.most_candidates - 1)
     within = enough.select("series_id", "score", first.alias("first"), last.alias("last")).where("first <= last")
+    if p.most_candidates > _RUN:  # in pieces, so that no array is as long as a run
+        pieces = F.explode(F.sequence("first", "last", F.lit(_RUN).cast("bigint")))
+        within = within.select("series_id", "score", "last", pieces.alias("first")).withColumn("last", F.least(F.col("first") + _RUN - 1, "last"))
     return within.select("series_id", F.explode(F.sequence("first", "last")).alias("second"), "score")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crestline.functions.text import clock, escape_text, file_clock, tenths
 from crestline.operators import series as S
-from crestline.operators.peaks import select_peaks
+from crestline.operators.rounds import chosen_peaks
 from crestline.params import DetectParams
 
 #: Filter graph sources, sizes (font, x, y, logo height), file names and messages of the output format,
@@ -33,7 +33,7 @@ def scores(samples: DataFrame, p: DetectParams = DetectParams()) -> tuple[DataFr
 
 def detect(samples: DataFrame, p: DetectParams = DetectParams()) -> DataFrame:
     """(series_id, rank, second, score): every series' peaks, best first. Series that are too short have none."""
-    return select_peaks(S.candidates(scores(samples, p)[1], p), p)
+    return chosen_peaks(S.candidates(scores(samples, p)[1], p), p)
 
 
 def statuses(samples: DataFrame, p: DetectParams = DetectParams(), strict: bool = False) -> DataFrame:
@@ -52,7 +52,7 @@ def statuses(samples: DataFrame, p: DetectParams = DetectParams(), strict: bool
 def completion(samples: DataFrame, p: DetectParams = DetectParams()) -> DataFrame:
     """(series_id, status, clips): how many clips each series gets, and why if there are none."""
     states, scored = scores(samples, p)
-    counts = select_peaks(S.candidates(scored, p), p).groupBy("series_id").agg(F.count(F.lit(1)).alias("clips"))
+    counts = chosen_peaks(S.candidates(scored, p), p).groupBy("series_id").agg(F.count(F.lit(1)).alias("clips"))
     found = states.join(counts, "series_id", "left").withColumn("clips", F.coalesce("clips", F.lit(0).cast("long")))
     return found.select("series_id", F.when(F.col("status") != "ok", F.col("status")).when(F.col("clips") > 0, "ok").otherwise("no_peaks").alias("status"), "clips")
 

@@ -80,6 +80,11 @@ def peaks(spark, sf_dir):
     return _peaks(spark, sf_dir)
 
 
+def many_peaks(spark, sf_dir):
+    """All peaks of the events by the minute, in rounds over stretches."""
+    return H.detect(_samples(spark, sf_dir), DetectParams(bucket_seconds=60, floor=0.0, decimals=2, k=100_000))
+
+
 def series_status(spark, sf_dir):
     """Per user, so that many series are too short."""
     samples = V.from_events(_table(spark, sf_dir, "events"), series="user_id", floor=P.floor)
@@ -282,7 +287,7 @@ def request_status(spark, sf_dir):
 
 
 FUNCTIONS = [
-    parse_levels, bucket_max, observed_guard, densify, smooth, baseline, scored_candidates, peaks, series_status, clip_plan, summary, report, readable_time, escape_text,
+    parse_levels, bucket_max, observed_guard, densify, smooth, baseline, scored_candidates, peaks, many_peaks, series_status, clip_plan, summary, report, readable_time, escape_text,
     strip_entry, render_filter, render_command, config_json, tail_lines, last_error, progress_throttle, version_check, remote_entry, stream_buckets,
     stream_throttle, level_files, ordered_lines, guard_detail, stream_levels, format_choice, config_out, completion, request_status,
 ]
@@ -478,6 +483,13 @@ SQL["guard_detail"] = _with(_USER_LINES + r""", times AS (
   SELECT user_id, coalesce(string_agg(line, chr(10) ORDER BY event_id) FILTER (line <> ''), '') AS detail FROM ends GROUP BY user_id
 )""", "SELECT user_id, observed, n, CASE WHEN observed < 80 THEN 'too_short' ELSE 'ok' END AS status, CASE WHEN observed < 80 THEN detail END AS detail FROM states JOIN details USING (user_id)")
 SQL["stream_throttle"] = SQL["progress_throttle"]
+#: The literal loop: each step carries what is left of every series and the best of it.
+SQL["many_peaks"] = _with(_CANDIDATES.replace("/ 3600000000", "/ 60000000") + """, steps(series_id, second, score, rank, best, top) AS (
+  SELECT series_id, second, score, 1, first_value(second) OVER w, first_value(score) OVER w FROM candidates WINDOW w AS (PARTITION BY series_id ORDER BY score DESC, second)
+  UNION ALL
+  SELECT series_id, second, score, rank + 1, first_value(second) OVER w, first_value(score) OVER w
+  FROM steps WHERE second < best - 75 OR second >= best + 75 WINDOW w AS (PARTITION BY series_id ORDER BY score DESC, second)
+)""", "SELECT DISTINCT series_id, rank, best AS second, top AS score FROM steps WHERE rank <= 100000", True)
 
 
 def queries():
