@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline.functions import text as X
+from crestline.functions.sql import register
 from crestline.operators import guard as G
 from crestline.operators import lines as L
 from crestline.operators import series as S
@@ -18,6 +19,7 @@ from crestline.plans import highlights as H
 from crestline.shared import scratch
 from crestline.sources import levels as V
 from crestline.sources import ordered as O
+from crestline.sources import reports as R
 from crestline.streaming.levels import bucket_stream, keep_buckets, throttle_stream
 
 P = DetectParams(bucket_seconds=3600, floor=0.0, decimals=2)
@@ -85,6 +87,15 @@ def many_peaks(spark, sf_dir):
     return H.detect(_samples(spark, sf_dir), DetectParams(bucket_seconds=60, floor=0.0, decimals=2, k=100_000))
 
 
+def sql_peaks(spark, sf_dir):
+    """The peaks by the table function in SQL, over the scores of dense series."""
+    register(spark)
+    buckets = S.bucket_max(_samples(spark, sf_dir), P)
+    long_enough = buckets.join(S.observed(buckets, P).where("status = 'ok'").select("series_id"), "series_id", "semi")
+    scored = S.scored(S.smooth(S.densify(long_enough, P), P))
+    return spark.sql("SELECT series_id, rank, second, score FROM pick_peaks(TABLE({scored}), k => 6, duration => 45)", scored=scored)
+
+
 def series_status(spark, sf_dir):
     """Per user, so that many series are too short."""
     samples = V.from_events(_table(spark, sf_dir, "events"), series="user_id", floor=P.floor)
@@ -103,6 +114,13 @@ def report(spark, sf_dir):
     return H.report(H.summary(_peaks(spark, sf_dir)))
 
 
+def report_files(spark, sf_dir):
+    """The reports as files, by the sink, read back."""
+    folder = scratch(spark, "reports")
+    R.write_reports(H.summary(_peaks(spark, sf_dir)), folder)
+    return R.read_reports(spark, folder)
+
+
 def readable_time(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders")
     return orders.select("o_orderkey", X.clock(F.col("o_totalprice")).alias("clock"), X.file_clock(F.col("o_totalprice")).alias("file_clock"))
@@ -287,7 +305,7 @@ def request_status(spark, sf_dir):
 
 
 FUNCTIONS = [
-    parse_levels, bucket_max, observed_guard, densify, smooth, baseline, scored_candidates, peaks, many_peaks, series_status, clip_plan, summary, report, readable_time, escape_text,
+    parse_levels, bucket_max, observed_guard, densify, smooth, baseline, scored_candidates, peaks, many_peaks, sql_peaks, series_status, clip_plan, summary, report, report_files, readable_time, escape_text,
     strip_entry, render_filter, render_command, config_json, tail_lines, last_error, progress_throttle, version_check, remote_entry, stream_buckets,
     stream_throttle, level_files, ordered_lines, guard_detail, stream_levels, format_choice, config_out, completion, request_status,
 ]
@@ -483,6 +501,7 @@ SQL["guard_detail"] = _with(_USER_LINES + r""", times AS (
   SELECT user_id, coalesce(string_agg(line, chr(10) ORDER BY event_id) FILTER (line <> ''), '') AS detail FROM ends GROUP BY user_id
 )""", "SELECT user_id, observed, n, CASE WHEN observed < 80 THEN 'too_short' ELSE 'ok' END AS status, CASE WHEN observed < 80 THEN detail END AS detail FROM states JOIN details USING (user_id)")
 SQL["stream_throttle"] = SQL["progress_throttle"]
+SQL["sql_peaks"], SQL["report_files"] = SQL["peaks"], SQL["report"]
 #: The literal loop: each step carries what is left of every series and the best of it.
 SQL["many_peaks"] = _with(_CANDIDATES.replace("/ 3600000000", "/ 60000000") + """, steps(series_id, second, score, rank, best, top) AS (
   SELECT series_id, second, score, 1, first_value(second) OVER w, first_value(score) OVER w FROM candidates WINDOW w AS (PARTITION BY series_id ORDER BY score DESC, second)
