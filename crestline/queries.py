@@ -21,6 +21,8 @@ from crestline.sources import levels as V
 from crestline.sources import ordered as O
 from crestline.sources import reports as R
 from crestline.streaming.levels import bucket_stream, keep_buckets, throttle_stream
+from crestline.streaming.smoothing import keep_smoothed
+from crestline.streaming.smoothing import smooth_stream as smooth_samples
 
 P = DetectParams(bucket_seconds=3600, floor=0.0, decimals=2)
 
@@ -213,6 +215,21 @@ def stream_throttle(spark, sf_dir):
     return spark.read.schema(reported.schema).parquet(f"{folder}/reported").withColumn("user_id", F.col("user_id").cast("bigint"))
 
 
+def smooth_stream(spark, sf_dir):
+    """The streaming smoothing over the events, written as a stream's files, with a restart before a row far beyond them that ends all series."""
+    folder = scratch(spark, "smooth-stream")
+    samples = _table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("level"))
+    samples.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(samples.schema).parquet(f"{folder}/in")
+    smoothed = lambda: keep_smoothed(smooth_samples(stream, P, late="31 days"), folder)[0]
+    smoothed()
+    beyond = spark.range(1).select(F.lit(None).cast("string").alias("series_id"), F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit(0.0).alias("level"))
+    beyond.write.mode("append").parquet(f"{folder}/in")
+    runs = smoothed().where("series_id IS NOT NULL")
+    pieces = runs.select("series_id", "last", "smoothed", F.explode(F.sequence("first", "last", F.lit(65_536).cast("bigint"))).alias("first"))
+    return pieces.select("series_id", F.explode(F.sequence("first", F.least("last", F.col("first") + 65_535))).alias("second"), "smoothed")
+
+
 def _line_files(spark, sf_dir) -> str:
     """The events' lines as text files, in a folder for each event type; the files' own names are the same in all."""
     folder = scratch(spark, "lines")
@@ -307,7 +324,7 @@ def request_status(spark, sf_dir):
 FUNCTIONS = [
     parse_levels, bucket_max, observed_guard, densify, smooth, baseline, scored_candidates, peaks, many_peaks, sql_peaks, series_status, clip_plan, summary, report, report_files, readable_time, escape_text,
     strip_entry, render_filter, render_command, config_json, tail_lines, last_error, progress_throttle, version_check, remote_entry, stream_buckets,
-    stream_throttle, level_files, ordered_lines, guard_detail, stream_levels, format_choice, config_out, completion, request_status,
+    stream_throttle, smooth_stream, level_files, ordered_lines, guard_detail, stream_levels, format_choice, config_out, completion, request_status,
 ]
 
 # ---------------------------------------------------------------- SQL for DuckDB
@@ -501,6 +518,7 @@ SQL["guard_detail"] = _with(_USER_LINES + r""", times AS (
   SELECT user_id, coalesce(string_agg(line, chr(10) ORDER BY event_id) FILTER (line <> ''), '') AS detail FROM ends GROUP BY user_id
 )""", "SELECT user_id, observed, n, CASE WHEN observed < 80 THEN 'too_short' ELSE 'ok' END AS status, CASE WHEN observed < 80 THEN detail END AS detail FROM states JOIN details USING (user_id)")
 SQL["stream_throttle"] = SQL["progress_throttle"]
+SQL["smooth_stream"] = SQL["smooth"]
 SQL["sql_peaks"], SQL["report_files"] = SQL["peaks"], SQL["report"]
 #: The literal loop: each step carries what is left of every series and the best of it.
 SQL["many_peaks"] = _with(_CANDIDATES.replace("/ 3600000000", "/ 60000000") + """, steps(series_id, second, score, rank, best, top) AS (

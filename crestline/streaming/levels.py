@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
@@ -78,6 +78,13 @@ def _rising_of_batches(batches):
         yield from rising([ordered])
 
 
+def rocksdb_state(spark: SparkSession) -> None:
+    """Have the session keep state in RocksDB unless another provider than the default, which can't hold typed state, was chosen."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(provider).endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def throttle_stream(values: DataFrame, key: str, order: str, value: str, step: float = 10.0, start: float = -10.0, idle: float | None = None) -> DataFrame:
     """(key, order, value) of a stream's rows that are at least ``step`` above the last one reported of their key.
 
@@ -90,10 +97,7 @@ def throttle_stream(values: DataFrame, key: str, order: str, value: str, step: f
     """
     if step <= 0:
         raise ValueError("step must be positive")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    conf = values.sparkSession.conf
-    if conf.get(provider).endswith("HDFSBackedStateStoreProvider"):  # the default, which can't hold such state
-        conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rocksdb_state(values.sparkSession)
     rows = numbers(values, key, order, value).select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), F.col(value).alias("v"))
     few = rows.mapInArrow(_rising_of_batches, rows.schema)
     mode = "None" if idle is None else "ProcessingTime"
