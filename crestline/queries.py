@@ -18,6 +18,7 @@ from crestline.params import DetectParams
 from crestline.plans import highlights as H
 from crestline.shared import scratch
 from crestline.sources import levels as V
+from crestline.sources.selectors import select_formats
 from crestline.sources import ordered as O
 from crestline.sources import reports as R
 from crestline.streaming.levels import bucket_stream, keep_buckets, throttle_stream
@@ -284,21 +285,32 @@ def guard_detail(spark, sf_dir):
     return states.select(_user("series_id"), "observed", "n", "status", "detail")
 
 
-def format_choice(spark, sf_dir):
+def _formats(spark, sf_dir):
     """Order lines as the formats of an entry, the order."""
     lines = _table(spark, sf_dir, "lineitem")
     height = F.element_at(F.array(*map(F.lit, (360, 480, 720, 1080, 1440))), (F.col("l_partkey") % 5 + 1).cast("int"))
-    formats = lines.select(
+    return lines.select(
         F.col("l_orderkey").alias("entry"),
         F.concat(F.col("l_linenumber").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("format_id"),
         height.alias("height"),
         F.col("l_quantity").alias("bitrate"),
         (F.col("l_suppkey") % 3 != 0).alias("has_video"),
         (F.col("l_suppkey") % 3 != 1).alias("has_audio"),
+        F.lower(F.concat_ws("-", "l_returnflag", "l_linestatus")).alias("codec"),
     )
+
+
+def format_choice(spark, sf_dir):
+    formats = _formats(spark, sf_dir)
     return V.choose_formats(formats).withColumn("hd", F.lit(False)).unionByName(V.choose_formats(formats, hd=True).withColumn("hd", F.lit(True)))
 
 
+def format_selectors(spark, sf_dir):
+    """The worst video that isn't tiny with the best audio of some codecs, or what is there, from the selector's text; alternative 0 is none."""
+    chosen = select_formats(_formats(spark, sf_dir), "wv*[height>360][bitrate>=10]+ba*[codec^=r][height!=1440]/b[codec*=a-]/w*[height=?480]")
+    return chosen.select("entry", F.coalesce("alternative", F.lit(0)).alias("alternative"), F.array_join("format_ids", "+").alias("format_ids"))
+
+
 def config_out(spark, sf_dir):
     parts = _table(spark, sf_dir, "part")
     name = F.when(F.col("p_partkey") % 7 == 0, F.lit(None)).otherwise(F.concat("p_name", F.lit(' "é"\\'), "p_brand", F.lit("\n/")))
@@ -324,7 +336,7 @@ def request_status(spark, sf_dir):
 FUNCTIONS = [
     parse_levels, bucket_max, observed_guard, densify, smooth, baseline, scored_candidates, peaks, many_peaks, sql_peaks, series_status, clip_plan, summary, report, report_files, readable_time, escape_text,
     strip_entry, render_filter, render_command, config_json, tail_lines, last_error, progress_throttle, version_check, remote_entry, stream_buckets,
-    stream_throttle, smooth_stream, level_files, ordered_lines, guard_detail, stream_levels, format_choice, config_out, completion, request_status,
+    stream_throttle, smooth_stream, level_files, ordered_lines, guard_detail, stream_levels, format_choice, format_selectors, config_out, completion, request_status,
 ]
 
 # ---------------------------------------------------------------- SQL for DuckDB
@@ -424,6 +436,21 @@ WITH f AS (
 SELECT entry, hd, CASE WHEN videos[1] IS NOT NULL AND audios[1] IS NOT NULL THEN 'video+audio' WHEN fitting[1] IS NOT NULL THEN 'fitting' WHEN combined[1] IS NOT NULL THEN 'combined' ELSE 'none' END AS choice,
        CASE WHEN videos[1] IS NOT NULL AND audios[1] IS NOT NULL THEN videos[1] ELSE coalesce(fitting[1], combined[1]) END AS video_id,
        CASE WHEN videos[1] IS NOT NULL AND audios[1] IS NOT NULL THEN audios[1] END AS audio_id
+FROM o""",
+    "format_selectors": """
+WITH f AS (
+  SELECT l_orderkey AS entry, concat(l_linenumber, '-', l_partkey) AS id, [360, 480, 720, 1080, 1440][(l_partkey % 5 + 1)::INTEGER] AS height, l_quantity AS bitrate,
+         l_suppkey % 3 <> 0 AS has_video, l_suppkey % 3 <> 1 AS has_audio, lower(concat_ws('-', l_returnflag, l_linestatus)) AS codec
+  FROM lineitem
+), o AS (
+  SELECT entry, first(id ORDER BY height, bitrate, id) FILTER (has_video AND height > 360 AND bitrate >= 10) AS video,
+         first(id ORDER BY height DESC, bitrate DESC, id) FILTER (has_audio AND codec LIKE 'r%' AND height <> 1440) AS audio,
+         first(id ORDER BY height DESC, bitrate DESC, id) FILTER (has_video AND has_audio AND codec LIKE '%a-%') AS combined,
+         first(id ORDER BY height, bitrate, id) FILTER ((has_video OR has_audio) AND height = 480) AS whatever
+  FROM f GROUP BY entry
+)
+SELECT entry, CASE WHEN video IS NOT NULL AND audio IS NOT NULL THEN 1 WHEN combined IS NOT NULL THEN 2 WHEN whatever IS NOT NULL THEN 3 ELSE 0 END AS alternative,
+       CASE WHEN video IS NOT NULL AND audio IS NOT NULL THEN concat(video, '+', audio) ELSE coalesce(combined, whatever) END AS format_ids
 FROM o""",
     "config_out": r"""
 WITH c AS (

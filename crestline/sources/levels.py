@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The format of an analyser's line, a time and a momentary level; the keys of a saved configuration.
+from crestline.sources.selectors import select_formats
+
+#: The format of an analyser's line, a time and a momentary level; the choice of formats; the keys of a saved configuration.
 LEVEL_LINE = r"t:\s*([\d.]+).*?M:\s*(-?[\d.]+|-?inf|nan)"
+SELECTOR = "bv*[height<={height}]+ba/b[height<={height}]/b"
 LINES = T.StructType([T.StructField("series_id", T.StringType()), T.StructField("line", T.StringType())])
 CONFIG = T.StructType([T.StructField(n, T.StringType()) for n in ("nombre", "logo", "salida")])
 
@@ -102,15 +105,11 @@ def choose_formats(formats: DataFrame, hd: bool = False) -> DataFrame:
     with both within the height; then the best with both. Better is higher, then of
     the larger bitrate, then the smaller id. Entries without any have null ids.
     """
-    most = 1080 if hd else 720
-    fits, both = F.col("has_video") & (F.col("height") <= most), F.col("has_video") & F.col("has_audio")
-    order = F.struct((-F.coalesce("height", F.lit(0))).alias("h"), (-F.coalesce("bitrate", F.lit(0.0))).alias("b"), "format_id")
-    best = lambda when: F.min_by("format_id", F.when(when, order))
-    found = formats.groupBy("entry").agg(best(fits).alias("video"), best(F.col("has_audio") & ~F.col("has_video")).alias("audio"), best(fits & both).alias("fitting"), best(both).alias("combined"))
-    pair = F.col("video").isNotNull() & F.col("audio").isNotNull()
+    found = select_formats(formats, SELECTOR.format(height=1080 if hd else 720))
+    paired = F.col("alternative") == 1
     return found.select(
         "entry",
-        F.when(pair, "video+audio").when(F.col("fitting").isNotNull(), "fitting").when(F.col("combined").isNotNull(), "combined").otherwise("none").alias("choice"),
-        F.when(pair, F.col("video")).otherwise(F.coalesce("fitting", "combined")).alias("video_id"),
-        F.when(pair, F.col("audio")).alias("audio_id"),
+        F.when(paired, "video+audio").when(F.col("alternative") == 2, "fitting").when(F.col("alternative") == 3, "combined").otherwise("none").alias("choice"),
+        F.col("format_ids")[0].alias("video_id"),
+        F.when(paired, F.col("format_ids")[1]).alias("audio_id"),
     )
