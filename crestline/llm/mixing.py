@@ -7,7 +7,7 @@ size, so of the words that a source may give, long documents give the more. The
 whole part of e is taken for certain; the fraction is the document's inclusion
 probability p for one copy more. Documents are ranked by random odds divided by
 inclusion odds (Rosen's Pareto sampling), u/(1-u) over p/(1-p) with u a hash of
-the identifier, and taken in that order as long as they fit into the words the
+the identifier, or of the text where that is null, and taken in that order as long as they fit into the words the
 source still needs: a sample of fixed size, in words, with unequal probabilities.
 The document whose size comes nearest to what is then missing closes the gap, if
 that brings the source nearer to its target.
@@ -20,9 +20,9 @@ left out where it lies. One row for each source passes through one task where
 targets are shared out, which is meant for up to some millions of sources.
 
 Cases: a null text has size 0; documents of size 0 are not taken; a null source
-is a source, last in order; null identifiers are one identifier; rows that repeat
-an identifier, source and size tie in the order and stand or fall together; an
-empty table gives an empty result, and targets are 0 when all sizes are; other
+is a source, last in order; rows without an identifier are told apart by their
+texts; rows that repeat an identifier, or a text without one, source and size tie
+in the order and stand or fall together; an empty table gives an empty result, and targets are 0 when all sizes are; other
 columns may have any names.
 """
 
@@ -42,9 +42,9 @@ def size_of(text_col: str) -> Column:
     return F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
 
 
-def hash_of(id_col: str, seed: int) -> Column:
-    """The identifier's hash of 48 bits."""
-    salt = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")))
+def hash_of(id_col: str, text_col: str, seed: int) -> Column:
+    """The identifier's hash of 48 bits; that of the text's MD5 if it is null."""
+    salt = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.md5(text_or_empty(text_col))))
     return F.conv(F.substring(F.md5(salt), 1, BITS // 4), 16, 10).cast("long")
 
 
@@ -55,7 +55,7 @@ def weight_of(size: Column) -> Column:
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     """doc_id, source, size in words, u48 and weight of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"), hash_of(id_col, seed).alias("u48"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"), hash_of(id_col, text_col, seed).alias("u48"))
     return rows.withColumn("weight", weight_of(F.col("size")))
 
 
@@ -179,7 +179,7 @@ def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes, plan = planned(docs, id_col, text_col, source_col, weights, cap, seed)
     drop_written(sizes)
     row = F.struct(*docs.columns).alias("row")
-    rows = docs.select(row, F.col(source_col).alias("source"), size_of(text_col).alias("size"), hash_of(id_col, seed).alias("u48")).withColumn("weight", weight_of(F.col("size")))
+    rows = docs.select(row, F.col(source_col).alias("source"), size_of(text_col).alias("size"), hash_of(id_col, text_col, seed).alias("u48")).withColumn("weight", weight_of(F.col("size")))
     taken = _of_plan(rows, plan).withColumn("copies", _copies()).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
@@ -188,7 +188,7 @@ OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS u48
+         ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 12))::BIGINT AS u48
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
