@@ -33,8 +33,9 @@ def _exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a Jaccard similarity of 0.8 of their 5-word shingles the smallest identifier stays.
 
-    SimHash can't find these links at an acceptable cost, as ``near_text`` explains
-    with figures, so its candidates come from MinHash; all are verified.
+    SimHash by the general pigeonhole principle links the closest; no radius at an
+    acceptable cost finds all, as ``near_text`` explains with figures, so MinHash bands
+    give the candidates beyond it. All are verified.
     """
     return near_text.keep_one(docs)
 

@@ -3,16 +3,22 @@
 Two texts are linked if their sets of ``WIDTH``-word shingles (hashes; words as for
 SimHash) have a Jaccard similarity of ``LEAST`` or more; links form components.
 
-SimHash fingerprints can't find these links at an acceptable cost, so the pipeline's
-stage searches for them here. Sets with a similarity of 0.8 have a cosine of 0.89;
-a bit of the fingerprint then differs with a chance of 0.15, 9.8 of 64 on average,
-and 18 must be allowed to find all but a few in a thousand, where texts without
-anything in common differ in 32. The best partitions for even 11 bits, four of 16
-bits with a threshold of 2 each, make 0.8 % of all documents candidates of each.
-Candidates come from MinHash instead: ``BANDS`` bands of ``ROWS`` minima, and texts
-that share a band are compared. A pair at 0.8 shares none of 20 bands of 4 with a
-chance of (1 - 0.8^4)^20 = 2.6e-5, a closer one with less. Every link is verified on
-the whole sets, as 32-bit hashes.
+Candidates come from SimHash first: a set's fingerprint is the majority of its hashes'
+bits, and ``simhash.near_links`` finds the fingerprints within ``BITS`` bits by the
+general pigeonhole principle. Each fingerprint's sets are compared with one of them,
+and that one with the one of the least fingerprint in range, so pairs to verify are
+at most as many as sets and fingerprints. What is linked so is one component, and
+bands, as below, that hold no other component are not compared again.
+
+No radius at an acceptable cost finds all links. Sets with a similarity of 0.8 have a
+cosine of 0.89; a bit of the fingerprint then differs with a chance of 0.15, 9.8 of
+64 on average, and 18 must be allowed to find all but a few in a thousand, where
+texts without anything in common differ in 32. The best partitions for even 11 bits,
+four of 16 bits with a threshold of 2 each, make 0.8 % of all documents candidates of
+each. The links beyond ``BITS`` come from MinHash: ``BANDS`` bands of ``ROWS``
+minima, and texts that share a band are compared. A pair at 0.8 shares none of 20
+bands of 4 with a chance of (1 - 0.8^4)^20 = 2.6e-5, a closer one with less. Every
+link, of either kind, is verified on the whole sets, as 32-bit hashes.
 
 A band isn't paired out in rows. The sets of a band of at most ``CHUNK`` nodes meet
 in one cell, a task counts their overlaps by products of matrices and gives the links
@@ -39,11 +45,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crestline.llm import simhash
 from crestline.llm.common import drop_written, slices, text_or_empty, tidy, written
 from crestline.llm.components import connected_components
 from crestline.llm.ownership import owned, row_hash, without_rows
 
 SEED, WIDTH, BANDS, ROWS, LEAST = 42, 5, 20, 4, 0.8
+#: The radius of the fingerprints' search.
+BITS = 3
 _CHUNK = 1 << 14
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
 _FACTORS, _SHIFTS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
@@ -77,20 +86,21 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row (a hash of the text), node (a digest of the set), n (its size), bands and hashes of every row."""
+    """doc_id, row (a hash of the text), node (a digest of the set), fp (its fingerprint as a signed long), n (its size), bands and hashes of every row."""
 
     def run(batches):
         for part in slices(batches, 200):
             sets = [shingles(t) for t in part.column(2).to_pylist()]
             nodes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            fps = pa.array(np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64))
             keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
             sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in sets]
             sizes = [len(s) for s in sets]
             hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(sets).view(np.int32)))
-            yield pa.record_batch([part.column(0), part.column(1), nodes, pa.array(sizes, pa.int32()), keys, hashes], ["doc_id", "row", "node", "n", "bands", "hashes"])
+            yield pa.record_batch([part.column(0), part.column(1), nodes, fps, pa.array(sizes, pa.int32()), keys, hashes], ["doc_id", "row", "node", "fp", "n", "bands", "hashes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("row"), text_or_empty(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(tidy(run), "doc_id long, row long, node binary, n int, bands array<long>, hashes array<int>")
+    return rows.mapInArrow(tidy(run), "doc_id long, row long, node binary, fp long, n int, bands array<long>, hashes array<int>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -108,6 +118,21 @@ def _paired(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def fingerprint_pairs(nodes: DataFrame, fps: DataFrame) -> DataFrame:
+    """Candidates (a, b) of sets whose fingerprints lie within ``BITS`` bits, of (fp, node, n) and the written table of all fps.
+
+    One set stands for each fingerprint: the others are paired with it, and it with
+    the one of the least fingerprint in range.
+    """
+    heads = nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head")).select("fp", F.col("head.node").alias("other"), F.col("head.n").alias("m"))
+    # fingerprints are hashed for the join, so that a frequent one can be split
+    same = nodes.withColumn("k", F.xxhash64("fp")).join(heads.select(F.xxhash64("fp").alias("k"), "other", "m"), "k")
+    near = simhash.near_links(fps, BITS).groupBy("b").agg(F.min("a").alias("a"))
+    across = near.join(heads.toDF("a", "other", "m"), "a").join(heads.toDF("b", "node", "n"), "b")
+    found = same.select("node", "n", "other", "m").unionByName(across.select("node", "n", "other", "m"))
+    return _paired(found.where((F.col("node") != F.col("other")) & _similar_sizes("n", "m")))
+
+
 def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members with their component's root."""
     return members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -199,23 +224,28 @@ def _links(rows: DataFrame, passing: list[DataFrame]) -> DataFrame:
         passing.append(written(df, name))
         return passing[-1]
 
+    nodes = rows.select("fp", "node", "n").distinct()
+    close = kept(fingerprint_pairs(nodes, kept(rows.select("fp").distinct(), "near-fingerprints")), "near-fingerprint-pairs")
     banded = rows.select(F.explode("bands").alias("key"), "node", "n")
     # keys are hashed for the join, so that it deals rows anew and can split a frequent key
     ends = banded.groupBy("key").agg(F.min(F.xxhash64("node")).alias("low"), F.max(F.xxhash64("node")).alias("high"))
     ends = ends.where("low <> high").select(F.xxhash64("key").alias("k"))
     members = kept(banded.withColumn("k", F.xxhash64("key")).join(ends, "k", "left_semi").drop("k").distinct(), "band-members")
+    wanted = members.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sets = kept(rows.select("node", "hashes").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "shingle-sets")
+    links = written(_verified(close, sets), "near-links")
+    # what fingerprints have linked needn't meet again
+    members = kept(_of_several(kept(_placed(members, connected_components(links, "a", "b")), "placed-members")), "live-members")
     # of bands with the same members one is enough
     alike = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
     bands_kept = kept(alike.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select(F.xxhash64("key").alias("k"), "size"), "bands")
     of_size = lambda when: members.withColumn("k", F.xxhash64("key")).join(bands_kept.where(when).select("k"), "k", "left_semi").drop("k")
-    wanted = members.select("node").distinct()
-    sets = kept(rows.select("node", "hashes").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "shingle-sets")
     none = F.lit(0)
-    cells = of_size(F.col("size") <= CHUNK).select("key", none.alias("i"), none.alias("j"), none.alias("side"), "node", F.col("node").alias("root"))
-    links = written(_cell_links(cells, sets), "near-links")
+    cells = of_size(F.col("size") <= CHUNK).select("key", none.alias("i"), none.alias("j"), none.alias("side"), "node", "root")
+    links = links.unionByName(written(_cell_links(cells, sets), "near-links"))
     if bands_kept.where(F.col("size") > CHUNK).isEmpty():
         return links
-    large = kept(of_size(F.col("size") > CHUNK), "large-bands")
+    large = kept(of_size(F.col("size") > CHUNK).drop("root"), "large-bands")
     for turn in range(_ROUNDS + 1):
         placed = kept(_placed(large, connected_components(links, "a", "b")), "placed")
         live = kept(_of_several(placed), "live")

@@ -52,6 +52,14 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of unsigned 64-bit hashes: a bit is 1 if it is set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        counts += _bits(hashes[at : at + _CHUNK]).sum(axis=0, dtype=np.int32)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     """A row of 64 zeros and ones for each value, bit 0 first."""
     return np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

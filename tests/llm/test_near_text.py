@@ -121,3 +121,27 @@ def test_overlaps_and_forest(monkeypatch):
 
 def test_near_copies_of_nothing(spark):
     assert N.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_fingerprints_find_close_copies_without_bands(spark):
+    """The search by SimHash links what lies within its radius; a set far from all others isn't linked."""
+    from crestline.llm import simhash
+    from crestline.llm.common import written
+
+    rnd, rows = random.Random(3), [(99, "nothing like the others is said here")]
+    for i in range(10):
+        text = [f"w{rnd.randrange(10**6)}" for _ in range(600)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[:-1], "x"]))]
+    fp = {i: simhash.majority(N.shingles(t.encode())) for i, t in rows}
+    near = {(2 * i, 2 * i + 1) for i in range(10) if (fp[2 * i] ^ fp[2 * i + 1]).bit_count() <= N.BITS}
+    found = written(N.sketches(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("doc_id", "row", "node", "fp", "n", "CAST(array() AS array<bigint>) AS bands", "hashes"), "test-sketches")
+    of = {r.node: r.doc_id for r in found.collect()}
+    assert {tuple(sorted((of[r.a], of[r.b]))) for r in N.near_links(found).collect()} == near and len(near) > 5
+
+
+def test_majority_is_the_fingerprint():
+    from crestline.llm import simhash
+
+    words = " ".join(f"w{i}" for i in range(300))
+    for text in ("", "one", "a b c d e", "a b c d e f", words):
+        assert simhash.majority(N.shingles(text.encode())) == simhash.fingerprint(text.encode(), N.WIDTH)
