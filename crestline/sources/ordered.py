@@ -16,7 +16,8 @@ always does in a table.
 
 Options: path (a folder, whose subfolders are searched, or a file; a local path or a
 URI), glob (of file names; hidden files are skipped), rangeBytes (of a task, 64 MB by
-default; small files share one), whole (streams only, false by default).
+default; small files share one, and ranges are multiples of it where it would make more
+than ``MOST`` tasks), whole (streams only, false by default).
 
 Cases: empty files give no lines; an empty line is one; offsets count bytes, and a line
 that is longer than a range is read by the task it begins in; a folder without files
@@ -37,7 +38,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "series_id string, offset bigint, line string"
 _ARROW = pa.schema([("series_id", pa.string()), ("offset", pa.int64()), ("line", pa.string())])
 _END = re.compile(rb"\r\n|\n|\r")
-_BLOCK, _ROWS = 1 << 20, 10_000
+_LEAST, _BLOCK, _ROWS = 1 << 16, 1 << 20, 10_000
+#: Tasks that bytes are dealt to; each costs the driver and a worker some time, however few its bytes.
+MOST = 1_000
 
 
 class Range(NamedTuple):
@@ -67,7 +70,8 @@ def found_files(path: str, glob: str | None = None) -> list[tuple[str, int]]:
 
 
 def dealt(ranges: list[Range], size: int) -> list[Ranges]:
-    """Ranges cut to at most ``size`` bytes, and small ones put together up to that."""
+    """Ranges cut to at most ``size`` bytes, and small ones put together up to that; a multiple of it, where ``MOST`` tasks of it don't hold all."""
+    size *= max(1, -(-sum(r.stop - r.start for r in ranges) // (size * MOST)))
     cut = [Range(r.path, at, min(r.stop, at + size)) for r in ranges for at in range(r.start, r.stop, size)]
     out, held = [], size
     for r in cut:
@@ -134,7 +138,7 @@ def _read(partition: Ranges, ended: bool) -> Iterator[pa.RecordBatch]:
         if size is None or size < stop:
             raise OSError(f"{path} has {size} bytes, {stop} were planned")
         with system.open_input_file(root) as file:
-            for at, line in lines_of(file, start, stop, size, ended):
+            for at, line in lines_of(file, start, stop, size, ended, max(_LEAST, min(_BLOCK, stop - start))):
                 rows.append((path, at, line.decode(errors="replace")))
                 held += len(line)
                 if len(rows) >= _ROWS or held >= 16 * _BLOCK:
