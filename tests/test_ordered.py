@@ -8,6 +8,7 @@ import pytest
 from crestline.operators import guard as G
 from crestline.params import DetectParams
 from crestline.sources import ordered as O
+from crestline.sources.ordered import Range
 
 
 def whole(data: bytes) -> list[tuple[int, bytes]]:
@@ -100,3 +101,36 @@ def test_guard(spark):
 def test_guard_passes_few_lines_on(spark):
     frame = spark.range(0, 20_000, 1, 4).selectExpr("CAST(id % 2 AS string) AS series_id", "id AS offset", "concat('line ', id) AS line")
     assert G.partial_sums(frame).where("line IS NOT NULL").count() <= 4 * 2 * G.LAST
+
+
+def test_tasks_are_bounded():
+    """Small ranges of large or many files are dealt to a bounded number of tasks, whole and in order."""
+    for files in ([Range("a", 0, 80_000_000)], [Range(f"f{i}", 0, 4_000 + i) for i in range(20_000)], [Range("a", 5, 9_000), Range("b", 0, 1)]):
+        got = [r for task in O.dealt(files, 4_096) for r in task.value]
+        assert len(O.dealt(files, 4_096)) <= 2 * O.MOST
+        joined = []
+        for r in got:
+            if joined and joined[-1].path == r.path and joined[-1].stop == r.start:
+                joined[-1] = joined[-1]._replace(stop=r.stop)
+            else:
+                joined.append(r)
+        assert joined == files
+    assert len(O.dealt([Range("a", 0, 9_000)], 4_096)) == 3
+
+
+def user_events(spark, folder, users):
+    frame = spark.range(users * 3).selectExpr("id AS event_id", f"CAST(id % {users} AS bigint) AS user_id", "'click' AS event_type", "1.0D AS value")
+    frame.unionByName(frame.limit(1).selectExpr("-1L AS event_id", "CAST(NULL AS bigint) AS user_id", "event_type", "value")).write.parquet(f"{folder}/events.parquet")
+
+
+@pytest.mark.parametrize("query", ["ordered_lines", "guard_detail"])
+def test_users_share_files(spark, tmp_path, monkeypatch, query):
+    """The files don't grow in number with the users, who come out whole."""
+    from crestline import queries as Q
+
+    user_events(spark, tmp_path, 200)
+    monkeypatch.setattr(Q, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    got = Q.queries()[query](spark, str(tmp_path)).collect()
+    assert sorted(r.user_id for r in got) == list(range(200))
+    assert query == "guard_detail" or {r.lines for r in got} == {3}
+    assert 1 <= len(list((tmp_path / "user-lines").rglob("*.txt"))) <= 4
