@@ -7,8 +7,8 @@ Candidates come from SimHash first: a set's fingerprint is the majority of its h
 bits, and ``simhash.near_links`` finds the fingerprints within ``BITS`` bits by the
 general pigeonhole principle. Each fingerprint's sets are compared with one of them,
 and that one with the one of the least fingerprint in range, so pairs to verify are
-at most as many as sets and fingerprints. What is linked so is one component, and
-bands, as below, that hold no other component are not compared again.
+at most as many as sets and fingerprints. What is linked so is one component where
+the bands, as below, add links.
 
 No radius at an acceptable cost finds all links. Sets with a similarity of 0.8 have a
 cosine of 0.89; a bit of the fingerprint then differs with a chance of 0.15, 9.8 of
@@ -118,17 +118,24 @@ def _paired(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def fingerprint_pairs(nodes: DataFrame, fps: DataFrame) -> DataFrame:
-    """Candidates (a, b) of sets whose fingerprints lie within ``BITS`` bits, of (fp, node, n) and the written table of all fps.
+def fingerprint_heads(rows: DataFrame) -> DataFrame:
+    """Of each fingerprint fp: one of its sets, node, with its size n, and whether there are others, several."""
+    heads = rows.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("high"))
+    return heads.select("fp", "head.node", "head.n", (F.col("head.node") != F.col("high")).alias("several"))
 
-    One set stands for each fingerprint: the others are paired with it, and it with
-    the one of the least fingerprint in range.
+
+def fingerprint_pairs(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Candidates (a, b) of sets whose fingerprints lie within ``BITS`` bits; ``heads`` is a written table.
+
+    A fingerprint's other sets are paired with its head, and heads with that of the
+    least fingerprint in range.
     """
-    heads = nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head")).select("fp", F.col("head.node").alias("other"), F.col("head.n").alias("m"))
     # fingerprints are hashed for the join, so that a frequent one can be split
-    same = nodes.withColumn("k", F.xxhash64("fp")).join(heads.select(F.xxhash64("fp").alias("k"), "other", "m"), "k")
-    near = simhash.near_links(fps, BITS).groupBy("b").agg(F.min("a").alias("a"))
-    across = near.join(heads.toDF("a", "other", "m"), "a").join(heads.toDF("b", "node", "n"), "b")
+    shared = heads.where("several").select(F.xxhash64("fp").alias("k"), F.col("node").alias("other"), F.col("n").alias("m"))
+    same = rows.select(F.xxhash64("fp").alias("k"), "node", "n").join(shared, "k")
+    near = simhash.near_links(heads, BITS).groupBy("b").agg(F.min("a").alias("a"))
+    of = lambda fp, node, n: heads.select(F.col("fp").alias(fp), F.col("node").alias(node), F.col("n").alias(n))
+    across = near.join(of("a", "other", "m"), "a").join(of("b", "node", "n"), "b")
     found = same.select("node", "n", "other", "m").unionByName(across.select("node", "n", "other", "m"))
     return _paired(found.where((F.col("node") != F.col("other")) & _similar_sizes("n", "m")))
 
@@ -224,8 +231,7 @@ def _links(rows: DataFrame, passing: list[DataFrame]) -> DataFrame:
         passing.append(written(df, name))
         return passing[-1]
 
-    nodes = rows.select("fp", "node", "n").distinct()
-    close = kept(fingerprint_pairs(nodes, kept(rows.select("fp").distinct(), "near-fingerprints")), "near-fingerprint-pairs")
+    close = kept(fingerprint_pairs(rows, kept(fingerprint_heads(rows), "near-fingerprints")), "near-fingerprint-pairs")
     banded = rows.select(F.explode("bands").alias("key"), "node", "n")
     # keys are hashed for the join, so that it deals rows anew and can split a frequent key
     ends = banded.groupBy("key").agg(F.min(F.xxhash64("node")).alias("low"), F.max(F.xxhash64("node")).alias("high"))
@@ -234,18 +240,17 @@ def _links(rows: DataFrame, passing: list[DataFrame]) -> DataFrame:
     wanted = members.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     sets = kept(rows.select("node", "hashes").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "shingle-sets")
     links = written(_verified(close, sets), "near-links")
-    # what fingerprints have linked needn't meet again
-    members = kept(_of_several(kept(_placed(members, connected_components(links, "a", "b")), "placed-members")), "live-members")
     # of bands with the same members one is enough
     alike = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
     bands_kept = kept(alike.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select(F.xxhash64("key").alias("k"), "size"), "bands")
     of_size = lambda when: members.withColumn("k", F.xxhash64("key")).join(bands_kept.where(when).select("k"), "k", "left_semi").drop("k")
     none = F.lit(0)
-    cells = of_size(F.col("size") <= CHUNK).select("key", none.alias("i"), none.alias("j"), none.alias("side"), "node", "root")
+    # what fingerprints have linked is one component in its cells
+    cells = _placed(of_size(F.col("size") <= CHUNK), connected_components(links, "a", "b")).select("key", none.alias("i"), none.alias("j"), none.alias("side"), "node", "root")
     links = links.unionByName(written(_cell_links(cells, sets), "near-links"))
     if bands_kept.where(F.col("size") > CHUNK).isEmpty():
         return links
-    large = kept(of_size(F.col("size") > CHUNK).drop("root"), "large-bands")
+    large = kept(of_size(F.col("size") > CHUNK), "large-bands")
     for turn in range(_ROUNDS + 1):
         placed = kept(_placed(large, connected_components(links, "a", "b")), "placed")
         live = kept(_of_several(placed), "live")
