@@ -5,9 +5,10 @@
 A task writes its series' files into a folder of its own attempt, line by line as rows
 come, so a report of any length is never held. Rows come by series and rank. When all
 tasks are done, the driver moves the files of those attempts that count to their places
-and deletes the rest; if one fails, it deletes all of them and no report changes. So a
-repeated attempt leaves one report, and readers never see half of one. Only the names
-of attempts' folders go through the driver; it moves file by file, in threads.
+and deletes the rest; if one fails, it deletes all of them and no report changes. Tasks
+that still run then find no place to write to, and fail too. So a repeated attempt leaves
+one report, and readers never see half of one. Only the names of attempts' folders go
+through the driver; it moves file by file, in threads.
 
 Places: ``<path>/<series>/resumen.txt``. A series' name is percent-encoded but for
 letters, digits and ``_.-~``; null is ``%null``, the empty name ``%empty``, ``.`` and
@@ -67,11 +68,14 @@ class _Writer(DataSourceWriter):
     def __init__(self, options, overwrite: bool):
         self.path, self.title, self.overwrite = options["path"].rstrip("/"), options.get("title", TITLE), overwrite
         self.job = f"{self.path}/{_STAGING}-{uuid.uuid4().hex}"
+        system, root = opened(self.job)
+        system.create_dir(root)  # here alone: a task that outlives its job must not make it anew
 
     def write(self, iterator):
         context = TaskContext.get()
         folder = f"{self.job}/{context.partitionId()}-{context.taskAttemptId()}"
         (system, attempt), file, done = opened(folder), None, None
+        system.create_dir(attempt, recursive=False)
         try:
             for row in iterator:
                 name = folder_of(row["series_id"])
@@ -79,7 +83,7 @@ class _Writer(DataSourceWriter):
                     if file:
                         file.close()
                     root = f"{attempt}/{name}"
-                    system.create_dir(root)
+                    system.create_dir(root, recursive=False)
                     if system.get_file_info(f"{root}/{FILE}").type != fs.FileType.NotFound:
                         raise ValueError(f"rows of series {row['series_id']!r} aren't together")
                     file, done = system.open_output_stream(f"{root}/{FILE}"), name
@@ -112,10 +116,15 @@ class _Writer(DataSourceWriter):
         self.abort(messages)
 
     def abort(self, messages):
-        """Nothing staged stays, nor what attempts that don't count have left."""
+        """Nothing staged stays, nor what attempts that don't count have left; those that still run fail at their next report."""
         system, root = opened(self.job)
         if system.get_file_info(root).type == fs.FileType.Directory:
-            system.delete_dir(root)
+            gone = f"{root}-gone"  # under this name no attempt can add to what is being deleted
+            try:
+                system.move(root, gone)
+            except (OSError, NotImplementedError):  # a store without folders that move
+                gone = root
+            system.delete_dir(gone)
 
 
 class ReportFiles(DataSource):

@@ -64,6 +64,23 @@ def test_a_repeated_attempt_leaves_one(tmp_path, monkeypatch):
     assert (tmp_path / "a" / R.FILE).read_text() == text("of 8") and len(list(tmp_path.iterdir())) == 1
 
 
+@pytest.mark.parametrize("seen", [0, 1, 2])
+def test_an_attempt_that_outlives_its_job_leaves_nothing(tmp_path, monkeypatch, seen):
+    """A job is aborted while a task is still at its rows."""
+    monkeypatch.setattr(R.TaskContext, "get", classmethod(lambda cls: type("C", (), {"partitionId": lambda s: 0, "taskAttemptId": lambda s: 7})()))
+    writer = R._Writer({"path": str(tmp_path)}, False)
+
+    def rows():
+        for i, series in enumerate("abc"):
+            if i == seen:
+                writer.abort([])
+            yield {"series_id": series, "line": "x"}
+
+    with pytest.raises(OSError):
+        writer.write(rows())
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_scattered_rows_are_refused(spark, tmp_path):
     spark.dataSource.register(R.ReportFiles)
     rows = spark.createDataFrame([("a", "1"), ("b", "2"), ("a", "3")], "series_id string, line string")
